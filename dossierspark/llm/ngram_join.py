@@ -36,6 +36,8 @@ LEAF, FANOUT = 32, 16
 #: A cell holds two blocks; bounds on its texts and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 21
 BANDS_STEP = 3
+#: The filter of ids whose texts go to their families: 8 MB at most.
+FILTER_BITS, FILTER_HASHES = 1 << 26, 3
 
 
 class Shingler:
@@ -166,6 +168,36 @@ def cell_links(sets: list[np.ndarray], sides: np.ndarray | None, num: int, den:
     return forest.tree()
 
 
+def possibly_among(ids: DataFrame, most_bits: int = FILTER_BITS):
+    """A test of ids (as a UDF) that holds for all of `ids` and few others: a Bloom filter of bounded size.
+
+    It spares texts that no family needs the way to their family. With more ids than the bits can hold
+    apart it lets more through; the join that follows decides.
+    """
+    n = ids.count()
+    bits = min(most_bits, max(1 << 10, 1 << (12 * n).bit_length()))
+    at = F.explode(F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in range(FILTER_HASHES)]))
+    words = (
+        ids.select(at.alias("at"))
+        .groupBy(F.shiftright("at", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+        .toArrow()
+    )
+    table = np.zeros(bits // 64, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def known(*places: pd.Series) -> pd.Series:
+        out = np.ones(len(places[0]), bool)
+        for p in places:
+            p = p.to_numpy()
+            out &= (shared.value[p >> 6] >> (p & 63)) & 1 == 1
+        return pd.Series(out)
+
+    return known(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in range(FILTER_HASHES)])
+
+
 def jaccard_components(
     docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -245,7 +277,7 @@ def jaccard_components(
 
     # a repeated doc_id may carry other texts: rows whose set is not the class's own fall out in links()
     found = (
-        cells.join(texts, "doc_id")
+        cells.join(texts.where(possibly_among(members)), "doc_id")
         .repartition("family", "lo", "hi")
         .sortWithinPartitions("family", "lo", "hi", "h")
         .select("family", "lo", "hi", "block", "h", "text")

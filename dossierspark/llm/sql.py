@@ -90,7 +90,7 @@ WITH page AS (
 ), bits AS (
   SELECT *, list_transform(range(1, 41), lambda i: instr('0123456789abcdef', hex[i]) - 1) AS d FROM page
 ), coded AS (
-  SELECT *, array_to_string(list_transform(range(0, 32), k ->
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda k:
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + (((d[(5 * k) // 4 + 1] * 16 + coalesce(d[(5 * k) // 4 + 2], 0)) >> (3 - (5 * k) % 4)) & 31)]), '') AS digest,
     min(page_id) OVER (PARTITION BY hex) AS first, count(*) OVER (PARTITION BY hex) AS copies
   FROM bits
