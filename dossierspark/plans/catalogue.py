@@ -1,4 +1,6 @@
 """All queries of the library by name, with SQL where SQL can say it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import lineage_queries, metrics_queries, retrieval_queries, review_queries, source_queries, text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
