@@ -16,9 +16,11 @@ with its own span; null ids come first.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, quiet_threads, scratch
+from .common import quiet_threads, scratch
 
 SEGMENT_IDS = 1 << 20
 END_ID = 2
@@ -90,30 +92,91 @@ class EliasFano:
         return cls(n, low_bits, body[:low_len], body[low_len:])
 
 
+#: Text in which the tokenizer's normaliser only lowers letters: then its pre-tokens can be found here.
+_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+#: Fixed value: the tokenizer's own pre-token pattern, for plain lower-case text without white space.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
 class WordTokens:
-    """The tokenizer's ids of a text, word by word.
+    """The tokenizer's ids of texts, word by word.
 
-    The tokenizer parts texts at white space before anything else and never looks across it, so the
-    ids of a text are those of its space-separated words in turn; words' ids are remembered.
+    The tokenizer parts texts at white space and then into letters, digits and marks before anything
+    else, and never looks across, so the ids of a text are those of its pieces in turn. Words are looked
+    up; unknown words are parted into pieces, and the unknown pieces of many texts are encoded in one
+    call and parted again at the ids that end a word. Words with characters beyond Latin-1 letters and
+    printable ASCII, or with the marks of special tokens, are encoded one by one.
     """
 
+    WORDS, PIECES, LONGEST = 400_000, 1_000_000, 64
+
     def __init__(self, vocabulary: str):
         quiet_threads()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        known = self.tokenizer.get_vocab()
+        self.width = 2 if len(known) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.words = Memo(self._encode, most=300_000)
+        self.ends_word = np.zeros(max(known.values()) + 1, bool)
+        self.ends_word[[i for w, i in known.items() if w.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _encode(self, word: str) -> bytes:
+    def one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(self.words.__getitem__, filter(None, words)))
+    def _learn_pieces(self, new: list[str]) -> None:
+        if not new:
+            return
+        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, self.kind)
+        stops = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(stops) == len(new) and stops[-1] == len(ids):
+            data, cuts = ids.tobytes(), [0, *(stops * self.width).tolist()]
+            self.pieces.update((w, data[s:e]) for w, s, e in zip(new, cuts, cuts[1:]))
+        else:
+            self.pieces.update((w, self.one(w)) for w in new)
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.words) > self.WORDS:
+            self.words.clear()
+        if len(self.pieces) > self.PIECES:
+            self.pieces.clear()
+        rows = [_words(t) for t in texts]
+        out = [list(map(self.words.get, r)) for r in rows]
+        gaps = [(o, r, i) for o, r in zip(out, rows) if None in o for i, x in enumerate(o) if x is None]
+        parts = {}
+        for w in {r[i] for _, r, i in gaps}:
+            parts[w] = _PIECES.findall(w.lower()) if _PLAIN.fullmatch(w) and "<|" not in w else None
+        wanted = set(chain.from_iterable(p for p in parts.values() if p))
+        self._learn_pieces(sorted(wanted.difference(self.pieces)))
+        get = self.pieces.__getitem__
+        for w, p in parts.items():
+            self.words[w] = self.one(w) if p is None else get(p[0]) if len(p) == 1 else b"".join(map(get, p))
+        for o, r, i in gaps:
+            o[i] = self.words[r[i]]
+        for long in [w for w in parts if len(w) > self.LONGEST]:
+            del self.words[long]
+        return [b"".join(o) for o in out]
+
+
+def _words(text: str | None) -> list[str]:
+    if not text:
+        return []
+    # str.split() knows the same white space as the tokenizer, and four separators more
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return [w for w in text.split(" ") if w]
+    return text.split()
+
+
+_TOKENS: dict[str, WordTokens] = {}
+
+
+def word_tokens(vocabulary: str) -> WordTokens:
+    """One for each worker process: what a task has learnt serves the next."""
+    if vocabulary not in _TOKENS:
+        _TOKENS[vocabulary] = WordTokens(vocabulary)
+    return _TOKENS[vocabulary]
 
 
 SEGMENT = "part int, seq int, first long, n_ids long, width int, boundaries binary, doc_ids binary, null_ids binary, ids binary"
@@ -121,11 +184,19 @@ _NAMES = [c.split()[0] for c in SEGMENT.split(", ")]
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
 
+def encoded(batches: Iterator[pa.RecordBatch], tokens: WordTokens, rows: int = 1000) -> Iterator[tuple]:
+    """(doc_id, ids as bytes) of every document in turn."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            part = batch.slice(lo, rows)
+            yield from zip(part["doc_id"].to_pylist(), tokens(part["text"].to_pylist()))
+
+
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode docs (doc_id, text) and write the segments to `path` in ascending order of doc_id."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(vocabulary)
+        tokens = word_tokens(vocabulary)
         end = np.array([end_id], tokens.kind).tobytes()
         part, seq, first = TaskContext.get().partitionId(), 0, 0
         names, pieces, ends, held = [], [], [], 0
@@ -144,18 +215,17 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
             ]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _KINDS)], _NAMES)
 
-        for batch in batches:
-            for name, text in zip(batch["doc_id"], batch["text"]):
-                piece = tokens(text.as_py()) + end
-                n = len(piece) // tokens.width
-                if names and held + n > segment_ids:
-                    yield segment()
-                    seq, first = seq + 1, first + held
-                    names, pieces, ends, held = [], [], [], 0
-                held += n
-                names.append(name.as_py())
-                pieces.append(piece)
-                ends.append(held)
+        for name, piece in encoded(batches, tokens):
+            piece += end
+            n = len(piece) // tokens.width
+            if names and held + n > segment_ids:
+                yield segment()
+                seq, first = seq + 1, first + held
+                names, pieces, ends, held = [], [], [], 0
+            held += n
+            names.append(name)
+            pieces.append(piece)
+            ends.append(held)
         if names:
             yield segment()
 
