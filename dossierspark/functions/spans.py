@@ -247,40 +247,56 @@ def realigned(old: list[dict], text: str | None, least: float = DEFAULTS.realign
 
 
 def _each(f, returns: str):
-    """A vectorised UDF that applies a helper to every row of its columns."""
+    """A vectorised UDF that applies a helper to every row of its column; made when it is called."""
 
-    @F.pandas_udf(returns)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([f(x) for x in s])
+    def on(column):
+        @F.pandas_udf(returns)
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for s in batches:
+                yield pd.Series([f(x) for x in s], dtype=object)
 
-    return run
+        return run(column)
 
-
-def _pairs(f, returns: str):
-    @F.pandas_udf(returns)
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(x, y) for x, y in zip(a, b)], dtype=object)
-
-    return run
+    return on
 
 
 normalised = _each(lambda t: None if t is None else folded(t)[0], "string")
 sentences = _each(sentences_of, "array<struct<text:string,paragraph:int,start:int,end:int,list_item:boolean>>")
 chunks = _each(chunks_of, "array<struct<start:int,end:int>>")
 terminal = _each(lambda t: None if t is None else is_terminal(t), "boolean")
-hash_embedding = lambda width: _each(lambda t: hashed_vector(t, width), "array<double>")
-diff = _pairs(word_diff, "array<struct<kind:string,text:string>>")
 
 
-@F.pandas_udf("struct<start:int,end:int,tier:string,ratio:double>")
-def find_span(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
+def hash_embedding(column, width: int):
+    return _each(lambda t: hashed_vector(t, width), "array<double>")(column)
+
+
+def diff(a, b):
+    @F.pandas_udf("array<struct<kind:string,text:string>>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([word_diff(x, y) for x, y in zip(a, b)], dtype=object)
+
+    return run(a, b)
+
+
+def _find(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
     found = [locate(q, t) or {} for q, t in zip(quote, text)]
-    frame = pd.DataFrame(found, columns=["start", "end", "tier", "ratio"])
+    frame = pd.DataFrame(found, columns=["start", "end", "tier", "ratio"], index=range(len(found)))
     return frame.astype({"start": "Int32", "end": "Int32"})
 
 
+def find_span(quote, text):
+    return F.pandas_udf(_find, "struct<start:int,end:int,tier:string,ratio:double>")(quote, text)
+
+
 def register(spark) -> None:
-    """The functions by name for SQL: doc_normalise, doc_sentences, doc_chunks, doc_find_span."""
-    for name, f in (("doc_normalise", normalised), ("doc_sentences", sentences), ("doc_chunks", chunks), ("doc_find_span", find_span)):
-        spark.udf.register(name, f)
+    """The functions by name for SQL: doc_normalise, doc_terminal, doc_find_span."""
+
+    def rows(f, returns):
+        def run(s: pd.Series) -> pd.Series:
+            return pd.Series([f(x) for x in s], dtype=object)
+
+        return F.pandas_udf(run, returns)
+
+    spark.udf.register("doc_normalise", rows(lambda t: None if t is None else folded(t)[0], "string"))
+    spark.udf.register("doc_terminal", rows(lambda t: None if t is None else is_terminal(t), "boolean"))
+    spark.udf.register("doc_find_span", F.pandas_udf(_find, "struct<start:int,end:int,tier:string,ratio:double>"))

@@ -13,9 +13,8 @@ def support_summary(segments: Column) -> Column:
     of = lambda test: F.size(F.filter(segments, test))
     substantive = of(lambda s: s["kind"] == "substantive")
     supported = of(lambda s: (s["kind"] == "substantive") & (s["support_status"] == "supported"))
-    counts = F.map_from_arrays(
-        F.array(*[F.lit(v) for v in SUPPORT_STATUSES]), F.array(*[of(lambda s, v=v: s["support_status"] == v) for v in SUPPORT_STATUSES])
-    )
+    with_status = lambda v: of(lambda s: s["support_status"] == v)
+    counts = F.map_from_arrays(F.array(*[F.lit(v) for v in SUPPORT_STATUSES]), F.array(*[with_status(v) for v in SUPPORT_STATUSES]))
     return F.struct(
         counts.alias("counts"),
         substantive.alias("substantive"),

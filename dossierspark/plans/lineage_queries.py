@@ -1 +1,167 @@
-"""Queries."""
+"""Clusters, facts and documents over time, on documents, events, orders and suppliers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import lineage as L
+from .registry import query, table
+
+NORMAL = "sha256(trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')))"
+
+
+def _copies(spark, sf):
+    normal = F.trim(F.regexp_replace(F.lower("text"), r"[ \t\n\r\f\x0B]+", " "))
+    return table(spark, sf, "documents").withColumn("cluster_id", F.sha2(normal.cast("binary"), 256))
+
+
+@query(f"SELECT cluster_id, min(doc_id) AS canonical_id, count(*) AS n FROM (SELECT doc_id, {NORMAL} AS cluster_id FROM documents) GROUP BY 1")
+def exact_dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of equal normal texts."""
+    return _copies(spark, sf_dir).groupBy("cluster_id").agg(F.min("doc_id").alias("canonical_id"), F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, {NORMAL} AS cluster_id, lang = 'en' AS promoted, n_chars % 5 AS d FROM documents)
+SELECT doc_id AS item_id, first_value(doc_id) OVER (PARTITION BY cluster_id ORDER BY promoted DESC, CASE WHEN d = 0 THEN NULL ELSE d END DESC NULLS LAST, doc_id) AS canonical_id FROM c"""
+)
+def canonical_election(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Promoted first, newest date, oldest, id."""
+    d = F.col("n_chars") % 5
+    items = _copies(spark, sf_dir).select(
+        F.col("doc_id").alias("item_id"),
+        "cluster_id",
+        (F.col("lang") == "en").alias("promoted"),
+        F.when(d > 0, F.date_add(F.lit("2020-01-01").cast("date"), d.cast("int"))).alias("effective_date"),
+        F.timestamp_seconds("doc_id").alias("created_at"),
+    )
+    return L.elect(items).select("item_id", "canonical_id")
+
+
+@query(
+    """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9"""
+)
+def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact similarity join within a label."""
+    return L.similar_pairs(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("label").alias("grp"), F.col("embedding").alias("vector")))
+
+
+@query()
+def leader_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: sequential clustering against current canonicals; order-dependent, tested against a plain loop."""
+    items = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("item_id"),
+        F.col("label").alias("grp"),
+        F.col("embedding").alias("vector"),
+        (F.col("vec_id") % 7 == 0).alias("promoted"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("vec_id") % 11).cast("int")).alias("effective_date"),
+        F.timestamp_seconds(F.col("vec_id") % 1000).alias("created_at"),
+    )
+    return L.leader_clusters(items)
+
+
+def _facts(spark, sf):
+    """Events as dated facts: kind by event type, key by user (null for every seventh), document by event id."""
+    e = table(spark, sf, "events")
+    return e.select(
+        F.col("event_id").alias("fact_id"),
+        F.col("event_type").alias("kind"),
+        F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("key"),
+        (F.col("event_id") % 50).alias("document_id"),
+        F.when(F.col("event_id") % 3 == 0, "reference").when(F.col("event_id") % 3 == 1, "past_submission").alias("doc_type"),
+        (F.col("event_id") % 4 != 0).alias("confirmed"),
+        F.when(F.col("event_id") % 5 == 0, "upload_time").otherwise("stated").alias("date_source"),
+        F.to_date("ts").alias("effective_date"),
+        F.to_date("ts").alias("document_date"),
+        F.col("ts").alias("created_at"),
+    )
+
+
+FACTS = """f AS (
+  SELECT event_id AS fact_id, event_type AS kind, CASE WHEN user_id % 7 <> 0 THEN user_id END AS key, event_id % 50 AS document_id,
+    CASE event_id % 3 WHEN 0 THEN 'reference' WHEN 1 THEN 'past_submission' END AS doc_type, event_id % 4 <> 0 AS confirmed,
+    CASE WHEN event_id % 5 = 0 THEN 'upload_time' ELSE 'stated' END AS date_source, CAST(ts AS DATE) AS effective_date, ts AS created_at FROM events)"""
+
+
+@query(
+    f"""WITH {FACTS} SELECT kind, key, fact_id FROM f QUALIFY row_number() OVER (PARTITION BY kind, key
+  ORDER BY CASE WHEN doc_type = 'reference' THEN 0 ELSE 1 END, date_source = 'upload_time', effective_date DESC, fact_id) = 1"""
+)
+def current_fact_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W2."""
+    return L.current_facts(_facts(spark, sf_dir)).select("kind", "key", "fact_id")
+
+
+@query(
+    f"""WITH {FACTS}, g AS (SELECT * FROM f WHERE confirmed AND date_source <> 'upload_time' AND doc_type IS NOT NULL),
+s AS (SELECT a.fact_id, max_by(b.fact_id, (b.effective_date, b.created_at, b.fact_id)) AS superseded_by FROM g a JOIN g b
+  ON a.kind = b.kind AND a.key IS NOT DISTINCT FROM b.key AND a.doc_type = b.doc_type AND a.document_id <> b.document_id AND b.effective_date > a.effective_date GROUP BY 1)
+SELECT f.fact_id, superseded_by FROM f LEFT JOIN s ON s.fact_id = f.fact_id"""
+)
+def successor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The successor of every fact."""
+    return L.fact_successors(_facts(spark, sf_dir))
+
+
+KINDS = "['iso_27001', 'dspt_confirmation', 'information_security_policy', 'other', 'cyber_essentials_plus']"
+
+
+def _documents(spark, sf):
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("iso_27001", "dspt_confirmation", "information_security_policy", "other", "cyber_essentials_plus")]), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    date = F.when(F.col("s_suppkey") % 9 > 0, F.date_add(F.lit("2020-01-01").cast("date"), (F.abs(F.col("s_acctbal")) / 100).cast("int")))
+    return table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("document_id"),
+        (F.col("s_nationkey") % 5).alias("org_id"),
+        F.lit("reference").alias("doc_type"),
+        kind.alias("doc_kind"),
+        (F.col("s_suppkey") % 8 != 0).alias("confirmed"),
+        date.alias("effective_date"),
+        F.when(F.col("s_suppkey") % 6 == 0, "upload_time").otherwise("stated").alias("date_source"),
+    )
+
+
+DOCS = f"""d AS (
+  SELECT s_suppkey AS document_id, s_nationkey % 5 AS org_id, {KINDS}[s_suppkey % 5 + 1] AS doc_kind, s_suppkey % 8 <> 0 AS confirmed,
+    CASE WHEN s_suppkey % 9 > 0 THEN DATE '2020-01-01' + CAST(trunc(abs(s_acctbal) / 100) AS INTEGER) END AS effective_date,
+    CASE WHEN s_suppkey % 6 = 0 THEN 'upload_time' ELSE 'stated' END AS date_source FROM supplier)"""
+
+
+@query(
+    f"""WITH {DOCS} SELECT a.document_id AS a_id, b.document_id AS b_id,
+  CASE WHEN a.doc_kind = 'dspt_confirmation' THEN 'keyed_kind'
+    WHEN a.date_source = 'upload_time' OR b.date_source = 'upload_time' OR a.effective_date IS NULL OR b.effective_date IS NULL THEN 'pending_date'
+    WHEN a.effective_date = b.effective_date THEN 'tie' ELSE 'auto' END AS reason
+FROM d a JOIN d b ON a.org_id = b.org_id AND a.doc_kind = b.doc_kind AND a.document_id < b.document_id
+WHERE a.doc_kind <> 'other' AND a.confirmed AND b.confirmed"""
+)
+def pair_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of every pair of supersedable documents of one kind."""
+    d = _documents(spark, sf_dir).where("confirmed and doc_kind <> 'other'")
+    a = d.select("org_id", "doc_kind", F.col("document_id").alias("a_id"), F.col("effective_date").alias("a_date"), F.col("date_source").alias("a_source"))
+    b = d.select("org_id", "doc_kind", F.col("document_id").alias("b_id"), F.col("effective_date").alias("b_date"), F.col("date_source").alias("b_source"))
+    both = a.join(b, ["org_id", "doc_kind"]).where("a_id < b_id")
+    return both.select("a_id", "b_id", L.pair_outcome(*[F.col(c) for c in ("doc_kind", "a_date", "b_date", "a_source", "b_source")])["reason"].alias("reason"))
+
+
+@query(
+    f"""WITH {DOCS}, g AS (SELECT * FROM d WHERE confirmed AND doc_kind NOT IN ('other', 'dspt_confirmation') AND effective_date IS NOT NULL AND date_source <> 'upload_time'),
+s AS (SELECT a.document_id, max_by(b.document_id, (b.effective_date, b.document_id)) AS superseded_by FROM g a JOIN g b
+  ON a.org_id = b.org_id AND a.doc_kind = b.doc_kind AND b.effective_date > a.effective_date GROUP BY 1)
+SELECT d.document_id, superseded_by FROM d LEFT JOIN s ON s.document_id = d.document_id"""
+)
+def document_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest superseder of every document."""
+    return L.document_supersession(_documents(spark, sf_dir))
+
+
+@query("SELECT event_id AS fact_id FROM events WHERE CAST(ts AS DATE) + CAST(value AS INTEGER) < DATE '2024-02-01' AND event_type <> 'error'")
+def expiry_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G8 for a fixed day."""
+    e = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("fact_id"),
+        F.date_add(F.to_date("ts"), F.rint("value").cast("int")).alias("expires_on"),
+        F.when(F.col("event_type") == "error", F.col("ts")).alias("expired_at"),
+    )
+    return L.expired(e, F.lit("2024-02-01").cast("date")).select("fact_id")
