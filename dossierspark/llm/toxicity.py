@@ -1,7 +1,7 @@
 """Operator 6: toxicity by a factorization machine over hashed terms.
 
-Terms of a text are its distinct lower-cased words, and the first 4, 5 and 6 letters of longer ones,
-hashed to 64 bits. A second-order factorization machine adds to linear weights a product of factors for
+Terms of a text are its distinct lower-cased words and their beginnings of 3 to 7 characters, hashed to
+64 bits. A second-order factorization machine adds to linear weights a product of factors for
 every pair of terms that occur together, so that an insult beside a group's name can weigh more than
 both alone. It is fitted on the driver from a bounded sample of labelled documents (SAMPLE_ROWS, those
 of smallest hash of the id), over at most TERMS terms: those whose presence tells most about the label
@@ -13,7 +13,6 @@ share of label 1. Repeated label rows count once, the larger label holds.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,14 +27,14 @@ from .decontaminate import words_of
 from .quality import labelled_sample, remainder
 
 SAMPLE_ROWS = 16_000
-TERMS, FACTORS, ROUNDS, BATCH, RATE, RIDGE, SEED = 4096, 8, 40, 256, 0.05, 1e-4, 7
+TERMS, FACTORS, ROUNDS, BATCH, RATE, RIDGE, SEED = 4096, 8, 20, 256, 0.1, 1e-4, 7
 LEAST_DOCS = 3
 
 
 def terms_of_word(word: bytes) -> list[int]:
-    """A word, and its first 4, 5 and 6 characters if it is longer than that."""
+    """A word, and its first 3 to 7 characters as far as it has them."""
     text = word.decode("utf-8", "replace")
-    starts = [b"^" + text[:k].encode() for k in (4, 5, 6) if len(text) > k]
+    starts = [b"^" + text[:k].encode() for k in range(3, 8) if len(text) >= k]
     return [xxhash.xxh3_64_intdigest(t) for t in (word, *starts)]
 
 
@@ -57,16 +56,14 @@ class Machine:
         return out
 
 
-def choose_terms(docs: list[list[int]], y: np.ndarray) -> np.ndarray:
+def choose_terms(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The terms with the largest information about the label (two-sided G statistic), sorted."""
-    here, all_ = Counter(), Counter()
-    for d, label in zip(docs, y):
-        all_.update(d)
-        if label:
-            here.update(d)
-    names = np.array([t for t, c in all_.items() if c >= LEAST_DOCS], np.uint64)
-    c = np.array([all_[int(t)] for t in names], float)
-    a = np.array([here[int(t)] for t in names], float)
+    names, c = np.unique(np.concatenate(docs), return_counts=True)
+    names, c = names[c >= LEAST_DOCS], c[c >= LEAST_DOCS].astype(float)
+    inside = np.concatenate([d for d, label in zip(docs, y) if label])
+    place = np.searchsorted(names, inside)
+    place = place[names[np.minimum(place, len(names) - 1)] == inside] if len(names) else place[:0]
+    a = np.bincount(place, minlength=len(names)).astype(float)
     n, pos = len(y), float(y.sum())
 
     def part(seen, expected):
@@ -76,15 +73,14 @@ def choose_terms(docs: list[list[int]], y: np.ndarray) -> np.ndarray:
     return np.sort(names[np.lexsort((names, -g))[:TERMS]])
 
 
-def fit_machine(docs: list[list[int]], y: np.ndarray) -> Machine:
-    """AdaGrad on the logistic loss over the chosen terms."""
+def fit_machine(docs: list[np.ndarray], y: np.ndarray) -> Machine:
+    """AdaGrad on the logistic loss over the chosen terms; docs are arrays of distinct terms."""
     share = (y.sum() + 1.0) / (len(y) + 2.0)
     bias = float(np.log(share / (1 - share)))
     if len(np.unique(y)) < 2:
         return Machine(np.zeros(0, np.uint64), bias, np.zeros(0), np.zeros((0, FACTORS)))
     terms = choose_terms(docs, y)
-    number = {int(t): i for i, t in enumerate(terms)}
-    present = [np.array([number[t] for t in d if t in number], np.int64) for d in docs]
+    present = [np.flatnonzero(np.isin(terms, d, assume_unique=True)) for d in docs]
     rng = np.random.default_rng(SEED)
     m = Machine(terms, bias, np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS)))
     seen_w, seen_v, seen_b = np.full(len(terms), 1e-6), np.full(m.factor.shape, 1e-6), 1e-6
@@ -129,7 +125,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Machine:
 
     sample = labelled_sample(docs, labels.where(remainder(5) != 0), "toxic", SAMPLE_ROWS)
     rows = sample.mapInArrow(terms, "terms binary, label int, doc_id long").toArrow().sort_by("doc_id")
-    return fit_machine([np.frombuffer(t.as_py(), np.uint64).tolist() for t in rows["terms"]], rows["label"].to_numpy().astype(np.float64))
+    return fit_machine([np.frombuffer(t.as_py(), np.uint64) for t in rows["terms"]], rows["label"].to_numpy().astype(np.float64))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
