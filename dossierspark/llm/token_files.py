@@ -108,13 +108,18 @@ class WordTokens:
     printable ASCII, or with the marks of special tokens, are encoded one by one.
     """
 
-    WORDS, PIECES, LONGEST = 400_000, 1_000_000, 64
+    WORDS, PIECES, LONGEST = 400_000, 500_000, 64
 
     def __init__(self, vocabulary: str):
         quiet_threads()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        # pieces need no normaliser and no pattern: the same model behind a split at spaces
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         known = self.tokenizer.get_vocab()
         self.width = 2 if len(known) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
@@ -129,7 +134,8 @@ class WordTokens:
     def _learn_pieces(self, new: list[str]) -> None:
         if not new:
             return
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, self.kind)
+        # encode_batch_fast keeps no offsets
+        ids = np.array(self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.kind)
         stops = np.flatnonzero(self.ends_word[ids]) + 1
         if len(stops) == len(new) and stops[-1] == len(ids):
             data, cuts = ids.tobytes(), [0, *(stops * self.width).tolist()]
