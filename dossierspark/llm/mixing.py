@@ -25,7 +25,7 @@ from .common import written
 
 MOST_TIMES = 3
 PATTERNS = 100_000
-FILL = 3
+FILL = 8
 BUCKETS = 4096
 
 

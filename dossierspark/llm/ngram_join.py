@@ -2,12 +2,12 @@
 
 1. Every text becomes a set of 64-bit shingle hashes; equal sets are one *set class*.
 2. Shingles are hashed into groups. Two sets whose Jaccard similarity reaches num/den differ in at
-   most d = (|A|+|B|)(den-num)/(den+num) shingles, so with d+1 groups one group at least is equal in
-   both. A band of set sizes fixes the number of groups, and the hash of a group's content is the key
-   that brings possible partners together. Nothing is sampled or cut: no link can be missed, and a
-   line that thousands of texts share makes no common key unless it fills a whole group.
-3. Classes joined by keys form families; a family is split into blocks of bounded size and every pair
-   of blocks is one cell of work.
+   most d = (|A|+|B|)(den-num)/(den+num) shingles, so with more than d groups some are equal in both.
+   A window of set sizes fixes the number of groups, and the hash of a group's content is the key that
+   brings possible partners together (see Bands). Nothing is sampled or cut: no link can be missed, and
+   a line that thousands of texts share makes no common key unless it fills a whole group.
+3. Classes joined by keys of one window form families; a family is split into blocks of bounded size
+   and every pair of blocks is one cell of work.
 4. In a cell the counts of shingles by group are points of a packed R-tree. For a query set the sum of
    coordinate minima with a node's upper corner bounds the overlap with all below; surviving sets are
    verified exactly, sets already joined are passed over.
@@ -35,7 +35,8 @@ COORDINATES = 32
 LEAF, FANOUT = 32, 16
 #: A cell holds two blocks; bounds on its texts and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 21
-BANDS_STEP = 3
+#: More groups than needed, as a share of the shingles that may differ; the largest share of weak groups.
+SLACK, WEAK_SHARE = 0.15, 0.1
 #: The filter of ids whose texts go to their families: 8 MB at most.
 FILTER_BITS, FILTER_HASHES = 1 << 26, 3
 
@@ -67,37 +68,62 @@ def set_hash(s: np.ndarray) -> int:
 
 
 class Bands:
-    """Size bands, and the number of groups that makes one equal group certain for each band."""
+    """Bands of set sizes, a band's sizes within one similarity ratio, and the groups of each band.
+
+    Window b compares sets of band b with each other and with those of the next band that are near
+    enough in size (guests). Two linked sets of a window differ in at most `differ` shingles, so of
+    `groups` groups at least groups - differ are equal in both. A set with fewer weak groups (of at most
+    `weak` shingles, which unrelated sets may share by a common line, or by being empty) than that need
+    not show them: an equal group that is not weak is certain then.
+    """
 
     def __init__(self, num: int, den: int, largest: int = 1 << 40):
         lows = [1]
         while lows[-1] < largest:
-            lo = lows[-1]
-            lows.append(max(lo + 1, -(-lo * den**BANDS_STEP // num**BANDS_STEP)))
+            lows.append(max(lows[-1] + 1, -(-lows[-1] * den // num)))
         self.lows = np.array(lows[:-1])
         ups = [x - 1 for x in lows[1:]]
         self.guests = [up * den // num for up in ups]
-        self.groups = [(up + g) * (den - num) // (den + num) + 1 for up, g in zip(ups, self.guests)]
+        self.differ = [(up + g) * (den - num) // (den + num) for up, g in zip(ups, self.guests)]
+        self.groups = [d + 1 + max(1, round(SLACK * d)) for d in self.differ]
+        self.weak = [self._weak(lo / g) for lo, g in zip(lows, self.groups)]
+
+    @staticmethod
+    def _weak(mean: float) -> int:
+        """The largest group size that at most WEAK_SHARE of the groups stay below or at (Poisson)."""
+        size, term = -1, float(np.exp(-mean))
+        total = term
+        while total <= WEAK_SHARE:
+            size += 1
+            term *= mean / (size + 1)
+            total += term
+        return size
 
     def of(self, n: int) -> list[int]:
+        """The windows of a set of n shingles; none where only equal sets can link."""
         b = int(np.searchsorted(self.lows, n, "right")) - 1
-        return [b] + ([b - 1] if b and n <= self.guests[b - 1] else [])
+        return [w for w in ([b] + ([b - 1] if b and n <= self.guests[b - 1] else [])) if n and self.differ[w]]
 
 
-def group_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The keys of a set: one for each group of each band it takes part in."""
-    out = []
-    high, mixed = s >> np.uint64(32), mix64(s ^ GOLDEN)
-    for b in bands.of(len(s)):
-        g = bands.groups[b]
-        if g > 1:  # else only equal sets can link
-            at = ((high * np.uint64(g)) >> np.uint64(32)).astype(np.int64)
-            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            content = np.zeros(g, np.uint64)
-            content[at[first]] = np.add.reduceat(mixed, first)
-            place = (np.arange(g, dtype=np.uint64) + np.uint64(b << 44)) * GOLDEN
-            out.append(mix64(content ^ mix64(place)))
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+def node_names(h: int, windows: list[int]) -> list[int]:
+    """A set class in each of its windows, as signed longs."""
+    if not windows:
+        return []
+    w = np.array(windows, np.uint64) + np.uint64(1)
+    return mix64(np.full(len(w), h, np.int64).view(np.uint64) ^ (w * GOLDEN)).view(np.int64).tolist()
+
+
+def group_keys(s: np.ndarray, bands: Bands, b: int) -> np.ndarray:
+    """The keys of a set in window b: the content of its groups, weak ones only where they may be needed."""
+    g = bands.groups[b]
+    at = (((s >> np.uint64(32)) * np.uint64(g)) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    content, size = np.zeros(g, np.uint64), np.bincount(at, minlength=g)
+    content[at[first]] = np.add.reduceat(mix64(s ^ GOLDEN), first)
+    place = (np.arange(g, dtype=np.uint64) + np.uint64(b << 44)) * GOLDEN
+    keys = mix64(content ^ mix64(place)).view(np.int64)
+    strong = size > bands.weak[b]
+    return keys[strong] if g - int(strong.sum()) < g - bands.differ[b] else keys
 
 
 class CountTree:
@@ -205,40 +231,44 @@ def jaccard_components(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width)
+        shingle, bands = Shingler(width), Bands(num, den)
         for batch in batches:
-            n, h = [], []
+            n, h, nodes = [], [], []
             for text in batch["text"]:
                 s = shingle(text.as_py())
                 n.append(len(s))
                 h.append(set_hash(s))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(h, pa.int64())], ["doc_id", "n", "h"])
+                nodes.append(node_names(h[-1], bands.of(len(s))))
+            columns = [batch["doc_id"], pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h", "nodes"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, bands, seen = Shingler(width), Bands(num, den), set()
         for batch in batches:
             for lo in range(0, len(batch), 500):
-                ks, hs = [], []
+                ks, nodes = [], []
                 for text in batch["text"].slice(lo, 500):
                     s = shingle(text.as_py())
                     if not len(s) or (h := set_hash(s)) in seen:
                         continue
                     if len(seen) < 500_000:  # saves rows only: a class that comes twice does no harm
                         seen.add(h)
-                    k = group_keys(s, bands)
-                    ks.append(k)
-                    hs.append(np.full(len(k), h, np.int64))
+                    windows = bands.of(len(s))
+                    for b, node in zip(windows, node_names(h, windows)):
+                        k = group_keys(s, bands, b)
+                        ks.append(k)
+                        nodes.append(np.full(len(k), node, np.int64))
                 if ks:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks)), pa.array(np.concatenate(hs))], ["key", "h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks)), pa.array(np.concatenate(nodes))], ["key", "node"])
 
-    sets = written(texts.mapInArrow(classes, "doc_id long, n long, h long"), "sets")
+    sets = written(texts.mapInArrow(classes, "doc_id long, n long, h long, nodes array<long>"), "sets")
     by_key = Window.partitionBy("key")
     stars = (
         texts.select("text")
-        .mapInArrow(keys, "key long, h long")
-        .select("h", F.min("h").over(by_key).alias("c"))
-        .where("h <> c")
-        .groupBy(F.col("h").alias("a"), F.col("c").alias("b"))
+        .mapInArrow(keys, "key long, node long")
+        .select("node", F.min("node").over(by_key).alias("centre"))
+        .where("node <> centre")
+        .groupBy(F.col("node").alias("a"), F.col("centre").alias("b"))
         .agg(F.lit(1).alias("one"))
         .select("a", "b")
     )
@@ -246,8 +276,10 @@ def jaccard_components(
     members = (
         sets.where("n > 0")
         .groupBy("h")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-        .join(families.select(F.col("node").alias("h"), F.col("root").alias("family")), "h")
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
+        .withColumn("node", F.explode("nodes"))
+        .join(families.select("node", F.col("root").alias("family")), "node")
+        .select("h", "doc_id", "n", "family")
     )
     members = written(members, "members")
     blocks = members.groupBy("family").agg(
