@@ -98,10 +98,7 @@ def _fused(spark, sf, topic_list=True):
     lists = {"vector": R.vector_list(items, queries)}
     if topic_list:
         lists["topic"] = R.vector_list(items, queries, topic=True)
-    scores = lists["vector"].select("query_id", "item_id", "score")
-    if topic_list:
-        scores = scores.union(lists["topic"].select("query_id", "item_id", "score")).groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
-    return R.fuse(lists).join(scores.withColumnRenamed("score", "vector_score"), ["query_id", "item_id"])
+    return R.fuse(lists)
 
 
 FUSED = """
@@ -174,8 +171,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.sha2(normal.cast("binary"), 256).alias("sha"))
     clusters = copies.join(copies.groupBy("sha").agg(F.min("item_id").alias("cluster_id")), "sha").select("item_id", "cluster_id")
     fused = R.fuse({"lexical": lexical, "covering": covering}).withColumn("fused", F.round("fused", 9))
-    scores = lexical.select("query_id", "item_id", "score").union(covering.select("query_id", "item_id", "score")).distinct()
-    full = fused.join(scores.withColumnRenamed("score", "vector_score"), ["query_id", "item_id"]).join(clusters, "item_id")
+    full = fused.join(clusters, "item_id")
     return R.collapse(full).select("query_id", "item_id", "cluster_id", "fused", "rank")
 
 
