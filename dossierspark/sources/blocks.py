@@ -176,11 +176,13 @@ def read_files(spark: SparkSession, path: str, most_bytes: int = 25 << 20) -> Da
 
 def file_blocks(files: DataFrame) -> DataFrame:
     """Blocks of all known kinds: docx, xlsx, xlsm, txt, md."""
-    texts = files.where(F.col("suffix").isin("txt", "md")).select("document_id", F.decode("content", F.lit("UTF-8")).alias("text"))
+    texts = files.where(F.col("suffix").isin("txt", "md")).select("document_id", F.decode("content", "UTF-8").alias("text"))
     return office_blocks(files.where(F.col("suffix").isin(*READERS))).unionByName(text_blocks(texts))
 
 
 def read_json_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Good rows, and rows that could not be read (kept as problems)."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    # parsed from text: the corrupt column alone can't be read straight from a JSON file
+    row = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"}).alias("r")
+    rows = spark.read.text(path).where("trim(value) <> ''").select(row).select("r.*")
     return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.where("_corrupt_record is not null").select("_corrupt_record")

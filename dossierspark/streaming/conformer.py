@@ -25,7 +25,10 @@ _NAMES = [c.split()[0] for c in OUT.split(", ")][:6]
 def _sources(value) -> list[dict]:
     """Sources as plain dicts, one for each type and id."""
     rows = [] if value is None else [dict(x) if isinstance(x, dict) else x.asDict() for x in value]
-    return list({(x["source_type"], x["source_id"]): x for x in reversed(rows)}.values())[::-1] if rows else []
+    first: dict = {}
+    for x in rows:
+        first.setdefault((x["source_type"], x["source_id"]), x)
+    return list(first.values())
 
 
 def fold(held: dict | None, segment: dict) -> tuple[list[dict], dict | None]:
