@@ -280,8 +280,7 @@ def diff(a, b):
 
 def _find(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
     found = [locate(q, t) or {} for q, t in zip(quote, text)]
-    frame = pd.DataFrame(found, columns=["start", "end", "tier", "ratio"], index=range(len(found)))
-    return frame.astype({"start": "Int32", "end": "Int32"})
+    return pd.DataFrame({c: pd.Series([f.get(c) for f in found], dtype=object) for c in ("start", "end", "tier", "ratio")})
 
 
 def find_span(quote, text):
