@@ -1,86 +1,22 @@
-"""Shared pieces of the corpus operators: scratch tables, components, word splitting, sorted groups."""
+"""Shared pieces of the corpus operators: word splitting, hashing, caches, sorted groups."""
 
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Used only where the session names no shared folder (tests on one machine).
-LOCAL_SCRATCH = "file:///tmp/checkpoints"
+from ..operators.components import connected_components, remove, scratch, written
 
+__all__ = ["Forest", "LOWER", "Memo", "connected_components", "mix64", "plain_words", "quiet_threads", "remove", "scratch", "sorted_groups", "table", "utf8", "written"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder under the shared checkpoint folder of the session."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SCRATCH
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in shared storage and read it back: cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
-    return spark.read.schema(nullable).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through Hadoop's file system, wherever it lies."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
-    """(node, root) for every node with an edge; root is the smallest node it reaches.
-
-    Alternating large-star and small-star rounds; each round is one written table, so a lost
-    executor costs one round. Columns a and b are longs; loops and null ends are ignored.
-    """
-    spark = edges.sparkSession
-    now = (
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    path, old, before = scratch(spark, tag), None, None
-    now.write.parquet(path)
-    while True:
-        now = spark.read.schema("u long, v long").parquet(path)
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if old is not None:
-            remove(spark, old)
-        if mark == before or mark[0] == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                now.select(F.col("v"), F.col("v")).distinct()
-            )
-        before, old, path = mark, path, scratch(spark, tag)
-        _small_star(_large_star(now)).write.parquet(path)
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
-
-
 class Forest:
     """Union-find over 0..n-1 whose labels can be read as one array."""
 

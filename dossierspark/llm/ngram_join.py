@@ -9,8 +9,9 @@
 3. Classes joined by keys of one window form families; a family is split into blocks of bounded size
    and every pair of blocks is one cell of work.
 4. In a cell the counts of shingles by group are points of a packed R-tree. For a query set the sum of
-   coordinate minima with a node's upper corner bounds the overlap with all below; surviving sets are
-   verified exactly, sets already joined are passed over.
+   coordinate minima with a node's upper corner bounds the overlap with all below. Cells of count
+   vectors alone leave the classes with a partner that the bound lets through; only their texts travel,
+   again in cells, where surviving pairs are verified exactly and sets already joined are passed over.
 5. Connected components of the links give the classes' component, and documents take it from there.
 
 Nulls, empty and blank texts have the empty set and link with nothing. A text with fewer words than
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import Forest, Memo, connected_components, mix64, plain_words, sorted_groups, written
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-COORDINATES = 32
+#: Coordinates of a count vector; runs of FOLD of them are summed for the upper levels of the tree.
+COORDINATES, FOLD = 256, 8
 LEAF, FANOUT = 32, 16
 #: A cell holds two blocks; bounds on its texts and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 21
@@ -126,16 +128,26 @@ def group_keys(s: np.ndarray, bands: Bands, b: int) -> np.ndarray:
     return keys[strong] if g - int(strong.sum()) < g - bands.differ[b] else keys
 
 
+def count_vector(s: np.ndarray) -> np.ndarray:
+    """Shingles of a set by group (coordinate)."""
+    return np.bincount((s & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES).astype("<u4")
+
+
 class CountTree:
-    """Packed R-tree over count vectors; one array of upper corners and size ranges for each level."""
+    """Packed R-tree over count vectors: an array of upper corners and least sizes for each level.
+
+    Inner levels and a first look at the points use the folded vectors, survivors the full ones.
+    """
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray):
-        widest = int(counts.var(axis=0).argmax())
+        folded = counts.reshape(len(counts), -1, FOLD).sum(axis=2, dtype=np.int64)
+        widest = int(folded.var(axis=0).argmax())
         slab = np.argsort(sizes, kind="stable")
         tile = np.empty(len(sizes), np.int64)
         tile[slab] = np.arange(len(sizes)) // (LEAF * FANOUT)
-        self.order = np.lexsort((counts[:, widest], tile))
-        tops, low, step = counts[self.order], sizes[self.order], LEAF
+        self.order = np.lexsort((folded[:, widest], tile))
+        self.counts, self.folded = counts, folded
+        tops, low, step = folded[self.order], sizes[self.order], LEAF
         self.points, self.point_sizes, self.levels = tops, low, []
         while len(tops) > 1:
             at = np.arange(0, len(tops), step)
@@ -143,52 +155,54 @@ class CountTree:
             self.levels.append((tops, low, step))
             step = FANOUT
 
-    def search(self, q: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
-        """Numbers of the points whose overlap with the query may reach the similarity."""
-        least = -(-num * size // den)
+    def search(self, q: int, size: int, num: int, den: int, wanted: np.ndarray) -> np.ndarray:
+        """Numbers of the wanted points whose overlap with point q may reach the similarity."""
+        least, own = -(-num * size // den), self.folded[q]
         nodes = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
             tops, low, step = self.levels[depth]
-            nodes = nodes[self._may(q, size, tops[nodes], np.maximum(low[nodes], least), num, den)]
+            nodes = nodes[self._may(own, size, tops[nodes], np.maximum(low[nodes], least), num, den)]
             below = len(self.levels[depth - 1][0]) if depth else len(self.points)
             nodes = (nodes[:, None] * step + np.arange(step)).ravel()
             nodes = nodes[nodes < below]
         s = self.point_sizes[nodes]
-        near = (s >= least) & (s * num <= size * den)
-        nodes = nodes[near]
-        return self.order[nodes[self._may(q, size, self.points[nodes], s[near], num, den)]]
+        keep = (s >= least) & (s * num <= size * den) & wanted[self.order[nodes]]
+        nodes, s = nodes[keep], s[keep]
+        keep = self._may(own, size, self.points[nodes], s, num, den)
+        found, s = self.order[nodes[keep]], s[keep]
+        return found[self._may(self.counts[q], size, self.counts[found], s, num, den)]
 
     @staticmethod
     def _may(q, size, tops, sizes, num, den):
         return np.minimum(q, tops).sum(axis=1, dtype=np.int64) * (num + den) >= num * (size + sizes)
 
 
-def cell_links(sets: list[np.ndarray], sides: np.ndarray | None, num: int, den: int) -> np.ndarray:
-    """A spanning star of each part that links within the cell make, as pairs of set numbers.
+def cell_links(sizes: np.ndarray, counts: np.ndarray, sides: np.ndarray | None, num: int, den: int, sets: list | None = None) -> np.ndarray:
+    """A spanning star of each part that a cell's links make, as pairs of set numbers.
 
+    With sets, links are verified; without, pairs that the bound lets through count as links.
     sides: for a cell of two blocks, the block of each set; only pairs across are compared.
     """
-    sizes = np.array([len(s) for s in sets])
-    counts = np.zeros((len(sets), COORDINATES), np.int32)
-    for i, s in enumerate(sets):
-        counts[i] = np.bincount((s & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES)
-    tree, forest = CountTree(counts, sizes), Forest(len(sets))
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    starts = np.r_[0, np.cumsum(sizes)]
-    flags = np.zeros(int(codes.max()) + 1, bool)
-    for q in range(len(sets)):
-        found = tree.search(counts[q], int(sizes[q]), num, den)
-        found = found[(forest.root[found] != forest.root[q]) & (found > q if sides is None else sides[found] > sides[q])]
-        if not len(found):
+    tree, forest, n = CountTree(counts, sizes), Forest(len(sizes)), len(sizes)
+    if sets is not None:
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        starts = np.r_[0, np.cumsum(sizes)]
+        flags = np.zeros(int(codes.max()) + 1, bool)
+    for q in range(n):
+        wanted = forest.root != forest.root[q]
+        wanted &= np.arange(n) > q if sides is None else sides > sides[q]
+        if not wanted.any():
             continue
-        own = codes[starts[q] : starts[q + 1]]
-        flags[own] = True
-        if sizes[found].sum() * 4 > starts[-1]:
-            overlap = np.add.reduceat(flags[codes], starts[:-1])[found]
-        else:
-            overlap = np.array([np.count_nonzero(flags[codes[starts[p] : starts[p + 1]]]) for p in found])
-        flags[own] = False
-        linked = found[den * overlap >= num * (sizes[q] + sizes[found] - overlap)]
+        linked = found = tree.search(q, int(sizes[q]), num, den, wanted)
+        if sets is not None and len(found):
+            own = codes[starts[q] : starts[q + 1]]
+            flags[own] = True
+            if sizes[found].sum() * 4 > starts[-1]:
+                overlap = np.add.reduceat(flags[codes].astype(np.int64), starts[:-1])[found]
+            else:
+                overlap = np.array([np.count_nonzero(flags[codes[starts[p] : starts[p + 1]]]) for p in found])
+            flags[own] = False
+            linked = found[den * overlap >= num * (sizes[q] + sizes[found] - overlap)]
         if len(linked):
             forest.join(q, linked)
     return forest.tree()
@@ -224,6 +238,19 @@ def possibly_among(ids: DataFrame, most_bits: int = FILTER_BITS):
     return known(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in range(FILTER_HASHES)])
 
 
+def _cells(members: DataFrame, blocks) -> DataFrame:
+    """members with lo, hi and block: every pair of blocks of a family is a cell, so is every block."""
+    counted = members.groupBy("family").agg(blocks.cast("int").alias("blocks")).where("blocks > 0")
+    return (
+        members.join(counted, "family")
+        .withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("lo", F.least("block", "other"))
+        .withColumn("hi", F.greatest("block", "other"))
+        .drop("blocks", "other")
+    )
+
+
 def jaccard_components(
     docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -233,14 +260,15 @@ def jaccard_components(
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, bands = Shingler(width), Bands(num, den)
         for batch in batches:
-            n, h, nodes = [], [], []
+            n, h, nodes, counts = [], [], [], []
             for text in batch["text"]:
                 s = shingle(text.as_py())
                 n.append(len(s))
                 h.append(set_hash(s))
                 nodes.append(node_names(h[-1], bands.of(len(s))))
-            columns = [batch["doc_id"], pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(nodes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h", "nodes"])
+                counts.append(count_vector(s).tobytes() if nodes[-1] else None)
+            columns = [batch["doc_id"], pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(nodes, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h", "nodes", "counts"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, bands, seen = Shingler(width), Bands(num, den), set()
@@ -261,7 +289,7 @@ def jaccard_components(
                 if ks:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks)), pa.array(np.concatenate(nodes))], ["key", "node"])
 
-    sets = written(texts.mapInArrow(classes, "doc_id long, n long, h long, nodes array<long>"), "sets")
+    sets = written(texts.mapInArrow(classes, "doc_id long, n long, h long, nodes array<long>, counts binary"), "sets")
     by_key = Window.partitionBy("key")
     stars = (
         texts.select("text")
@@ -272,25 +300,38 @@ def jaccard_components(
         .agg(F.lit(1).alias("one"))
         .select("a", "b")
     )
-    families = written(connected_components(stars, "families"), "family")
-    members = (
-        sets.where("n > 0")
-        .groupBy("h")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
+    # what each class may meet: families of nodes, cut to cells; the bound alone decides who stays
+    families = connected_components(stars, "families").select("node", F.col("root").alias("family"))
+    classes_of = sets.where(F.size("nodes") > 0).groupBy("h")
+    members = written(
+        classes_of.agg(F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("nodes").alias("nodes"))
         .withColumn("node", F.explode("nodes"))
-        .join(families.select("node", F.col("root").alias("family")), "node")
-        .select("h", "doc_id", "n", "family")
+        .join(families, "node")
+        .select("family", "h", "n", "counts"),
+        "members",
     )
-    members = written(members, "members")
-    blocks = members.groupBy("family").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    )
-    cells = (
-        members.join(blocks, "family")
-        .withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("doc_id", "h", "family", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell in sorted_groups(batches, ["family", "lo", "hi"]):
+            if len(cell) < 2:
+                continue
+            counts = np.frombuffer(b"".join(cell["counts"]), "<u4").reshape(len(cell), COORDINATES)
+            across = cell["lo"].iloc[0] != cell["hi"].iloc[0]
+            pairs = cell_links(cell["n"].to_numpy(), counts, cell["block"].to_numpy() if across else None, num, den)
+            if len(pairs):
+                names = cell["h"].to_numpy()
+                yield pd.DataFrame({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
+
+    survivors = (
+        _cells(members, F.ceil(F.count("*") / BLOCK_SETS))
+        .repartition("family", "lo", "hi")
+        .sortWithinPartitions("family", "lo", "hi", "h")
+        .select("family", "lo", "hi", "block", "h", "n", "counts")
+        .mapInPandas(bounded, "a long, b long")
     )
+    groups = connected_components(survivors, "bounded").select(F.col("node").alias("h"), F.col("root").alias("family"))
+    kept = written(classes_of.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).join(groups, "h"), "survivors")
+    cells = _cells(kept, F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)))
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(width)
@@ -303,13 +344,14 @@ def jaccard_components(
             if len(sets) < 2:
                 continue
             across = cell["lo"].iloc[0] != cell["hi"].iloc[0]
-            pairs = cell_links(sets, cell["block"].to_numpy()[right] if across else None, num, den)
+            sizes, counts = np.array([len(s) for s in sets]), np.array([count_vector(s) for s in sets])
+            pairs = cell_links(sizes, counts, cell["block"].to_numpy()[right] if across else None, num, den, sets)
             if len(pairs):
                 yield pd.DataFrame({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
 
     # a repeated doc_id may carry other texts: rows whose set is not the class's own fall out in links()
     found = (
-        cells.join(texts.where(possibly_among(members)), "doc_id")
+        cells.join(texts.where(possibly_among(kept)), "doc_id")
         .repartition("family", "lo", "hi")
         .sortWithinPartitions("family", "lo", "hi", "h")
         .select("family", "lo", "hi", "block", "h", "text")
