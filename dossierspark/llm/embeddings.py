@@ -74,7 +74,8 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.93, margin: float =
     n = classes.count()
     sample = classes.orderBy("name").limit(SAMPLE_ROWS).select("v").toArrow()["v"].to_pylist() if n else []
     width = max(map(len, sample), default=0)
-    x = np.array([v for v in sample if len(v) == width], np.float64).reshape(-1, width)
+    sample = [v for v in sample if len(v) == width]
+    x = np.array(sample, np.float64).reshape(len(sample), width)
     k = min(CENTROIDS, max(1, -(-n // CELL_ROWS)))
     centroids = fit_centroids(x / np.linalg.norm(x, axis=1, keepdims=True), k) if len(x) else np.zeros((1, width))
     shared = spark.sparkContext.broadcast(centroids)

@@ -59,7 +59,7 @@ def test_phrases_in_several_blocks(spark, monkeypatch):
 
 
 def test_empty_tables(spark):
-    docs, items = make(1, 3, 2)
+    docs, items = make(1, 3, 3)
     check(spark, docs, [(1, None)])
     d = spark.createDataFrame([], "doc_id long, text string")
     assert D.contamination(d, spark.createDataFrame(items, "item_id long, text string")).count() == 0
