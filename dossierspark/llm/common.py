@@ -11,12 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.components import connected_components, remove, scratch, written
 
-__all__ = ["Forest", "LOWER", "Memo", "connected_components", "mix64", "plain_words", "quiet_threads", "remove", "scratch", "sorted_groups", "table", "utf8", "written"]
+__all__ = ["Forest", "LOWER", "Memo", "connected_components", "mix64", "plain_words", "quiet_threads", "remove", "scratch", "sorted_groups", "table", "text_batches", "utf8", "written"]
+
+#: Texts may be long: so many rows go to a Python worker at once.
+TEXT_ROWS = 1000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """From now on the session's Arrow batches hold `rows` rows at most (fewer where the session asks for that).
+
+    A batch exists in the JVM and in the worker at the same time, so its size bounds a task's memory.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= rows:
+        spark.conf.set(key, rows)
+
+
 class Forest:
     """Union-find over 0..n-1 whose labels can be read as one array."""
 

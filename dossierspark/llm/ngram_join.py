@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, Memo, connected_components, mix64, plain_words, sorted_groups, written
+from .common import Forest, Memo, connected_components, mix64, plain_words, sorted_groups, text_batches, written
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Coordinates of a count vector; runs of FOLD of them are summed for the upper levels of the tree.
 COORDINATES, FOLD = 256, 8
 LEAF, FANOUT = 32, 16
 #: A cell holds two blocks; bounds on its texts and shingles.
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 21
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
 #: More groups than needed, as a share of the shingles that may differ; the largest share of weak groups.
 SLACK, WEAK_SHARE = 0.15, 0.1
 #: The filter of ids whose texts go to their families: 8 MB at most.
@@ -255,6 +255,7 @@ def jaccard_components(
     docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
+    text_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

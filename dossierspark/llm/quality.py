@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 SAMPLE_ROWS = 16_000
 TREES, DEPTH, BINS, RATE, LEAST_WEIGHT, RIDGE = 80, 4, 64, 0.15, 4.0, 1.0
 NAMES = [
@@ -171,6 +173,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> Trees:
             x = [statistics(t.as_py()) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch["label"], batch["doc_id"]], ["x", "label", "doc_id"])
 
+    text_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels.where(remainder(3) != 1), "quality", SAMPLE_ROWS)
     rows = sample.mapInArrow(features, "x array<double>, label int, doc_id long").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")  # the order of tasks must not change the fit

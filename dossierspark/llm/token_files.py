@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quiet_threads, scratch
+from .common import quiet_threads, scratch, text_batches
 
 SEGMENT_IDS = 1 << 20
 END_ID = 2
@@ -235,6 +235,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
         if names:
             yield segment()
 
+    text_batches(docs.sparkSession)
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .repartitionByRange("doc_id")

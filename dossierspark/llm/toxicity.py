@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, text_batches
 from .decontaminate import words_of
 from .quality import labelled_sample, remainder
 
@@ -123,6 +123,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Machine:
             rows = [np.array(_distinct_terms(memo, t.as_py()), np.uint64).tobytes() for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch["label"], batch["doc_id"]], ["terms", "label", "doc_id"])
 
+    text_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels.where(remainder(5) != 0), "toxic", SAMPLE_ROWS)
     rows = sample.mapInArrow(terms, "terms binary, label int, doc_id long").toArrow().sort_by("doc_id")
     return fit_machine([np.frombuffer(t.as_py(), np.uint64) for t in rows["terms"]], rows["label"].to_numpy().astype(np.float64))
