@@ -143,27 +143,37 @@ class WordTokens:
         else:
             self.pieces.update((w, self.one(w)) for w in new)
 
+    def _learn_words(self, new: list[str]) -> None:
+        parts = {w: _PIECES.findall(w.lower()) if _PLAIN.fullmatch(w) and "<|" not in w else None for w in new}
+        wanted = set(chain.from_iterable(p for p in parts.values() if p))
+        self._learn_pieces(sorted(wanted.difference(self.pieces)))
+        get = self.pieces.__getitem__
+        for w, p in parts.items():
+            self.words[w] = self.one(w) if p is None else get(p[0]) if len(p) == 1 else b"".join(map(get, p))
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if len(self.words) > self.WORDS:
             self.words.clear()
         if len(self.pieces) > self.PIECES:
             self.pieces.clear()
         rows = [_words(t) for t in texts]
-        out = [list(map(self.words.get, r)) for r in rows]
-        gaps = [(o, r, i) for o, r in zip(out, rows) if None in o for i, x in enumerate(o) if x is None]
-        parts = {}
-        for w in {r[i] for _, r, i in gaps}:
-            parts[w] = _PIECES.findall(w.lower()) if _PLAIN.fullmatch(w) and "<|" not in w else None
-        wanted = set(chain.from_iterable(p for p in parts.values() if p))
-        self._learn_pieces(sorted(wanted.difference(self.pieces)))
-        get = self.pieces.__getitem__
-        for w, p in parts.items():
-            self.words[w] = self.one(w) if p is None else get(p[0]) if len(p) == 1 else b"".join(map(get, p))
-        for o, r, i in gaps:
-            o[i] = self.words[r[i]]
-        for long in [w for w in parts if len(w) > self.LONGEST]:
-            del self.words[long]
-        return [b"".join(o) for o in out]
+        # each distinct word is looked up once, its ids are then dealt to its places
+        flat = pa.array(chain.from_iterable(rows), pa.string()).dictionary_encode()
+        distinct = flat.dictionary.to_pylist()
+        self._learn_words([w for w in distinct if w not in self.words])
+        ids = [self.words[w] for w in distinct]
+        for w in distinct:
+            if len(w) > self.LONGEST:
+                del self.words[w]
+        table = np.frombuffer(b"".join(ids), self.kind)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        place = flat.indices.to_numpy().astype(np.int64)
+        n = size[place]
+        ends = np.cumsum(n)
+        start = (np.cumsum(size) - size)[place] - (ends - n)
+        data = table[np.repeat(start, n) + np.arange(len(table) and int(n.sum()))].tobytes()
+        stops = np.r_[0, ends][np.cumsum([0, *map(len, rows)])] * self.width
+        return [data[s:e] for s, e in zip(stops.tolist(), stops[1:].tolist())]
 
 
 def _words(text: str | None) -> list[str]:
