@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import quiet_threads, scratch, text_batches
 
 SEGMENT_IDS = 1 << 20
+#: Documents encoded at once: distinct words are looked up once for so many.
+ENCODE_ROWS = 4000
 END_ID = 2
 
 
@@ -200,7 +202,7 @@ _NAMES = [c.split()[0] for c in SEGMENT.split(", ")]
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], tokens: WordTokens, rows: int = 1000) -> Iterator[tuple]:
+def encoded(batches: Iterator[pa.RecordBatch], tokens: WordTokens, rows: int = ENCODE_ROWS) -> Iterator[tuple]:
     """(doc_id, ids as bytes) of every document in turn."""
     for batch in batches:
         for lo in range(0, len(batch), rows):
@@ -245,7 +247,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
         if names:
             yield segment()
 
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, ENCODE_ROWS)
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .repartitionByRange("doc_id")
