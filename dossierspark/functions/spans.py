@@ -51,6 +51,24 @@ def folded(text: str) -> tuple[str, np.ndarray]:
     return "".join(out), np.concatenate(at) if at else np.zeros(0, np.int64)
 
 
+class _Plain(dict):
+    """What a character becomes before words are parted and lowered, worked out once for each."""
+
+    def __missing__(self, c: int) -> str:
+        self[c] = "".join(_MAP.get(x, x) for x in unicodedata.normalize("NFKC", chr(c)))
+        return self[c]
+
+
+_PLAIN = _Plain()
+
+
+def folded_text(text: str) -> str:
+    """The normal form alone: folded(text)[0], without the places."""
+    chars = text if text.isascii() else text.translate(_PLAIN)
+    chars = " ".join((_SPLIT_WORD.sub("", chars) if "-" in chars else chars).split())
+    return chars.lower() if chars.isascii() else "".join(map(str.lower, chars))
+
+
 def _closest(quote: str, text: str, tries: int = 5, steps: int = 64) -> tuple[int, int, float]:
     """The span of whole words of text nearest to quote by matching-block ratio."""
     matcher = SequenceMatcher(None, "", quote, autojunk=False)
@@ -100,6 +118,26 @@ def locate(quote: str | None, text: str | None, least: float = DEFAULTS.span_mat
     return {"start": int(at[s]), "end": int(at[e - 1]) + 1, "tier": "near", "ratio": r} if r >= least else None
 
 
+def may_stand(quote: str, text: str, least: float = DEFAULTS.span_match_min) -> bool:
+    """Whether locate may find a folded quote in a folded text; never wrongly false.
+
+    A span with the ratio r to a quote of n characters shares at most n with it and leaves at most
+    2 n (1 - r) / r characters of both over. The fewest that any span leaves over are worked out by
+    rows, a row for each character of the quote.
+    """
+    t, at = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), np.arange(len(text) + 1, dtype=np.int32)
+    left, same, most = np.zeros(len(text) + 1, np.int32), {}, 2 * len(quote) * (1 - least) / least + 1e-6
+    for i, c in enumerate(quote, 1):
+        if c not in same:
+            same[c] = (t != ord(c)).astype(np.int32) * 2
+        new = left + 1
+        np.minimum(new[1:], left[:-1] + same[c], out=new[1:])
+        left = np.minimum.accumulate(new - at) + at
+        if i % 16 == 0 and left.min() > most:  # later rows have no fewer
+            return False
+    return bool(left.min() <= most)
+
+
 def locate_anchored(text: str, first: str, last: str, copied: str, after: int = 0) -> dict | None:
     """By the copied words' first and last words, if the length fits within a quarter; else by all of them."""
     t, at = folded(text or "")

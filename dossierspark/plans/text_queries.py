@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans, text as T
 from ..operators import batching
-from ..operators.retrieval import lexical_list
+from ..operators.quotes import quote_places
 from .registry import query, table
 
 
@@ -122,18 +122,9 @@ def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def located_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark text located in its best chunk by lexical rank."""
+    """Each benchmark text in every document that holds it, verbatim or near; item_id is the document."""
     quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    cut = table(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode(spans.chunks("text")).alias("i", "c"))
-    body = F.substring("text", F.col("c.start") + 1, F.col("c.end") - F.col("c.start"))
-    chunks = cut.select((F.col("doc_id") * 1_000_000 + F.col("i")).alias("item_id"), body.alias("body"))
-    items = chunks.select("item_id", F.lit(None).cast("string").alias("question"), F.col("body").alias("answer"))
-    top = lexical_list(items, quotes, most=1).select("query_id", "item_id")
-    pairs = top.join(quotes, "query_id").join(chunks, "item_id")
-    # exact places in the JVM; the Python search runs on the others alone
-    hit = pairs.where("instr(body, text) > 0").select("query_id", "item_id", (F.expr("instr(body, text)") - 1).alias("start"), F.lit("verbatim").alias("tier"))
-    rest = pairs.where("instr(body, text) = 0").withColumn("f", spans.find_span("text", "body")).where("f.start is not null")
-    return hit.union(rest.select("query_id", "item_id", "f.start", "f.tier"))
+    return quote_places(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"), quotes)
 
 
 @query()
