@@ -66,7 +66,13 @@ def lexical_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TERMS} SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank FROM lexical")
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2 without stemming: the best 20 documents of every benchmark text."""
-    return R.lexical_list(_items(spark, sf_dir), _queries(spark, sf_dir)).select("query_id", "item_id", "rank")
+    return R.lexical_list(_items(spark, sf_dir), _queries(spark, sf_dir), stem=False).select("query_id", "item_id", "rank")
+
+
+@query()
+def lexical_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 20 documents of every benchmark text by English stems, stop words left out."""
+    return R.lexical_list(_items(spark, sf_dir), _queries(spark, sf_dir)).select("query_id", "item_id", "score", "rank")
 
 
 VECTOR = """
@@ -164,7 +170,7 @@ FROM one QUALIFY rank <= 8"""
 )
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical rank and term coverage over all documents, fused, copies collapsed, best eight."""
-    scored = R.lexical_list(_items(spark, sf_dir), _queries(spark, sf_dir), most=1 << 30)
+    scored = R.lexical_list(_items(spark, sf_dir), _queries(spark, sf_dir), most=1 << 30, stem=False)
     lexical = scored.where("rank <= 20")
     covering = R.ranked(scored.drop("rank"), 20, F.desc("n_terms"), F.asc("item_id"))
     normal = F.trim(F.regexp_replace(F.lower("text"), r"[ \t\n\r\f\x0B]+", " "))
@@ -193,7 +199,7 @@ SELECT b.item_id AS query_id, CASE WHEN coalesce(share, 0) >= 0.5 THEN 'covered'
 def coverage_judgement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a question's content words in the best three candidates, judged."""
     queries, docs = _queries(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), content_words(F.col("text")).alias("d"))
-    top = R.lexical_list(_items(spark, sf_dir), queries, most=3)
+    top = R.lexical_list(_items(spark, sf_dir), queries, most=3, stem=False)
     pairs = top.join(queries.select("query_id", content_words(F.col("text")).alias("q")), "query_id").join(docs, "item_id")
     judged = pairs.groupBy("query_id").agg(F.max(word_share(F.col("q"), F.col("d"))).alias("share"))
     return R.triage(queries.select("query_id", F.lit(1.0).alias("best")), judged)
