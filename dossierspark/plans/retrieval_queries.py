@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import content_words, lexical_query, word_share
+from ..functions.spans import hash_embedding
+from ..functions.text import content_words, lexical_query, topics_for, word_share
+from ..functions.vectors import cosine
 from ..operators import retrieval as R
+from ..operators.components import written
 from ..settings import GENERIC_STOPWORDS, LEXICAL_STOPWORDS
 from .registry import query, table
 
@@ -169,7 +172,7 @@ SELECT query_id, item_id, cluster_id, fused, CAST(row_number() OVER (PARTITION B
 FROM one QUALIFY rank <= 8"""
 )
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical rank and term coverage over all documents, fused, copies collapsed, best eight."""
+    """The part of R12 that SQL can check (see hybrid_retrieval): lexical rank and term coverage over all documents, fused, copies collapsed, best eight."""
     scored = R.lexical_list(_items(spark, sf_dir), _queries(spark, sf_dir), most=1 << 30, stem=False)
     lexical = scored.where("rank <= 20")
     covering = R.ranked(scored.drop("rank"), 20, F.desc("n_terms"), F.asc("item_id"))
@@ -197,7 +200,7 @@ SELECT b.item_id AS query_id, CASE WHEN coalesce(share, 0) >= 0.5 THEN 'covered'
   'judge' AS label_source FROM benchmark b LEFT JOIN judged ON judged.query_id = b.item_id"""
 )
 def coverage_judgement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of a question's content words in the best three candidates, judged."""
+    """Share of a question's content words in the best three lexical candidates, without the floor (see coverage_triage)."""
     queries, docs = _queries(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), content_words(F.col("text")).alias("d"))
     top = R.lexical_list(_items(spark, sf_dir), queries, most=3, stem=False)
     pairs = top.join(queries.select("query_id", content_words(F.col("text")).alias("q")), "query_id").join(docs, "item_id")
@@ -205,6 +208,50 @@ def coverage_judgement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.triage(queries.select("query_id", F.lit(1.0).alias("best")), judged)
 
 
+#: Places of the hash embeddings that stand for those of a model.
+WIDTH = 64
+
+
+def _retrieved(spark, sf, stem=True):
+    """The fused and collapsed candidates of every benchmark text from its lexical, vector and topic lists."""
+    from .text_queries import KEYS
+
+    embedded = lambda d: d.withColumn("vector", hash_embedding("text", WIDTH)).withColumn("topics", topics_for(F.coalesce("text", F.lit("")), list(KEYS), KEYS))
+    normal = F.sha2(F.trim(F.regexp_replace(F.lower("text"), r"[ \t\n\r\f\x0B]+", " ")).cast("binary"), 256)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text", normal.alias("sha")).where("text is not null")
+    docs = written(embedded(docs).drop("text"), "embedded")
+    queries = written(embedded(_queries(spark, sf)), "queries")
+    lists = R.retrieval_lists(_items(spark, sf), docs, queries, stem)
+    copies = docs.groupBy("sha").agg(F.min("item_id").alias("cluster_id"))
+    clusters = docs.join(copies, "sha").select("item_id", "cluster_id")
+    fused = R.fuse(lists).drop("vector_score").withColumn("fused", F.round("fused", 9))
+    # every candidate has its vector score, whichever list it comes from
+    scored = (
+        fused.join(docs.select("item_id", F.col("vector").alias("x")), "item_id")
+        .join(F.broadcast(queries.select("query_id", F.col("vector").alias("y"))), "query_id")
+        .withColumn("vector_score", F.round(cosine(F.col("x"), F.col("y")), 9))
+        .drop("x", "y")
+    )
+    return R.collapse(scored.join(clusters, "item_id"))
+
+
+@query()
+def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical, vector and topic lists of every benchmark text over all documents, fused, copies collapsed, best eight."""
+    return _retrieved(spark, sf_dir).select("query_id", "item_id", "cluster_id", "lexical_rank", "vector_rank", "topic_rank", "fused", "vector_score", "rank")
+
+
+@query()
+def coverage_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New below the floor of the best vector score, else judged by the best three of the fused candidates."""
+    queries, kept = _queries(spark, sf_dir), written(_retrieved(spark, sf_dir), "kept")
+    top = kept.where("rank <= 3").select("query_id", "item_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text").join(F.broadcast(top.select("item_id").distinct()), "item_id")
+    pairs = top.join(docs, "item_id").join(queries.select("query_id", content_words(F.col("text")).alias("q")), "query_id")
+    judged = pairs.groupBy("query_id").agg(F.max(word_share(F.col("q"), content_words(F.col("text")))).alias("share"))
+    return R.triage(R.best_vector_score(kept, queries), judged)
+
+
 @query(
     f"""WITH {VECTOR}, truth AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id FROM v q JOIN v i ON q.label = i.label AND q.vec_id % 50 = 0 AND i.vec_id <> q.vec_id),
 ranks AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM vec WHERE query_id <> item_id),
