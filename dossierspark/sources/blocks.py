@@ -19,25 +19,40 @@ _NAMES = [c.split()[0] for c in BLOCK.split(", ")]
 
 
 class _Html(HTMLParser):
-    """Headings, paragraphs and table rows in order; scripts, styles and navigation are passed over."""
+    """Headings, paragraphs and table rows in order; scripts, styles and navigation are passed over.
+
+    A head without an end tag ends at the body's first tag, other open elements with the one around them.
+    """
 
     SKIP = {"script", "style", "nav", "head", "noscript"}
+    HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
     BREAK = {"p", "div", "li", "section", "article", "br", "ul", "ol", "td", "th", "body", "footer", "header"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks, self.text, self.skip, self.level = [], [], 0, 0
+        self.blocks, self.text, self.open, self.level = [], [], [], 0
         self.tables, self.row, self.row_number = 0, None, 0
 
+    @property
+    def skip(self):
+        return not self.SKIP.isdisjoint(self.open)
+
     def flush(self):
         text, self.text = re.sub(r"\s+", " ", "".join(self.text)).strip(), []
         if text:
             self.blocks.append({"kind": "heading", "level": self.level, "text": text} if self.level else {"kind": "paragraph", "text": text})
 
     def handle_starttag(self, tag, attrs):
+        if "head" in self.open and tag not in self.HEAD and (tag == "body" or "noscript" not in self.open):
+            del self.open[self.open.index("head") :]
+        while tag == "nav" and self.open and self.open[-1] == "p":  # a paragraph holds no nav
+            self.open.pop()
+        if tag not in self.VOID and not (tag in ("p", "li", "tr", "td", "th") and self.open[-1:] == [tag]):  # it ends the one before
+            self.open.append(tag)
         if tag in self.SKIP:
-            self.skip += 1
-        elif re.fullmatch("h[1-6]", tag):
+            return
+        if re.fullmatch("h[1-6]", tag):
             self.flush()
             self.level = int(tag[1])
         elif tag == "table":
@@ -51,9 +66,11 @@ class _Html(HTMLParser):
             self.flush()
 
     def handle_endtag(self, tag):
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
         if tag in self.SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif re.fullmatch("h[1-6]", tag):
+            return
+        if re.fullmatch("h[1-6]", tag):
             self.flush()
             self.level = 0
         elif tag in ("td", "th") and self.row is not None:
