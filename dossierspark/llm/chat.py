@@ -1,19 +1,22 @@
 """Operator 2: chat formatting, with Spark expressions only.
 
-Turns of a conversation are collected as structs, sorted by turn (ties by role, then text), adjacent
-turns of one role are merged by array aggregation, and the blocks are concatenated:
+Turns of a conversation are collected as structs, sorted by turn (ties by raw role, then raw text),
+adjacent turns of one role are merged by array aggregation, and the blocks are concatenated:
 
     <|im_start|>role<|im_sep|>text<|im_next|>text of the next merged turn<|im_end|>
 
 In roles and texts a backslash is doubled and ``<|`` becomes ``<\\|``, so no marker can occur inside
 them and reading back is exact. The loss mask is a list of spans (code points, end exclusive) over the
 formatted text: the texts of assistant turns. Null texts and roles count as empty; a null turn sorts
-first; rows with a null conversation id are one conversation; repeated rows are turns of their own.
+first; rows with a null conversation id are one conversation; repeated rows are turns of their own. Very
+long texts stay whole, an empty table gives an empty one, and columns other than conv_id, turn, role and
+text are left aside, whatever their names. A conversation is one output row, so all its turns meet in one
+task; that is inherent in one formatted text a conversation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, SEP, NEXT, END = "<|im_start|>", "<|im_sep|>", "<|im_next|>", "<|im_end|>"
@@ -28,41 +31,33 @@ def unescaped(c: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_spans array<struct<start, end>>."""
-    text = escaped(F.coalesce(F.col("text"), F.lit("")))
-    role = escaped(F.coalesce(F.col("role"), F.lit("")))
-    sorted_turns = turns.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", role.alias("role"), text.alias("text")))).alias("turns")
-    )
-
-    def pieces(i: Column, here: Column, turns: Column) -> Column:
-        """What stands before a turn's text, the text, and what closes a block."""
-        same = lambda j: (j >= 0) & (j < F.size(turns)) & (F.get(turns, j)["role"] == here["role"])
-        head = F.when(same(i - 1), F.lit(NEXT)).otherwise(F.concat(F.lit(START), here["role"], F.lit(SEP)))
-        tail = F.when(same(i + 1), F.lit("")).otherwise(F.lit(END))
-        return F.struct(head.alias("head"), here["text"].alias("text"), tail.alias("tail"), (here["role"] == "assistant").alias("loss"))
-
-    cut = sorted_turns.select("conv_id", F.transform("turns", lambda t, i: pieces(i, t, F.col("turns"))).alias("pieces"))
-    whole = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["text"], p["tail"])), "")
-    long = lambda c: F.length(c).cast("long")
-    marked = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + long(p["head"]) + long(p["text"]) + long(p["tail"])).alias("at"),
-            F.when(
-                p["loss"],
-                F.concat(
-                    a["spans"],
-                    F.array(F.struct((a["at"] + long(p["head"])).alias("start"), (a["at"] + long(p["head"]) + long(p["text"])).alias("end"))),
-                ),
-            )
-            .otherwise(a["spans"])
-            .alias("spans"),
-        ),
-        lambda a: a["spans"],
+    """conv_id, formatted, loss_spans array<struct<start, end>>.
+
+    The places of the texts are running sums over the conversation's rows, taken before they are
+    collected, so the spans grow with the turns and not with their square.
+    """
+    rows = turns.select("conv_id", "turn", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")])
+    w = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    size = lambda c: F.length(c).cast("long")
+    block = F.lit(len(START) + len(SEP)) + size(escaped(F.col("role")))
+    head = F.when(F.lag("role").over(w) == F.col("role"), F.lit(len(NEXT))).otherwise(block)
+    tail = F.when(F.lead("role").over(w) == F.col("role"), F.lit(0)).otherwise(F.lit(len(END)))
+    measured = rows.withColumn("head", head).withColumn("tail", tail).withColumn("size", size(escaped(F.col("text"))))
+    through = F.sum(F.col("head") + F.col("size") + F.col("tail")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tail")
+    placed = measured.withColumn("end", through).withColumn("start", F.col("end") - F.col("size"))
+    collected = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "start", "end"))).alias("turns"))
+
+    def piece(t: Column, i: Column) -> Column:
+        """A turn's text with what opens, joins or closes its block."""
+        same = lambda j: F.coalesce((j >= 0) & (F.get("turns", j)["role"] == t["role"]), F.lit(False))
+        opens = F.when(same(i - 1), F.lit(NEXT)).otherwise(F.concat(F.lit(START), escaped(t["role"]), F.lit(SEP)))
+        return F.concat(opens, escaped(t["text"]), F.when(same(i + 1), F.lit("")).otherwise(F.lit(END)))
+
+    return collected.select(
+        "conv_id",
+        F.array_join(F.transform("turns", piece), "").alias("formatted"),
+        F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.struct(t["start"], t["end"])).alias("loss_spans"),
     )
-    return cut.select("conv_id", whole.alias("formatted"), marked.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

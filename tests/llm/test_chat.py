@@ -42,6 +42,14 @@ def test_cases(spark):
     )
 
 
+def test_ties_go_by_raw_text(spark):
+    check(spark, [(1, 0, "user", "a<b"), (1, 0, "user", "a<|c"), (1, 0, "user", "a\\"), (1, 0, "user", "a]"), (1, 0, "u<|", "z"), (1, 0, "u<a", "z")])
+
+
+def test_many_turns(spark):
+    check(spark, [(1, i, "user" if i % 3 else "assistant", f"<|{i}\\") for i in range(20_000)])
+
+
 def test_no_turns(spark):
     assert chat.formatted_digest(spark.createDataFrame([], SCHEMA)).count() == 0
 
