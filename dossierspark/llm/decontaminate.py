@@ -10,7 +10,10 @@ their spans are merged into removal spans.
 
 Phrases reach the tasks in blocks of bounded size (ITEMS_BLOCK items, CHARS_BLOCK characters, checked
 by counts), one pass over the documents for each block. Null, empty and word-less texts have no words
-and are clean; null or word-less items have no windows. Repeated rows give repeated results.
+and are clean; null or word-less items have no windows. An item without an id counts like any other (all
+such items as one), only the list of ids can't name it. Repeated rows give repeated results, a very long
+text is searched as a whole, equal windows of several items count for each, and an empty table on either
+side gives no hits. Other columns are kept by clean_documents() and left aside by the reports.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, utf8
+from .common import utf8
 
 WINDOW = 10
 ITEMS_BLOCK, CHARS_BLOCK = 20_000, 16 << 20
@@ -243,13 +246,13 @@ def _scan(docs: DataFrame, phrases: Phrases) -> DataFrame:
 
 def phrase_blocks(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Phrases]:
     """The test phrases in blocks whose size has been checked; one block at least."""
-    text_batches(benchmark.sparkSession)
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     blocks = max(1, -(-size["n"] // ITEMS_BLOCK), -(-size["chars"] // CHARS_BLOCK))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for b in range(blocks):
-        yield Phrases(sorted((r["item_id"], r["text"]) for r in items.where(block == b).toLocalIterator()), window)
+        own = [(r["item_id"], r["text"]) for r in items.where(block == b).toLocalIterator()]
+        yield Phrases(sorted(own, key=lambda r: (r[0] is not None, r[0] or "", r[1])), window)
 
 
 def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -303,28 +306,30 @@ def cut_spans(text: str | None, spans: list) -> str | None:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents in which no test phrase occurs, with all their columns; no shuffle."""
+    """The documents in which no test phrase occurs, with all their columns; no shuffle, and texts stay in the JVM."""
     for phrases in phrase_blocks(benchmark, window):
-        docs = _keep_clean(docs, phrases)
+        if len(phrases.lengths):
+            docs = docs.where(is_clean(docs, phrases)("text"))
     return docs
 
 
-def _keep_clean(docs: DataFrame, phrases: Phrases) -> DataFrame:
+def is_clean(docs: DataFrame, phrases: Phrases):
+    """Whether a text holds none of the phrases, as a UDF."""
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
         p = shared.value
         get = p.vocabulary.get
-        for batch in batches:
-            clean, codes, held = [], [], 0
-            for t in batch["text"] if len(p.lengths) else []:
-                words = words_of(t.as_py())
-                codes.append(np.fromiter(map(get, words, repeat(0)), np.int32, len(words)))
-                held += len(words)
-                if held >= SHARD_WORDS:
-                    clean += [not len(spans) for spans, _ in shard_hits(codes, p)]
-                    codes, held = [], 0
-            clean += [not len(spans) for spans, _ in shard_hits(codes, p)] if codes else []
-            yield batch.filter(pa.array(clean, pa.bool_())) if len(p.lengths) else batch
-
-    return docs.mapInArrow(keep, docs.schema)
+        out, codes, held = [], [], 0
+        for t in text:
+            words = words_of(t.as_py())
+            codes.append(np.fromiter(map(get, words, repeat(0)), np.int32, len(words)))
+            held += len(words)
+            if held >= SHARD_WORDS:
+                out += [not len(spans) for spans, _ in shard_hits(codes, p)]
+                codes, held = [], 0
+        out += [not len(spans) for spans, _ in shard_hits(codes, p)]
+        return pa.array(out, pa.bool_())
+
+    return clean

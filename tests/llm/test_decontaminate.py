@@ -15,7 +15,7 @@ def words(t):
 
 
 def brute(docs, items):
-    windows = [(i, tuple(words(t)[j : j + 10])) for i, t in items for j in range(max(1, len(words(t)) - 9)) if i is not None and words(t)]
+    windows = [(i, tuple(words(t)[j : j + 10])) for i, t in items for j in range(max(1, len(words(t)) - 9)) if words(t)]
     out = []
     for d, t in docs:
         w, hit, found = words(t), set(), set()
@@ -23,8 +23,8 @@ def brute(docs, items):
             for j in range(len(w) - len(win) + 1):
                 if tuple(w[j : j + len(win)]) == win:
                     hit.update(range(j, j + len(win)))
-                    found.add(str(i))
-        sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+                    found.add(i if i is None else str(i))
+        sha = hashlib.sha256(",".join(sorted(found - {None})).encode()).hexdigest()
         out.append((d, len(w), len(hit), len(found), sha, bool(hit)))
     return sorted(out, key=str)
 
@@ -33,7 +33,7 @@ def make(seed, n_docs, n_items, short=True):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(12)] + ["Ä😀", "x1"]
     text = lambda n: rng.choice([" ", "-", "\n"]).join(rng.choice(vocabulary) for _ in range(n))
-    items = [(i, text(rng.choice([1, 3, 9, 10, 11, 25] if short else [10, 30]))) for i in range(n_items)] + [(50, None), (51, "..."), (None, "w1 w2")]
+    items = [(i, text(rng.choice([1, 3, 9, 10, 11, 25] if short else [10, 30]))) for i in range(n_items)] + [(50, None), (51, "..."), (None, "w1 w2"), (None, "w2 w2 w1")]
     docs = [(i, text(rng.randint(0, 60)) + " " + rng.choice(items[:n_items])[1] + " " + text(5)) for i in range(n_docs)]
     docs += [(900, None), (901, ""), (902, "  ..."), (0, docs[0][1]), (0, docs[0][1]), (None, items[0][1]), (903, items[1][1].upper() * 3), (904, "filler " * 30_000 + items[2][1])]
     return docs, items
