@@ -4,9 +4,12 @@ Statistics are computed from the whole text in the tasks. The trees are fitted o
 bounded sample of labelled documents (SAMPLE_ROWS, those of smallest hash of the id), flattened into
 arrays (feature, threshold bin, leaf values by level order) and traversed for all rows at once.
 
-A null text counts as empty; empty texts are scored like any other. With no usable labels, or labels of
-one kind only, the score is the (smoothed) share of label 1. Repeated label rows count once; where they
-contradict each other the larger label holds. Null labels and labels of unknown documents are ignored.
+A null text counts as empty; empty texts are scored like any other, very long ones as a whole. With no
+usable labels, or labels of one kind only, the score is the (smoothed) share of label 1. Repeated label
+rows count once; where they contradict each other the larger label holds. Null labels and labels of
+unknown documents are ignored. Equal texts have equal scores, repeated rows stay, an empty table gives an
+empty one. Other columns of documents are never read by a score, whatever their names; accepted() keeps
+them, score_quality() leaves them out.
 """
 
 from __future__ import annotations
@@ -21,8 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
-
 SAMPLE_ROWS = 16_000
 TREES, DEPTH, BINS, RATE, LEAST_WEIGHT, RIDGE = 80, 4, 64, 0.15, 4.0, 1.0
 NAMES = [
@@ -173,7 +174,6 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> Trees:
             x = [statistics(t.as_py()) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch["label"], batch["doc_id"]], ["x", "label", "doc_id"])
 
-    text_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels.where(remainder(3) != 1), "quality", SAMPLE_ROWS)
     rows = sample.mapInArrow(features, "x array<double>, label int, doc_id long").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")  # the order of tasks must not change the fit
@@ -181,26 +181,29 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> Trees:
     return fit_trees(x, rows["label"].to_numpy(np.float64))
 
 
-def _scored(docs: DataFrame, model: Trees, keep: float | None) -> DataFrame:
-    """Scores by row; or, with `keep`, the rows themselves whose score reaches it."""
+#: Texts whose statistics are worked out before the trees see them, whatever the size of Arrow batches.
+SCORE_ROWS = 1000
+
+
+def score_of(docs: DataFrame, model: Trees):
+    """The score of a text column as a UDF: texts go to Python, only a number comes back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([statistics(t.as_py()) for t in batch["text"]], np.float64).reshape(len(batch), len(NAMES))
-            score = shared.value.score(x)
-            if keep is not None:
-                yield batch.filter(pa.array(score >= keep))
-            else:
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(score)], ["doc_id", "score"])
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        out = np.zeros(len(text))
+        for lo in range(0, len(text), SCORE_ROWS):
+            x = [statistics(t.as_py()) for t in text.slice(lo, SCORE_ROWS)]
+            out[lo : lo + len(x)] = shared.value.score(np.array(x, np.float64).reshape(len(x), len(NAMES)))
+        return pa.array(out)
 
-    return docs.mapInArrow(run, docs.schema if keep is not None else "doc_id long, score double")
+    return score
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     model = fit_quality(docs, labels)
-    scored = _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, None)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score_of(docs, model)("text").alias("score"))
     return scored.select(
         "doc_id",
         F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"),
@@ -211,4 +214,4 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with all their columns; no shuffle of texts."""
-    return _scored(docs, fit_quality(docs, labels), 0.5)
+    return docs.where(score_of(docs, fit_quality(docs, labels))("text") >= 0.5)

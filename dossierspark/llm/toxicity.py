@@ -5,10 +5,14 @@ Terms of a text are its distinct lower-cased words and their beginnings of 3 to
 every pair of terms that occur together, so that an insult beside a group's name can weigh more than
 both alone. It is fitted on the driver from a bounded sample of labelled documents (SAMPLE_ROWS, those
 of smallest hash of the id), over at most TERMS terms: those whose presence tells most about the label
-in the sample. Scoring needs one pass over the texts and one dictionary of bounded size.
-
-A null text counts as empty. With no usable labels, or labels of one kind, the score is the smoothed
-share of label 1. Repeated label rows count once, the larger label holds.
+in the sample (equal terms of information by hash). Terms are counted and chosen in the tasks; the driver
+gets their hashes and the numbers of each document's chosen terms. Scoring needs one pass over the texts
+and one dictionary of bounded size.
+
+A null text counts as empty; empty texts have the bias as their score, very long ones are read as a
+whole. With no usable labels, or labels of one kind, the score is the smoothed share of label 1. Repeated
+label rows count once, the larger label holds. Equal texts have equal scores, repeated rows stay, an
+empty table gives an empty one. Other columns of documents are left aside, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, text_batches
+from .common import Memo, written
 from .decontaminate import words_of
 from .quality import labelled_sample, remainder
 
@@ -56,31 +60,35 @@ class Machine:
         return out
 
 
-def choose_terms(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The terms with the largest information about the label (two-sided G statistic), sorted."""
-    names, c = np.unique(np.concatenate(docs), return_counts=True)
-    names, c = names[c >= LEAST_DOCS], c[c >= LEAST_DOCS].astype(float)
-    inside = np.concatenate([d for d, label in zip(docs, y) if label])
-    place = np.searchsorted(names, inside)
-    place = place[names[np.minimum(place, len(names) - 1)] == inside] if len(names) else place[:0]
-    a = np.bincount(place, minlength=len(names)).astype(float)
-    n, pos = len(y), float(y.sum())
+def choose_terms(sample: DataFrame) -> np.ndarray:
+    """The terms with the largest information about the label (two-sided G statistic), sorted.
+
+    sample: terms array<long>, label. Terms are counted in the tasks; only the chosen ones are sent.
+    """
+    n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    counted = (
+        sample.select("label", F.explode("terms").alias("term"))
+        .groupBy("term")
+        .agg(F.count("*").cast("double").alias("c"), F.sum("label").cast("double").alias("a"))
+        .where(F.col("c") >= LEAST_DOCS)
+    )
+    c, a = F.col("c"), F.col("a")
 
     def part(seen, expected):
-        return seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12))
+        return seen * F.log(F.greatest(seen, F.lit(1e-12)) / F.greatest(expected, F.lit(1e-12)))
 
-    g = part(a, c * pos / n) + part(c - a, c * (n - pos) / n) + part(pos - a, (n - c) * pos / n) + part(n - pos - c + a, (n - c) * (n - pos) / n)
-    return np.sort(names[np.lexsort((names, -g))[:TERMS]])
+    share = pos / max(1, n)
+    g = part(a, c * share) + part(c - a, c * (1 - share)) + part(pos - a, (n - c) * share) + part(n - pos - c + a, (n - c) * (1 - share))
+    best = counted.select("term", F.round(g, 9).alias("g")).orderBy(F.desc("g"), "term").limit(TERMS)
+    return np.sort(best.toArrow()["term"].to_numpy().view(np.uint64))
 
 
-def fit_machine(docs: list[np.ndarray], y: np.ndarray) -> Machine:
-    """AdaGrad on the logistic loss over the chosen terms; docs are arrays of distinct terms."""
+def fit_machine(terms: np.ndarray, present: list[np.ndarray], y: np.ndarray) -> Machine:
+    """AdaGrad on the logistic loss over the chosen terms; present: numbers of the terms of each document."""
     share = (y.sum() + 1.0) / (len(y) + 2.0)
     bias = float(np.log(share / (1 - share)))
     if len(np.unique(y)) < 2:
         return Machine(np.zeros(0, np.uint64), bias, np.zeros(0), np.zeros((0, FACTORS)))
-    terms = choose_terms(docs, y)
-    present = [np.flatnonzero(np.isin(terms, d, assume_unique=True)) for d in docs]
     rng = np.random.default_rng(SEED)
     m = Machine(terms, bias, np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS)))
     seen_w, seen_v, seen_b = np.full(len(terms), 1e-6), np.full(m.factor.shape, 1e-6), 1e-6
@@ -120,13 +128,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Machine:
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(terms_of_word)
         for batch in batches:
-            rows = [np.array(_distinct_terms(memo, t.as_py()), np.uint64).tobytes() for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch["label"], batch["doc_id"]], ["terms", "label", "doc_id"])
+            for lo in range(0, len(batch), 1000):
+                part = batch.slice(lo, 1000)
+                rows = [np.array(_distinct_terms(memo, t.as_py()), np.uint64).view(np.int64) for t in part["text"]]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64())), part["label"], part["doc_id"]], ["terms", "label", "doc_id"])
 
-    text_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels.where(remainder(5) != 0), "toxic", SAMPLE_ROWS)
-    rows = sample.mapInArrow(terms, "terms binary, label int, doc_id long").toArrow().sort_by("doc_id")
-    return fit_machine([np.frombuffer(t.as_py(), np.uint64) for t in rows["terms"]], rows["label"].to_numpy().astype(np.float64))
+    sample = written(sample.mapInArrow(terms, "terms array<long>, label int, doc_id long"), "terms")
+    chosen = choose_terms(sample)
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of every document the numbers of its chosen terms: at most TERMS short integers."""
+        for batch in batches:
+            rows = [np.flatnonzero(np.isin(shared.value, np.array(t.as_py(), np.int64).view(np.uint64), assume_unique=True)) for t in batch["terms"]]
+            yield pa.RecordBatch.from_arrays([pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary()), batch["label"], batch["doc_id"]], ["terms", "label", "doc_id"])
+
+    rows = sample.mapInArrow(numbers, "terms binary, label int, doc_id long").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
+    present = [np.frombuffer(t.as_py(), "<u2").astype(np.int64) for t in rows["terms"]]
+    return fit_machine(chosen, present, rows["label"].to_numpy().astype(np.float64))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -137,16 +157,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         m = shared.value
         number = {int(t): i for i, t in enumerate(m.terms)}
         memo = Memo(lambda w: [number[t] for t in terms_of_word(w) if t in number], most=500_000)
-        for batch in batches:
-            rows, terms = [], []
-            for i, text in enumerate(batch["text"]):
-                here: set[int] = set()
-                for found in filter(None, map(memo.__getitem__, set(words_of(text.as_py())))):
-                    here.update(found)
-                terms += sorted(here)
-                rows += [i] * len(here)
-            raw = m.raw(np.array(rows, np.int64), np.array(terms, np.int64), len(batch))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(1 / (1 + np.exp(-raw)))], ["doc_id", "score"])
+        for whole in batches:
+            for lo in range(0, len(whole), 1000):
+                batch = whole.slice(lo, 1000)
+                rows, terms = [], []
+                for i, text in enumerate(batch["text"]):
+                    here: set[int] = set()
+                    for found in filter(None, map(memo.__getitem__, set(words_of(text.as_py())))):
+                        here.update(found)
+                    terms += sorted(here)
+                    rows += [i] * len(here)
+                raw = m.raw(np.array(rows, np.int64), np.array(terms, np.int64), len(batch))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(1 / (1 + np.exp(-raw)))], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select(

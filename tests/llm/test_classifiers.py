@@ -36,17 +36,62 @@ def test_edges(spark, score, label):
     assert score(docs.limit(0), table).count() == 0
 
 
-def test_interaction_is_learnt():
+def test_interaction_is_learnt(spark):
     rng = np.random.default_rng(0)
     docs, y = [], []
     for _ in range(3000):
         insult, group = rng.random(2) < 0.4
-        docs.append(np.array(sorted({int(x) for x in rng.integers(100, 160, 5)} | ({1} if insult else set()) | ({2} if group else set())), np.uint64))
+        docs.append(sorted({int(x) for x in rng.integers(100, 160, 5)} | ({1} if insult else set()) | ({2} if group else set())))
         y.append(float(insult and group))
-    m = toxicity.fit_machine(docs, np.array(y))
+    terms = toxicity.choose_terms(spark.createDataFrame([(d, int(v)) for d, v in zip(docs, y)], "terms array<long>, label int"))
+    assert terms.tolist() == sorted(set().union(*docs))
+    m = toxicity.fit_machine(terms, [np.searchsorted(terms, d) for d in docs], np.array(y))
     place = {int(t): i for i, t in enumerate(m.terms)}
     raw = lambda *t: m.raw(np.zeros(len(t), int), np.array([place[x] for x in t]), 1)[0]
     assert raw(1, 2) > 0 > max(raw(1), raw(2))
+    # against the sum over all pairs
+    for d in docs[:20]:
+        at = [place[t] for t in d]
+        pairs = sum(float(m.factor[a] @ m.factor[b]) for i, a in enumerate(at) for b in at[:i])
+        assert abs(raw(*d) - (m.bias + m.weight[at].sum() + pairs)) < 1e-9
+
+
+def test_terms_against_plain_counts(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    docs = [(sorted({int(x) for x in rng.integers(0, 40, 8)}), int(rng.random() < 0.3)) for _ in range(200)]
+    monkeypatch.setattr(toxicity, "TERMS", 7)
+    n, pos = len(docs), sum(y for _, y in docs)
+
+    def g(t):
+        cells = [[1e-12, 1e-12], [1e-12, 1e-12]]
+        for d, y in docs:
+            cells[t in d][y] += 1
+        c, out = sum(cells[1]), 0.0
+        for here, size in ((1, c), (0, n - c)):
+            for y, share in ((1, pos / n), (0, 1 - pos / n)):
+                out += cells[here][y] * np.log(cells[here][y] / (size * share))
+        return out
+
+    names = [t for t in range(40) if sum(t in d for d, _ in docs) >= toxicity.LEAST_DOCS]
+    want = sorted(sorted(names, key=lambda t: (-round(g(t), 6), t))[:7])
+    assert toxicity.choose_terms(spark.createDataFrame(docs, "terms array<long>, label int")).tolist() == want
+
+
+def test_trees_against_a_walk():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 2] > 0.5)).astype(float)
+    m = quality.fit_trees(x, y)
+    for row, score in zip(x[:50], m.score(x[:50])):
+        total = m.base
+        for feature, cut, leaf in zip(m.feature, m.cut, m.leaf):
+            at = 0
+            while at < len(feature):
+                right = sum(e < row[feature[at]] for e in m.edges[feature[at]]) > cut[at]
+                at = 2 * at + (2 if right else 1)
+            total += leaf[at - len(feature)]
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-12
+    assert (((m.score(x) >= 0.5) == (y == 1)).mean()) > 0.95
 
 
 def test_rejected_documents_go(spark):
