@@ -1,6 +1,6 @@
 """Operator 3: token ids as files with Elias-Fano document boundaries.
 
-Documents are range-partitioned and sorted by id (ties by text), tokenised, and packed into segments.
+Documents are range-partitioned and sorted by id (ties by the text's hash), tokenised, and packed into segments.
 A segment is one row of a table in shared storage:
 
     part, seq      its place: files in order of part, segments in order of seq
@@ -10,20 +10,21 @@ A segment is one row of a table in shared storage:
     doc_ids        the documents' ids, signed 64-bit, with a mask of nulls
 
 Elias-Fano keeps n ends below u in about n(2 + log2(u/n)) bits; select(i) gives the i-th end without a
-table of 64-bit offsets. Null texts count as empty and have the end id alone. Repeated rows stay, each
-with its own span; null ids come first.
+table of 64-bit offsets, and every offset that is read back comes from it. Null texts count as empty and
+have the end id alone. Very long texts stay whole, in a segment of their own if need be. Repeated rows
+stay, each with its own span; null ids come first; an empty table gives no segments and no rows. Columns
+other than doc_id and text are left aside, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,23 +32,25 @@ from pyspark.sql import functions as F
 from .common import quiet_threads, scratch
 
 SEGMENT_IDS = 1 << 20
-#: Documents encoded at once: distinct words are looked up once for so many.
-ENCODE_ROWS = 4000
+#: Documents and bytes of text encoded at once: distinct words are looked up once for so many.
+ENCODE_ROWS, ENCODE_BYTES = 4000, 8 << 20
 END_ID = 2
 
 
 class EliasFano:
-    """A sorted list of integers: low bits packed, high bits in unary, selected by sampled ones."""
+    """A sorted list of integers: low bits packed, high bits in unary, and the place of every STEP-th one.
+
+    select() answers from these alone: it goes to the sampled one before and counts on from there by
+    bytes. Nothing is unpacked, and no list of 64-bit values is kept or rebuilt.
+    """
 
     STEP = 64
-    HEAD = struct.Struct("<QQB")
+    HEAD = struct.Struct("<QQQB")
+    #: For a byte and k: the place of its k-th one.
+    _IN_BYTE = np.array([[*(b for b in range(8) if x >> b & 1), *[0] * 8][:8] for x in range(256)], np.int64)
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        before = np.r_[0, np.cumsum(np.bitwise_count(high))]
-        #: The byte of `high` in which every STEP-th one stands.
-        self.jump = np.searchsorted(before, np.arange(0, max(n, 1), self.STEP), "right") - 1
-        self.before = before[self.jump]
+    def __init__(self, n: int, low_bits: int, samples: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.n, self.low_bits, self.samples, self.low, self.high = n, low_bits, samples, low, high
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -58,59 +61,68 @@ class EliasFano:
         bits = (values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
         low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
         unary = np.zeros(n + (top >> low_bits) + 1, np.uint8)
-        unary[(values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)] = 1
-        return cls(n, low_bits, low, np.packbits(unary, bitorder="little"))
-
-    def select(self, i: int) -> int:
-        """The i-th value."""
-        byte = int(self.jump[i // self.STEP])
-        left = i - int(self.before[i // self.STEP])
-        while (ones := int(self.high[byte]).bit_count()) <= left:
-            left -= ones
-            byte += 1
-        word = int(self.high[byte])
-        for _ in range(left):
-            word &= word - 1
-        upper = byte * 8 + (word & -word).bit_length() - 1 - i
-        start = i * self.low_bits
-        part = self.low[start >> 3 : ((start + self.low_bits + 7) >> 3)].tobytes()
-        return upper << self.low_bits | int.from_bytes(part, "little") >> (start & 7) & ((1 << self.low_bits) - 1)
-
-    def values(self) -> np.ndarray:
-        """All of them at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        upper = (ones - np.arange(self.n)).astype(np.uint64)
-        bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-        low = (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return (upper << np.uint64(self.low_bits)) | low
+        ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
+        unary[ones] = 1
+        return cls(n, low_bits, ones[:: cls.STEP].astype("<u4"), low, np.packbits(unary, bitorder="little"))
+
+    def select(self, i):
+        """The i-th value; for an array of places, the array of their values."""
+        at = np.atleast_1d(np.asarray(i, np.int64))
+        sampled = self.samples[at // self.STEP].astype(np.int64)
+        byte, left = sampled >> 3, at % self.STEP
+        word = self.high[byte] & (0xFF << (sampled & 7)).astype(np.uint8)
+        ones = np.bitwise_count(word).astype(np.int64)
+        while len(walk := np.flatnonzero(ones <= left)):
+            left[walk] -= ones[walk]
+            byte[walk] += 1
+            word[walk] = self.high[byte[walk]]
+            ones[walk] = np.bitwise_count(word[walk])
+        upper = byte * 8 + self._IN_BYTE[word, left] - at
+        value = upper << self.low_bits
+        for bit in range(self.low_bits):
+            place = at * self.low_bits + bit
+            value |= ((self.low[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(np.int64) << bit
+        return value if np.ndim(i) else int(value[0])
 
     def to_bytes(self) -> bytes:
-        return self.HEAD.pack(self.n, len(self.low), self.low_bits) + self.low.tobytes() + self.high.tobytes()
+        head = self.HEAD.pack(self.n, len(self.samples), len(self.low), self.low_bits)
+        return head + self.samples.tobytes() + self.low.tobytes() + self.high.tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
-        n, low_len, low_bits = cls.HEAD.unpack_from(data)
+        n, n_samples, low_len, low_bits = cls.HEAD.unpack_from(data)
         body = np.frombuffer(data, np.uint8, offset=cls.HEAD.size)
-        return cls(n, low_bits, body[:low_len], body[low_len:])
+        low = 4 * n_samples
+        return cls(n, low_bits, body[:low].view("<u4"), body[low : low + low_len], body[low + low_len :])
 
 
 #: Text in which the tokenizer's normaliser only lowers letters: then its pre-tokens can be found here.
-_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+_PLAIN = "^[\\x21-\\x7eÀ-ÖØ-öø-ÿ]+$"
 #: Fixed value: the tokenizer's own pre-token pattern, for plain lower-case text without white space.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PIECES = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+)"
+#: Separators that split_whitespace takes for white space and the tokenizer does not.
+_ODD = "[\\x1c-\\x1f]"
+
+
+def dealt(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs data[starts[i] : starts[i] + sizes[i]], end to end."""
+    ends = np.cumsum(sizes)
+    return data[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 class WordTokens:
-    """The tokenizer's ids of texts, word by word.
+    """The tokenizer's ids of texts, by columns of words and pieces.
 
     The tokenizer parts texts at white space and then into letters, digits and marks before anything
-    else, and never looks across, so the ids of a text are those of its pieces in turn. Words are looked
-    up; unknown words are parted into pieces, and the unknown pieces of many texts are encoded in one
-    call and parted again at the ids that end a word. Words with characters beyond Latin-1 letters and
-    printable ASCII, or with the marks of special tokens, are encoded one by one.
+    else, and never looks across, so the ids of a text are those of its pieces in turn. A column of texts
+    becomes a dictionary of words, that one a dictionary of pieces; pieces met for the first time are
+    encoded in one call and parted again at the ids that end a word. Words with characters beyond Latin-1
+    letters and printable ASCII, or with the marks of special tokens, and texts with odd separators are
+    encoded one by one.
     """
 
-    WORDS, PIECES, LONGEST = 400_000, 500_000, 64
+    #: Pieces that are kept; a piece has no more than LONGEST characters, so this bounds the bytes, too.
+    PIECES, LONGEST = 200_000, 64
 
     def __init__(self, vocabulary: str):
         quiet_threads()
@@ -123,78 +135,67 @@ class WordTokens:
             [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         known = self.tokenizer.get_vocab()
-        self.width = 2 if len(known) <= 1 << 16 else 4
-        self.kind = np.dtype(f"<u{self.width}")
+        self.kind = np.dtype("<u2" if len(known) <= 1 << 16 else "<u4")
         self.ends_word = np.zeros(max(known.values()) + 1, bool)
         self.ends_word[[i for w, i in known.items() if w.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def one(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+    def one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn_pieces(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         if not new:
             return
         # encode_batch_fast keeps no offsets
         ids = np.array(self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.kind)
         stops = np.flatnonzero(self.ends_word[ids]) + 1
         if len(stops) == len(new) and stops[-1] == len(ids):
-            data, cuts = ids.tobytes(), [0, *(stops * self.width).tolist()]
+            data, cuts = ids.tobytes(), [0, *(stops * self.kind.itemsize).tolist()]
             self.pieces.update((w, data[s:e]) for w, s, e in zip(new, cuts, cuts[1:]))
         else:
             self.pieces.update((w, self.one(w)) for w in new)
 
-    def _learn_words(self, new: list[str]) -> None:
-        parts = {w: _PIECES.findall(w.lower()) if _PLAIN.fullmatch(w) and "<|" not in w else None for w in new}
-        wanted = set(chain.from_iterable(p for p in parts.values() if p))
-        self._learn_pieces(sorted(wanted.difference(self.pieces)))
-        get = self.pieces.__getitem__
-        for w, p in parts.items():
-            self.words[w] = self.one(w) if p is None else get(p[0]) if len(p) == 1 else b"".join(map(get, p))
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.words) > self.WORDS:
-            self.words.clear()
+    def _coded(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids end to end, and how many each has."""
+        return np.frombuffer(b"".join(found), self.kind), np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words end to end, and how many each has."""
+        plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        parted = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), _PIECES, "\\1\x00"), "\x00")
+        coded = parted.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         if len(self.pieces) > self.PIECES:
             self.pieces.clear()
-        rows = [_words(t) for t in texts]
-        # each distinct word is looked up once, its ids are then dealt to its places
-        flat = pa.array(chain.from_iterable(rows), pa.string()).dictionary_encode()
-        distinct = flat.dictionary.to_pylist()
-        self._learn_words([w for w in distinct if w not in self.words])
-        ids = [self.words[w] for w in distinct]
-        for w in distinct:
-            if len(w) > self.LONGEST:
-                del self.words[w]
-        table = np.frombuffer(b"".join(ids), self.kind)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
-        place = flat.indices.to_numpy().astype(np.int64)
-        n = size[place]
-        ends = np.cumsum(n)
-        start = (np.cumsum(size) - size)[place] - (ends - n)
-        data = table[np.repeat(start, n) + np.arange(len(table) and int(n.sum()))].tobytes()
-        stops = np.r_[0, ends][np.cumsum([0, *map(len, rows)])] * self.width
-        return [data[s:e] for s, e in zip(stops.tolist(), stops[1:].tolist())]
-
-
-def _words(text: str | None) -> list[str]:
-    if not text:
-        return []
-    # str.split() knows the same white space as the tokenizer, and four separators more
-    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return [w for w in text.split(" ") if w]
-    return text.split()
-
-
-_TOKENS: dict[str, WordTokens] = {}
-
-
-def word_tokens(vocabulary: str) -> WordTokens:
-    """One for each worker process: what a task has learnt serves the next."""
-    if vocabulary not in _TOKENS:
-        _TOKENS[vocabulary] = WordTokens(vocabulary)
-    return _TOKENS[vocabulary]
+        self._learn([p for p in distinct if p and p not in self.pieces])
+        ids, size = self._coded([self.pieces[p] if p else b"" for p in distinct])
+        for p in distinct:
+            if len(p) > self.LONGEST:
+                del self.pieces[p]
+        place = coded.indices.to_numpy().astype(np.int64)
+        data = dealt(ids, (np.cumsum(size) - size)[place], size[place])
+        # pieces of a word in turn; the piece after the last cut is empty
+        per_word = np.add.reduceat(size[place], parted.offsets.to_numpy()[:-1]) if len(parted) else np.zeros(0, np.int64)
+        rest, rest_size = self._coded([self.one(w) for w in words.filter(pc.invert(plain)).to_pylist()])
+        simple = plain.to_numpy(zero_copy_only=False)
+        sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        sizes[simple], sizes[~simple] = per_word, rest_size
+        starts[simple], starts[~simple] = np.cumsum(per_word) - per_word, np.cumsum(rest_size) - rest_size + len(data)
+        return dealt(np.concatenate([data, rest]), starts, sizes), sizes
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = texts.fill_null("")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
+        split = pc.utf8_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        ids, size = self._of_words(coded.dictionary)
+        place = coded.indices.to_numpy().astype(np.int64)
+        data = dealt(ids, (np.cumsum(size) - size)[place], size[place])
+        stops = np.r_[0, np.cumsum(size[place])][np.cumsum(np.r_[0, pc.list_value_length(split).to_numpy()])]
+        out = [data[s:e] for s, e in zip(stops.tolist(), stops[1:].tolist())]
+        for i in odd.tolist():
+            out[i] = np.frombuffer(self.one(texts[i].as_py()), self.kind)
+        return out
 
 
 SEGMENT = "part int, seq int, first long, n_ids long, width int, boundaries binary, doc_ids binary, null_ids binary, ids binary"
@@ -202,20 +203,23 @@ _NAMES = [c.split()[0] for c in SEGMENT.split(", ")]
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], tokens: WordTokens, rows: int = ENCODE_ROWS) -> Iterator[tuple]:
-    """(doc_id, ids as bytes) of every document in turn."""
+def encoded(batches: Iterator[pa.RecordBatch], tokens: WordTokens) -> Iterator[tuple]:
+    """(doc_id, ids) of every document in turn, ENCODE_ROWS documents and about ENCODE_BYTES of text at once."""
     for batch in batches:
-        for lo in range(0, len(batch), rows):
-            part = batch.slice(lo, rows)
-            yield from zip(part["doc_id"].to_pylist(), tokens(part["text"].to_pylist()))
+        sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy()
+        cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(sizes) // ENCODE_BYTES)) + 1, len(batch)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            for at in range(int(lo), int(hi), ENCODE_ROWS):
+                part = batch.slice(at, min(ENCODE_ROWS, int(hi) - at))
+                yield from zip(part["doc_id"].to_pylist(), tokens(part["text"]))
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode docs (doc_id, text) and write the segments to `path` in ascending order of doc_id."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = word_tokens(vocabulary)
-        end = np.array([end_id], tokens.kind).tobytes()
+        tokens = WordTokens(vocabulary)
+        end = np.array([end_id], tokens.kind)
         part, seq, first = TaskContext.get().partitionId(), 0, 0
         names, pieces, ends, held = [], [], [], 0
 
@@ -225,32 +229,34 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
                 seq,
                 first,
                 held,
-                tokens.width,
+                tokens.kind.itemsize,
                 EliasFano.of(np.array(ends)).to_bytes(),
                 np.array([n or 0 for n in names], "<i8").tobytes(),
                 np.packbits([n is None for n in names]).tobytes(),
-                b"".join(pieces),
+                np.concatenate(pieces).tobytes(),
             ]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _KINDS)], _NAMES)
 
-        for name, piece in encoded(batches, tokens):
-            piece += end
-            n = len(piece) // tokens.width
+        for name, ids in encoded(batches, tokens):
+            n = len(ids) + 1
             if names and held + n > segment_ids:
                 yield segment()
                 seq, first = seq + 1, first + held
                 names, pieces, ends, held = [], [], [], 0
             held += n
             names.append(name)
-            pieces.append(piece)
+            pieces += [ids, end]
             ends.append(held)
         if names:
             yield segment()
 
+    # ties of one id are parted by the text's hash, so that an id which repeats is not one task
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumn("tie", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "tie")
+        .sortWithinPartitions("doc_id", "tie", "text")
+        .select("doc_id", "text")
         .mapInArrow(pack, SEGMENT)
         .write.parquet(path)
     )
@@ -267,8 +273,9 @@ def read_token_files(spark, path: str) -> DataFrame:
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ends = EliasFano.from_bytes(r["boundaries"]).values().astype(np.int64)
-                starts = np.r_[0, ends[:-1]]
+                boundaries = EliasFano.from_bytes(r["boundaries"])
+                ends = boundaries.select(np.arange(boundaries.n))
+                starts = np.r_[0, boundaries.select(np.arange(boundaries.n - 1))]
                 ids = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
                 crc = [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(starts, ends)]
                 null = np.unpackbits(np.frombuffer(r["null_ids"], np.uint8), count=len(ends)).astype(bool)

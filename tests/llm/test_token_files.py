@@ -3,7 +3,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from dossierspark.llm.common import scratch
@@ -16,8 +18,8 @@ ALPHABET = [*"aAbzZ'sStTdmrevl.,!?<|>0129éÉßŸÿ\t\n\r\x0b\x0c\x1c\x85\xa0 
 @pytest.mark.parametrize("values", [[], [0], [5], [1, 1, 1], list(range(300)), [3, 70, 70, 9_000_000_000], sorted(random.Random(1).choices(range(10**6), k=777))])
 def test_elias_fano(values):
     code = EliasFano.from_bytes(EliasFano.of(np.array(values, np.uint64)).to_bytes())
-    assert code.values().tolist() == values
     assert [code.select(i) for i in range(len(values))] == values
+    assert code.select(np.arange(len(values))[::-1]).tolist() == values[::-1]
 
 
 def test_elias_fano_is_small():
@@ -28,13 +30,15 @@ def test_elias_fano_is_small():
 def test_tokens_equal_the_tokenizer():
     rng, tokens, plain = random.Random(2), WordTokens(VOCABULARY), Tokenizer.from_file(VOCABULARY)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 14))) for _ in range(1500)] + ["a" * 5000, " ".join(["word"] * 3000)]
-    got = tokens(texts)
-    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    got = tokens(pa.array([*texts, None]))
+    assert got.pop().tolist() == [] and tokens(pa.array([], pa.string())) == []
+    assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def brute(docs):
     plain, start, out = Tokenizer.from_file(VOCABULARY), 0, []
-    for d, t in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    tie = lambda t: 42 if t is None else int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    for d, t in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1]), r[1] or "")):
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
         out.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -47,6 +51,17 @@ def test_files_read_back(spark):
     assert sorted(map(tuple, token_table(df, VOCABULARY).collect()), key=str) == sorted(brute(docs), key=str)
 
 
+def test_offsets_come_from_select(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "word " * i) for i in range(40)], "doc_id long, text string").coalesce(1)
+    path = scratch(spark, "test-tokens")
+    write_token_files(df, VOCABULARY, path)
+    places = []
+    monkeypatch.setattr(EliasFano, "select", lambda self, i: places.append(len(np.atleast_1d(i))) or np.zeros(np.shape(i), np.int64))
+    code = EliasFano.from_bytes(spark.read.parquet(path).first()["boundaries"])
+    assert code.select(np.arange(code.n)).tolist() == [0] * code.n and places == [code.n]
+    assert not hasattr(code, "values")
+
+
 def test_segments_are_split(spark):
     docs = [(i, "some words here " * (i % 7)) for i in range(200)]
     path = scratch(spark, "test-tokens")
