@@ -11,13 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.components import connected_components, remove, scratch, written
 
-__all__ = ["Forest", "LOWER", "Memo", "connected_components", "mix64", "plain_words", "quiet_threads", "remove", "scratch", "sorted_groups", "table", "utf8", "written"]
+__all__ = ["Forest", "LOWER", "Memo", "connected_components", "fresh", "mix64", "plain_words", "quiet_threads", "remove", "scratch", "sorted_groups", "table", "utf8", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(rows: DataFrame, name: str) -> str:
+    """A column name that no column of rows has, whatever its case."""
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 class Forest:
     """Union-find over 0..n-1 whose labels can be read as one array."""
 

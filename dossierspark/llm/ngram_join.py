@@ -4,18 +4,25 @@
 2. Shingles are hashed into groups. Two sets whose Jaccard similarity reaches num/den differ in at
    most d = (|A|+|B|)(den-num)/(den+num) shingles, so with more than d groups some are equal in both.
    A window of set sizes fixes the number of groups, and the hash of a group's content is the key that
-   brings possible partners together (see Bands). Nothing is sampled or cut: no link can be missed, and
-   a line that thousands of texts share makes no common key unless it fills a whole group.
-3. Classes joined by keys of one window form families; a family is split into blocks of bounded size
-   and every pair of blocks is one cell of work.
-4. In a cell the counts of shingles by group are points of a packed R-tree. For a query set the sum of
-   coordinate minima with a node's upper corner bounds the overlap with all below. Cells of count
-   vectors alone leave the classes with a partner that the bound lets through; only their texts travel,
-   again in cells, where surviving pairs are verified exactly and sets already joined are passed over.
+   brings possible partners together (see Bands and group_keys). Nothing is sampled or cut: no link can
+   be missed, and a line that thousands of texts share makes no common key unless it fills a whole group.
+   A task joins the sets of one key among its own rows first, so a key that very many sets share leaves
+   a task as one row.
+3. Classes joined by keys of one window form families. In a family the counts of shingles by group are
+   points of a packed R-tree. For a query set the sum of coordinate minima with a node's upper corner
+   bounds the overlap with all below. Count vectors alone leave the classes with a partner that the bound
+   lets through; only the texts of those travel, and surviving pairs are verified exactly.
+4. A family beyond one block of bounded size is split into blocks. Each block is a cell of its own; then
+   one set of each part that a block's links made meets those of the other blocks; only what is still
+   apart is compared block by block, sets of one part being passed over. A large group of near copies
+   thus sends each of its texts once, and no pair of sets is left out.
 5. Connected components of the links give the classes' component, and documents take it from there.
 
 Nulls, empty and blank texts have the empty set and link with nothing. A text with fewer words than
-the shingle width is one shingle of its whole sequence. Rows with equal doc_id are rows of their own.
+the shingle width is one shingle of its whole sequence. Very long texts are read as a whole. Rows with
+equal doc_id are rows of their own, whatever their texts, and so are repeated rows; a null doc_id never
+is the smallest id of a component that has others. An empty table gives an empty one. Columns other than
+id and text are left aside, one_of_each() keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,14 +36,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, Memo, connected_components, mix64, plain_words, sorted_groups, written
+from .common import Forest, Memo, connected_components, fresh, mix64, plain_words, sorted_groups, written
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Coordinates of a count vector; runs of FOLD of them are summed for the upper levels of the tree.
 COORDINATES, FOLD = 256, 8
 LEAF, FANOUT = 32, 16
-#: A cell holds two blocks; bounds on its texts and shingles.
+#: A cell holds two blocks at most; bounds on a block's texts and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Keys that a task holds before it sends what it has joined.
+TASK_KEYS = 1 << 20
 #: More groups than needed, as a share of the shingles that may differ; the largest share of weak groups.
 SLACK, WEAK_SHARE = 0.15, 0.1
 #: The filter of ids whose texts go to their families: 8 MB at most.
@@ -74,9 +83,8 @@ class Bands:
 
     Window b compares sets of band b with each other and with those of the next band that are near
     enough in size (guests). Two linked sets of a window differ in at most `differ` shingles, so of
-    `groups` groups at least groups - differ are equal in both. A set with fewer weak groups (of at most
-    `weak` shingles, which unrelated sets may share by a common line, or by being empty) than that need
-    not show them: an equal group that is not weak is certain then.
+    `groups` groups at least groups - differ are equal in both. Groups of at most `weak` shingles are
+    weak: unrelated sets may share them by a common line, or by being empty.
     """
 
     def __init__(self, num: int, den: int, largest: int = 1 << 40):
@@ -92,14 +100,14 @@ class Bands:
 
     @staticmethod
     def _weak(mean: float) -> int:
-        """The largest group size that at most WEAK_SHARE of the groups stay below or at (Poisson)."""
+        """The largest group size that at most WEAK_SHARE of the groups stay below or at (Poisson), 0 at least."""
         size, term = -1, float(np.exp(-mean))
         total = term
         while total <= WEAK_SHARE:
             size += 1
             term *= mean / (size + 1)
             total += term
-        return size
+        return max(0, size)
 
     def of(self, n: int) -> list[int]:
         """The windows of a set of n shingles; none where only equal sets can link."""
@@ -116,16 +124,50 @@ def node_names(h: int, windows: list[int]) -> list[int]:
 
 
 def group_keys(s: np.ndarray, bands: Bands, b: int) -> np.ndarray:
-    """The keys of a set in window b: the content of its groups, weak ones only where they may be needed."""
+    """The keys of a set in window b. Two linked sets of the window have one in common for certain.
+
+    Of `groups` groups `certain` ones at least are equal in both. If one of them is strong, its content is
+    the common key. If all are weak, both sets have `certain` weak groups or more: those are dealt to
+    certain - 1 bins by place, two equal ones fall into one bin, and every pair of a bin is a key. So no
+    weak group is a key on its own. Sets that differ by one shingle at most need no groups: the whole set
+    and the set without each of its shingles are the keys.
+    """
+    place = mix64((np.arange(bands.groups[b], dtype=np.uint64) + np.uint64(b << 44)) * GOLDEN)
+    names = mix64(s ^ GOLDEN)
+    if bands.differ[b] == 1:
+        whole = names.sum(dtype=np.uint64)
+        return mix64(np.append(whole - names, whole) ^ place[0]).view(np.int64)
     g = bands.groups[b]
     at = (((s >> np.uint64(32)) * np.uint64(g)) >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     content, size = np.zeros(g, np.uint64), np.bincount(at, minlength=g)
-    content[at[first]] = np.add.reduceat(mix64(s ^ GOLDEN), first)
-    place = (np.arange(g, dtype=np.uint64) + np.uint64(b << 44)) * GOLDEN
-    keys = mix64(content ^ mix64(place)).view(np.int64)
-    strong = size > bands.weak[b]
-    return keys[strong] if g - int(strong.sum()) < g - bands.differ[b] else keys
+    content[at[first]] = np.add.reduceat(names, first)
+    keys = mix64(content ^ place)
+    weak, certain = np.flatnonzero(size <= bands.weak[b]), g - bands.differ[b]
+    parts = [keys[size > bands.weak[b]]]
+    if len(weak) >= certain:
+        for bin_ in range(certain - 1):
+            own = keys[weak[weak % (certain - 1) == bin_]]
+            i, j = np.triu_indices(len(own), 1)
+            parts.append(mix64(own[i] * GOLDEN + own[j]))
+    return np.concatenate(parts).view(np.int64)
+
+
+def joined_in_task(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    """Rows (key, node, centre): one for each key with its smallest node, and an edge for each other node.
+
+    An edge goes under its node in place of a key: it has its centre already.
+    """
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    first = np.r_[True, keys[1:] != keys[:-1]]
+    centre = nodes[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
+    apart = ~first & (nodes != centre)
+    edges = np.unique(np.column_stack([nodes[apart], centre[apart]]), axis=0)
+    ends = np.r_[np.zeros(int(first.sum()), np.int64), edges[:, 1]]
+    known = np.r_[np.ones(int(first.sum()), bool), np.zeros(len(edges), bool)]
+    columns = [pa.array(np.r_[keys[first], edges[:, 0]]), pa.array(np.r_[nodes[first], edges[:, 0]]), pa.array(ends, mask=known)]
+    return pa.RecordBatch.from_arrays(columns, ["key", "node", "centre"])
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
@@ -177,13 +219,18 @@ class CountTree:
         return np.minimum(q, tops).sum(axis=1, dtype=np.int64) * (num + den) >= num * (size + sizes)
 
 
-def cell_links(sizes: np.ndarray, counts: np.ndarray, sides: np.ndarray | None, num: int, den: int, sets: list | None = None) -> np.ndarray:
+def cell_links(
+    sizes: np.ndarray, counts: np.ndarray, sides: np.ndarray | None, num: int, den: int, sets: list | None = None, parts: np.ndarray | None = None
+) -> np.ndarray:
     """A spanning star of each part that a cell's links make, as pairs of set numbers.
 
     With sets, links are verified; without, pairs that the bound lets through count as links.
     sides: for a cell of two blocks, the block of each set; only pairs across are compared.
+    parts: what is known to hang together; sets of one part are not compared.
     """
     tree, forest, n = CountTree(counts, sizes), Forest(len(sizes)), len(sizes)
+    if parts is not None:
+        forest.root = np.unique(parts, return_index=True)[1][np.unique(parts, return_inverse=True)[1]]
     if sets is not None:
         codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
         starts = np.r_[0, np.cumsum(sizes)]
@@ -208,24 +255,24 @@ def cell_links(sizes: np.ndarray, counts: np.ndarray, sides: np.ndarray | None,
     return forest.tree()
 
 
-def possibly_among(ids: DataFrame, most_bits: int = FILTER_BITS):
-    """A test of ids (as a UDF) that holds for all of `ids` and few others: a Bloom filter of bounded size.
+def possibly_among(keys: DataFrame, most_bits: int = FILTER_BITS):
+    """A test of row keys (as a UDF) that holds for all of `keys` and few others: a Bloom filter of bounded size.
 
-    It spares texts that no family needs the way to their family. With more ids than the bits can hold
+    It spares rows that no family needs the way to their family. With more keys than the bits can hold
     apart it lets more through; the join that follows decides.
     """
-    n = ids.count()
+    n = keys.count()
     bits = min(most_bits, max(1 << 10, 1 << (12 * n).bit_length()))
-    at = F.explode(F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in range(FILTER_HASHES)]))
+    at = F.explode(F.array(*[F.pmod(F.xxhash64("row", F.lit(k)), F.lit(bits)) for k in range(FILTER_HASHES)]))
     words = (
-        ids.select(at.alias("at"))
+        keys.select(at.alias("at"))
         .groupBy(F.shiftright("at", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
         .toArrow()
     )
     table = np.zeros(bits // 64, np.int64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
-    shared = ids.sparkSession.sparkContext.broadcast(table)
+    shared = keys.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
     def known(*places: pd.Series) -> pd.Series:
@@ -235,137 +282,193 @@ def possibly_among(ids: DataFrame, most_bits: int = FILTER_BITS):
             out &= (shared.value[p >> 6] >> (p & 63)) & 1 == 1
         return pd.Series(out)
 
-    return known(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in range(FILTER_HASHES)])
+    return known(*[F.pmod(F.xxhash64("row", F.lit(k)), F.lit(bits)) for k in range(FILTER_HASHES)])
 
 
-def _cells(members: DataFrame, blocks) -> DataFrame:
-    """members with lo, hi and block: every pair of blocks of a family is a cell, so is every block."""
-    counted = members.groupBy("family").agg(blocks.cast("int").alias("blocks")).where("blocks > 0")
-    return (
-        members.join(counted, "family")
-        .withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("lo", F.least("block", "other"))
-        .withColumn("hi", F.greatest("block", "other"))
-        .drop("blocks", "other")
-    )
+def row_key(id_col: str, text_col: str):
+    """A 64-bit name of a row by its id and whole text; rows that agree in both share it."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
-def jaccard_components(
-    docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _blocked(members: DataFrame, blocks) -> DataFrame:
+    """members (family, h, ...) with the number of blocks of their family, and their block."""
+    counted = members.groupBy("family").agg(blocks.cast("int").alias("blocks"))
+    return members.join(counted, "family").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+
+
+def _parts(members: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+    """members with the part that they belong to by the links so far."""
+    found = connected_components(links, tag).select(F.col("node").alias("h"), F.col("root").alias("part"))
+    return members.drop("part").join(found, "h", "left").withColumn("part", F.coalesce("part", "h"))
+
+
+def _apart(members: DataFrame) -> DataFrame:
+    """The members of families that are of more parts than one."""
+    split = members.groupBy("family").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("family")
+    return members.join(split, "family")
+
+
+def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """sets: doc_id, row, n, h of every row; and linked: h, root of every set class that has a link."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, bands = Shingler(width), Bands(num, den)
-        for batch in batches:
-            n, h, nodes, counts = [], [], [], []
-            for text in batch["text"]:
-                s = shingle(text.as_py())
-                n.append(len(s))
-                h.append(set_hash(s))
-                nodes.append(node_names(h[-1], bands.of(len(s))))
-                counts.append(count_vector(s).tobytes() if nodes[-1] else None)
-            columns = [batch["doc_id"], pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(nodes, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h", "nodes", "counts"])
+        for whole in batches:
+            for lo in range(0, len(whole), 1000):
+                batch = whole.slice(lo, 1000)
+                n, h, nodes, counts = [], [], [], []
+                for text in batch["text"]:
+                    s = shingle(text.as_py())
+                    n.append(len(s))
+                    h.append(set_hash(s))
+                    nodes.append(node_names(h[-1], bands.of(len(s))))
+                    counts.append(count_vector(s).tobytes() if nodes[-1] else None)
+                columns = [pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(nodes, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], *columns], ["doc_id", "row", "n", "h", "nodes", "counts"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, bands, seen = Shingler(width), Bands(num, den), set()
+        ks, nodes, held = [], [], 0
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                ks, nodes = [], []
-                for text in batch["text"].slice(lo, 500):
-                    s = shingle(text.as_py())
-                    if not len(s) or (h := set_hash(s)) in seen:
-                        continue
-                    if len(seen) < 500_000:  # saves rows only: a class that comes twice does no harm
-                        seen.add(h)
-                    windows = bands.of(len(s))
-                    for b, node in zip(windows, node_names(h, windows)):
-                        k = group_keys(s, bands, b)
-                        ks.append(k)
-                        nodes.append(np.full(len(k), node, np.int64))
-                if ks:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks)), pa.array(np.concatenate(nodes))], ["key", "node"])
-
-    sets = written(texts.mapInArrow(classes, "doc_id long, n long, h long, nodes array<long>, counts binary"), "sets")
+            for text in batch["text"]:
+                s = shingle(text.as_py())
+                if not len(s) or (h := set_hash(s)) in seen:
+                    continue
+                if len(seen) < 200_000:  # saves rows only: a class that comes twice does no harm
+                    seen.add(h)
+                windows = bands.of(len(s))
+                for b, node in zip(windows, node_names(h, windows)):
+                    ks.append(group_keys(s, bands, b))
+                    nodes.append(np.full(len(ks[-1]), node, np.int64))
+                    held += len(ks[-1])
+                if held >= TASK_KEYS:
+                    yield joined_in_task(np.concatenate(ks), np.concatenate(nodes))
+                    ks, nodes, held = [], [], 0
+        if held:
+            yield joined_in_task(np.concatenate(ks), np.concatenate(nodes))
+
+    sets = written(texts.mapInArrow(classes, "doc_id long, row long, n long, h long, nodes array<long>, counts binary"), "sets")
     by_key = Window.partitionBy("key")
     stars = (
         texts.select("text")
-        .mapInArrow(keys, "key long, node long")
-        .select("node", F.min("node").over(by_key).alias("centre"))
+        .mapInArrow(keys, "key long, node long, centre long")
+        .select("node", F.coalesce("centre", F.min("node").over(by_key)).alias("centre"))
         .where("node <> centre")
         .groupBy(F.col("node").alias("a"), F.col("centre").alias("b"))
         .agg(F.lit(1).alias("one"))
         .select("a", "b")
     )
-    # what each class may meet: families of nodes, cut to cells; the bound alone decides who stays
+    # what each class may meet: families of nodes; only narrow rows until it is known who has one
     families = connected_components(stars, "families").select("node", F.col("root").alias("family"))
-    classes_of = sets.where(F.size("nodes") > 0).groupBy("h")
-    members = written(
-        classes_of.agg(F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("nodes").alias("nodes"))
-        .withColumn("node", F.explode("nodes"))
-        .join(families, "node")
-        .select("family", "h", "n", "counts"),
-        "members",
-    )
+    narrow = sets.where(F.size("nodes") > 0).groupBy("h").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
+    members = narrow.withColumn("node", F.explode("nodes")).join(families, "node").select("family", "h", "row", "n")
+    members = written(_blocked(members, F.ceil(F.count("*") / BLOCK_SETS)), "members")
+    small = members.where("blocks = 1")
 
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for cell in sorted_groups(batches, ["family", "lo", "hi"]):
+        for cell in sorted_groups(batches, ["family"]):
             if len(cell) < 2:
                 continue
             counts = np.frombuffer(b"".join(cell["counts"]), "<u4").reshape(len(cell), COORDINATES)
-            across = cell["lo"].iloc[0] != cell["hi"].iloc[0]
-            pairs = cell_links(cell["n"].to_numpy(), counts, cell["block"].to_numpy() if across else None, num, den)
+            pairs = cell_links(cell["n"].to_numpy(), counts, None, num, den)
             if len(pairs):
                 names = cell["h"].to_numpy()
                 yield pd.DataFrame({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
 
+    # the bound decides which classes of a one-block family stay; their rows' counts alone travel
+    counts = sets.select("row", "h", "counts").where(possibly_among(small)).groupBy("row", "h").agg(F.first("counts").alias("counts"))
     survivors = (
-        _cells(members, F.ceil(F.count("*") / BLOCK_SETS))
-        .repartition("family", "lo", "hi")
-        .sortWithinPartitions("family", "lo", "hi", "h")
-        .select("family", "lo", "hi", "block", "h", "n", "counts")
+        small.join(counts, ["row", "h"])
+        .repartition("family")
+        .sortWithinPartitions("family", "h")
+        .select("family", "h", "n", "counts")
         .mapInPandas(bounded, "a long, b long")
     )
     groups = connected_components(survivors, "bounded").select(F.col("node").alias("h"), F.col("root").alias("family"))
-    kept = written(classes_of.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).join(groups, "h"), "survivors")
-    cells = _cells(kept, F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)))
+    first_of = F.min(F.struct("row", "n")).alias("m")
+    stayed = members.groupBy("h").agg(first_of).join(groups, "h").select("family", "h", "m.row", "m.n")
+    large = members.where("blocks > 1").select("family", "h", "row", "n")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    kept = written(_blocked(stayed.unionByName(large), blocks), "survivors")
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(width)
         for cell in sorted_groups(batches, ["family", "lo", "hi"]):
-            cell = cell.drop_duplicates("h")
             sets = [shingle(t) for t in cell["text"]]
             names = cell["h"].to_numpy()
+            # rows of one key have one id and text, but for clashing hashes: the set decides, then each class counts once
             right = np.array([len(s) > 0 and set_hash(s) == h for s, h in zip(sets, names)], bool)
+            right[right] = ~pd.Series(names[right]).duplicated().to_numpy()
             sets, names = [s for s, r in zip(sets, right) if r], names[right]
             if len(sets) < 2:
                 continue
             across = cell["lo"].iloc[0] != cell["hi"].iloc[0]
             sizes, counts = np.array([len(s) for s in sets]), np.array([count_vector(s) for s in sets])
-            pairs = cell_links(sizes, counts, cell["block"].to_numpy()[right] if across else None, num, den, sets)
+            pairs = cell_links(sizes, counts, cell["block"].to_numpy()[right] if across else None, num, den, sets, cell["part"].to_numpy()[right])
             if len(pairs):
                 yield pd.DataFrame({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
 
-    # a repeated doc_id may carry other texts: rows whose set is not the class's own fall out in links()
-    found = (
-        cells.join(texts.where(possibly_among(kept)), "doc_id")
-        .repartition("family", "lo", "hi")
-        .sortWithinPartitions("family", "lo", "hi", "h")
-        .select("family", "lo", "hi", "block", "h", "text")
-        .mapInPandas(links, "a long, b long")
-    )
-    parts = connected_components(found, "links")
-    rooted = (
-        sets.join(parts.select(F.col("node").alias("h"), "root"), "h", "left")
-        .withColumn("root", F.coalesce("root", "h"))
-        .select("doc_id", "n", "root")
-    )
-    smallest = rooted.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(smallest, "root", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+    def linked(cells: DataFrame, tag: str) -> DataFrame:
+        """Verified links within cells: family, lo, hi, block, part, h, row."""
+        found = (
+            cells.join(texts.where(possibly_among(cells)).select("row", "text"), "row")
+            .repartition("family", "lo", "hi")
+            .sortWithinPartitions("family", "lo", "hi", "h")
+            .select("family", "lo", "hi", "block", "part", "h", "text")
+            .mapInPandas(links, "a long, b long")
+        )
+        return written(found, tag)
+
+    def alone(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("lo", F.col("block")).withColumn("hi", F.col("block"))
+
+    found = linked(alone(kept.withColumn("part", F.col("h"))), "inside")
+    split = kept.where("blocks > 1")
+    if not split.isEmpty():
+        # one of each part of a block meets those of the other blocks, then what is still apart meets block by block
+        one = F.min(F.struct("h", "row", "n")).alias("m")
+        heads = _apart(_parts(split, found, "inside")).groupBy("family", "block", "part").agg(one).select("family", "part", "m.*")
+        found = written(found.union(linked(alone(_blocked(heads, blocks)), "heads")), "found")
+        rest = written(_apart(_parts(split, found, "heads")), "rest").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = rest.where("block <> other").withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
+        found = found.union(linked(cells, "across"))
+    return sets.select("doc_id", "row", "n", "h"), connected_components(found, "links").select(F.col("node").alias("h"), "root")
+
+
+def _components(sets: DataFrame, linked: DataFrame) -> DataFrame:
+    """h, least (smallest doc_id) and head (the row that stands for it) of the component of every class.
+
+    Rows come together by class first, classes by component then: no row of a document is shuffled by component.
+    """
+    least = [F.min("least").alias("least"), F.min("head").alias("head")]
+    own = sets.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row")).alias("head"))
+    rooted = linked.join(own, "h")
+    joined = rooted.select("h", "root").join(rooted.groupBy("root").agg(*least), "root").select("h", "least", "head")
+    return own.join(linked, "h", "left_anti").unionByName(joined)
+
+
+def jaccard_components(
+    docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links)."""
+    sets, linked = _classes(docs, width, num, den, id_col, text_col)
+    return sets.join(_components(sets, linked).select("h", "least"), "h", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their component: the one of smallest id (null first).
+
+    Rows without words link with nothing and all stay. Of rows that agree in id and text one stays, that
+    of the smallest hash over all columns.
+    """
+    sets, linked = _classes(docs, width, num, den, id_col, text_col)
+    key, number = fresh(docs, "row"), fresh(docs, "number")
+    heads = _components(sets, linked).select(F.col("head.row").alias(key), F.lit(True).alias(number)).distinct()
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map" not in f.dataType.simpleString()]
+    rows = docs.withColumn(key, row_key(id_col, text_col)).join(heads, key, "left").where(~worded | F.col(number))
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*hashed)))
+    return rows.withColumn(number, turn).where(~worded | (F.col(number) == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])

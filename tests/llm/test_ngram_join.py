@@ -68,6 +68,34 @@ def test_blocks_of_a_family(spark, monkeypatch):
     assert sorted(map(tuple, J.jaccard_components(df).collect()), key=str) == brute(docs, 3, 90, 100)
 
 
+def test_repeated_and_null_ids_carry_their_own_texts(spark):
+    rng = random.Random(9)
+    one, two, three = (list(family(rng, 60, 3, 2)) for _ in range(3))
+    docs = [(7, t) for t in (one[0], two[0], three[0], one[0])] + [(8, one[1]), (3, two[1]), (None, three[1]), (None, three[2]), (None, one[2])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, J.jaccard_components(df).collect()), key=str) == brute(docs, 3, 90, 100)
+
+
+def test_one_of_each(spark):
+    rng = random.Random(10)
+    one, two = (list(family(rng, 200, 4, 2)) for _ in range(2))
+    docs = [(1, one[0]), (1, one[0]), (5, one[1]), (5, "unrelated words that stay whole here"), (6, one[2]), (None, two[0]), (2, two[1]), (4, two[2])]
+    docs += [(9, None), (9, None), (10, ""), (11, " \n"), (12, "x y"), (13, "X  y")]
+    df = spark.createDataFrame([(d, t, i, "r", None) for i, (d, t) in enumerate(docs)], "doc_id long, text string, row int, number string, root string")
+    kept = J.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    stay = [(1, one[0]), (5, "unrelated words that stay whole here"), (None, two[0]), (9, None), (9, None), (10, ""), (11, " \n"), (12, "x y")]
+    assert got == sorted(stay, key=str)
+    assert J.one_of_each(df.limit(0)).count() == 0
+
+
+def test_task_joins_its_own_rows():
+    keys, nodes = np.array([5, 5, 5, 9, 9, 7]), np.array([3, 1, 1, 1, 3, 8])
+    rows = J.joined_in_task(keys, nodes).to_pydict()
+    assert list(zip(*rows.values())) == [(5, 1, None), (7, 8, None), (9, 1, None), (3, 3, 1)]
+
+
 def test_no_documents(spark):
     assert J.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
