@@ -1,4 +1,14 @@
-"""A corpus pipeline of five operators: each stage's table is written and read as the next one's input."""
+"""A corpus pipeline of five operators: each stage's table is written and read as the next one's input.
+
+Nulls: a null text is scored as an empty one, links with nothing, leaks nothing, has size 0 (the mix takes
+no words from it) and, where it stays, has the end id alone; a null id is an id of its own kind, the
+smallest; a null source is a source, the last. Empty texts count as null ones. Very long texts are read
+as wholes by every stage. Ties: of near copies the smallest id stays, the mix chooses by a seeded hash of
+the id, token files order equal ids by the text's hash. Repeated rows: of rows with equal id and text one
+stays; rows with equal ids and unlike texts are documents of their own. Empty tables give empty ones; with
+no labels every document has the same score, with no benchmark none leaks. Extra columns, whatever their
+names, pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -18,10 +28,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of smallest id."""
-    found = ngram_join.jaccard_components(docs, WIDTH, NUM, DEN)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies stays: the one of smallest id, by row and not by id."""
+    return ngram_join.one_of_each(docs, WIDTH, NUM, DEN)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
