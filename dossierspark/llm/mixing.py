@@ -7,10 +7,16 @@ pattern's repetition alone, hence successive shortest paths are maximum flows ti
 rerouting between patterns that share sources.
 
 Within a pattern whole passes take every document; the rest is filled by documents in the order of a
-seeded hash, up to a cut, and the last gap by a few further documents that fit. What reaches the driver
-is one row for each pattern and at most FILL documents for each pattern and size class; PATTERNS bounds
-the patterns (checked). The choice is a function of seed and ids, so reruns agree; rows that repeat an
-id are chosen together. Null texts have size 0; a null source is a source of its own, the last.
+seeded hash, up to a cut, and the last gap by a few further documents that fit. Patterns are routed in
+blocks of PATTERNS: the driver holds one row for each pattern of a block, at most FILL documents for each
+pattern and size class, and one number for each source. With more than one block every block gets its
+share of each quota by its words, what it leaves over goes to the next, and costs are least within a
+block; the plan is then a table that is joined, with one block it is sent to the tasks whole.
+
+The choice is a function of seed and ids, so reruns agree; rows that repeat an id are chosen together,
+ties of the hash, too. Null texts have size 0, as empty ones have; very long texts count whole; a null
+source is a source of its own, the last; an empty table gives an empty mix. Columns of documents pass
+through mixed_documents() as they are, whatever their names; mix_report() leaves extra ones out.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, scratch, written
 
 MOST_TIMES = 3
 PATTERNS = 100_000
@@ -105,23 +111,30 @@ def _reroute(p: int, members, flow, left, feeds) -> list[tuple] | None:
     return None
 
 
+#: Names of columns of this module beside a user's own; made free of clashes by `fresh`.
+PATTERN, TIMES = "_mix_pattern", "_mix_times"
+
+
 @dataclass
 class Mix:
-    """The plan: a small table by pattern, and how to read it."""
+    """The plan: a table by pattern, and how to read it."""
 
     plan: DataFrame  # pattern, passes, cut, fill
+    small: bool  # one block of patterns: the plan may be sent to the tasks
     by_source: dict  # source -> (size, target)
     seed: int
 
-    def times(self, rows: DataFrame) -> DataFrame:
-        """rows (with pattern and doc_id) plus `times`: how often the mix takes each. No shuffle."""
+    def times(self, rows: DataFrame, pattern: str, times: str) -> DataFrame:
+        """rows (with doc_id and a column of patterns) plus `times`: how often the mix takes each."""
         u = order_key(self.seed)
-        chosen = (u <= F.col("_cut")) | F.array_contains("_fill", u)
-        plan = self.plan.select(F.col("pattern").alias("_p"), F.col("passes").alias("_passes"), F.col("cut").alias("_cut"), F.col("fill").alias("_fill"))
+        own = [fresh(rows, f"_mix_{c}") for c in self.plan.columns]
+        name, passes, cut, fill = own
+        chosen = (u <= F.col(cut)) | F.array_contains(fill, u)
+        plan = self.plan.toDF(*own)
         return (
-            rows.join(F.broadcast(plan), F.col("pattern") == F.col("_p"))
-            .withColumn("times", (F.col("_passes") + F.coalesce(chosen, F.lit(False)).cast("int")))
-            .drop("_p", "_passes", "_cut", "_fill")
+            rows.join(F.broadcast(plan) if self.small else plan, F.col(pattern) == F.col(name))
+            .withColumn(times, (F.col(passes) + F.coalesce(chosen, F.lit(False)).cast("int")))
+            .drop(*own)
         )
 
 
@@ -136,34 +149,42 @@ def pattern_of(members: Column) -> Column:
 
 def plan_mix(rows: DataFrame, weights=None, seed: int = 11, most: int = MOST_TIMES) -> Mix:
     """rows: doc_id, size, members (array of sources). weights: source -> weight; None: 1, 2, 3 in turn."""
-    import json
-
     spark = rows.sparkSession
     rows = written(
         rows.select(pattern_of(F.col("members")).alias("pattern"), order_key(seed).alias("u"), F.col("size").cast("long").alias("size")), "sized"
     )
-    sums = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(PATTERNS + 1).collect()
-    if len(sums) > PATTERNS:
-        raise ValueError(f"more than {PATTERNS} membership patterns")
-    sums.sort(key=lambda r: r["pattern"])
-    members = [in_order(json.loads(r["pattern"])["s"]) for r in sums]
-    sizes: dict = {}
-    for r, m in zip(sums, members):
-        for s in m:
-            sizes[s] = sizes.get(s, 0) + r["size"]
+    sums = written(rows.groupBy("pattern").agg(F.sum("size").alias("size")), "patterns")
+    n = sums.count()
+    blocks = max(1, -(-n // PATTERNS))
+    parsed = sums.select("pattern", "size", F.from_json("pattern", "s array<string>")["s"].alias("members"))
+    sizes = {r["s"]: r["size"] for r in parsed.select(F.explode("members").alias("s"), "size").groupBy("s").agg(F.sum("size").alias("size")).collect()}
     if weights is None:
         weights = {s: i % 3 + 1 for i, s in enumerate(in_order(sizes))}
     goal = targets(sizes, weights, most)
-    flow = route([r["size"] for r in sums], members, goal, most)
-    need = {}
-    for r, f in zip(sums, flow):
-        used = sum(f.values())
-        passes = min(most, used // r["size"]) if r["size"] else 0
-        need[r["pattern"]] = (passes, used - passes * r["size"] if passes < most else 0)
-    cuts = _cuts(rows, need)
-    plan = [(p, int(need[p][0]), *cuts.get(p, (None, []))) for p in need]
     schema = "pattern string, passes int, cut long, fill array<long>"
-    return Mix(spark.createDataFrame(plan, schema), {s: (sizes[s], goal.get(s, 0.0)) for s in sizes}, seed)
+    path, carried = scratch(spark, "plan"), {}
+    for b in range(blocks):
+        own = parsed.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b).orderBy("pattern").collect() if n else []
+        members = [in_order(r["members"]) for r in own]
+        quota = goal
+        if blocks > 1:
+            here: dict = {}
+            for r, m in zip(own, members):
+                for s in m:
+                    here[s] = here.get(s, 0) + r["size"]
+            quota = {s: goal.get(s, 0.0) * here[s] / max(1, sizes[s]) + carried.pop(s, 0.0) for s in here}
+        flow = route([r["size"] for r in own], members, quota, most)
+        if blocks > 1:
+            for s, q in quota.items():
+                carried[s] = carried.get(s, 0.0) + q - sum(f.get(s, 0) for f in flow)
+        need = {}
+        for r, f in zip(own, flow):
+            used = sum(f.values())
+            passes = min(most, used // r["size"]) if r["size"] else 0
+            need[r["pattern"]] = (passes, used - passes * r["size"] if passes < most else 0)
+        cuts = _cuts(rows, need)
+        spark.createDataFrame([(p, int(need[p][0]), *cuts.get(p, (None, []))) for p in need], schema).write.mode("append").parquet(path)
+    return Mix(spark.read.schema(schema).parquet(path), blocks == 1, {s: (sizes[s], goal.get(s, 0.0)) for s in sizes}, seed)
 
 
 def _cuts(rows: DataFrame, need: dict) -> dict:
@@ -225,10 +246,6 @@ def _cuts(rows: DataFrame, need: dict) -> dict:
     return {p: (cuts[p], chosen[p]) for p in cuts}
 
 
-def _own(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("pattern", pattern_of(F.array("source")))
-
-
 def mix_report(docs: DataFrame, seed: int = 11) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size")), "sizes")
@@ -236,9 +253,9 @@ def mix_report(docs: DataFrame, seed: int = 11) -> DataFrame:
     known = [(s, size, float(target)) for s, (size, target) in mix.by_source.items()]
     by_source = docs.sparkSession.createDataFrame(known, "_s string, source_size long, target double")
     return (
-        mix.times(_own(rows))
-        .join(F.broadcast(by_source), F.col("source").eqNullSafe(F.col("_s")))
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+        mix.times(rows.withColumn(PATTERN, pattern_of(F.array("source"))), PATTERN, TIMES)
+        .join(F.broadcast(by_source) if mix.small else by_source, F.col("source").eqNullSafe(F.col("_s")))
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col(TIMES)).alias("taken"))
     )
 
 
@@ -246,10 +263,7 @@ def mixed_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
     """The mix itself: documents with all their columns, each as often as the mix takes it."""
     rows = docs.select("doc_id", n_words(F.col("text")).alias("size"), F.array("source").alias("members"))
     mix = plan_mix(rows, seed=seed)
-    names = docs.columns
-    return (
-        mix.times(_own(docs))
-        .where("times > 0")
-        .withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times"))))
-        .select(*names)
-    )
+    pattern, times = fresh(docs, PATTERN), fresh(docs, TIMES)
+    taken = mix.times(docs.withColumn(pattern, pattern_of(F.array("source"))), pattern, times).where(F.col(times) > 0)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return taken.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*names)

@@ -44,6 +44,51 @@ def test_documents_repeat_as_reported(spark):
     assert {d: t for d, t in report.items() if t} == {d: w for d, w in words.items() if w}
 
 
+def test_columns_that_clash(spark):
+    rows = [(i, "w " * (i % 9), "ab"[i % 2], f"p{i}", i, f"q{i}", "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, pattern string, times int, _mix_pattern string, _mix_cut string")
+    kept = {tuple(r) for r in M.mixed_documents(df).collect()}
+    assert kept and kept <= set(rows)
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_patterns_in_blocks(spark, monkeypatch, most):
+    """With many blocks of patterns each source still comes near its target, and no block goes beyond three times."""
+    monkeypatch.setattr(M, "PATTERNS", most)
+    df = spark.createDataFrame([r for r in docs_of(3) if r[0] is not None], "doc_id long, text string, source string, target long")
+    out = M.mix_report(df).toPandas()
+    assert (out["taken"] <= 3 * out["size"]).all()
+    for target, taken in out.groupby(["source_size", "target"])["taken"].sum().reset_index()[["target", "taken"]].itertuples(index=False):
+        assert abs(taken - target) <= max(12, 0.02 * target)
+
+
+def test_overlapping_sources_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, rng.randint(1, 30), rng.sample("abcde", rng.randint(1, 3))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, members array<string>")
+    whole = M.plan_mix(df).plan.count()
+    monkeypatch.setattr(M, "PATTERNS", 4)
+    mix = M.plan_mix(df)
+    assert mix.plan.count() == whole and not mix.small
+    out = mix.times(df.withColumn("p", M.pattern_of(df["members"])), "p", "n").toPandas()
+    assert out["n"].between(0, 3).all() and abs((out["n"] * out["size"]).sum() - sum(t for _, t in mix.by_source.values())) < 0.05 * (out["size"]).sum()
+
+
+def test_choice_follows_the_hash(spark):
+    """Within a source, documents taken once more than the others are the first by hash, and a few that fill the gap."""
+    df = spark.createDataFrame([r for r in docs_of(5) if r[0] is not None], "doc_id long, text string, source string, x int").dropDuplicates(["doc_id"])
+    out = M.mix_report(df).join(df.select("doc_id", "source", M.order_key(11).alias("u")), "doc_id").where("size > 0").toPandas()
+    for source, own in out.groupby("source", dropna=False):
+        times = own["taken"] // own["size"]
+        extra = own.assign(more=times > times.min()).sort_values("u")
+        if extra["more"].any() and not extra["more"].all():
+            head = int((~extra["more"]).to_numpy().argmax())
+            behind = extra.iloc[head:]
+            assert behind["more"].sum() <= M.FILL * 12 and times.max() == times.min() + 1, source
+            gap = own["target"].iloc[0] - (own["size"] * times.min()).sum() - extra["size"].iloc[:head].sum()
+            assert behind.loc[behind["more"], "size"].sum() <= gap + 1, source
+
+
 def test_empty(spark):
     assert M.mix_report(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
