@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from dossierspark.llm import embeddings as E
 
@@ -47,8 +48,18 @@ def test_no_rows(spark):
     assert run(spark, []) == []
 
 
-def test_blocks_and_cells_recall(spark, monkeypatch):
-    monkeypatch.setattr(E, "CELL_ROWS", 60)
+def test_components_of_any_size(spark):
+    x = np.random.default_rng(7).normal(size=8)
+    rows = [(1, x * 1e200, 1), (2, x * 1e-200, 1), (3, x * 3, 1), (4, -x, 1), (5, x[:7], 1), (6, x[:7] * 1e300, 1), (7, np.full(8, 1.7e308), 1)]
+    df = spark.createDataFrame([(i, [float(y) for y in v], c) for i, v, c in rows], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+
+
+@pytest.mark.parametrize("cell_rows", [30, 120, 700])
+def test_blocks_and_cells_recall(spark, monkeypatch, cell_rows):
+    """The farthest partners a link allows: recall by number of cells, 0.9 at least."""
+    monkeypatch.setattr(E, "CELL_ROWS", cell_rows)
     monkeypatch.setattr(E, "BLOCK_ROWS", 50)
     rng = np.random.default_rng(5)
     base = rng.normal(size=(350, 64))
@@ -56,5 +67,25 @@ def test_blocks_and_cells_recall(spark, monkeypatch):
     rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, near]).astype(np.float32))]
     want, got = brute(rows), run(spark, rows)
     found, there = sum(r[1] for r in got), sum(r[1] for r in want)
+    print(f"{-(-700 // cell_rows)} cells: recall {found / there:.3f}")
     assert there > 300 and 0.9 * there <= found <= there
     assert all(g[1] <= w[1] for g, w in zip(got, want))
+
+
+@pytest.mark.parametrize("cell_rows", [250, 2000])
+def test_recall_over_shifted_vectors(spark, monkeypatch, cell_rows):
+    """Every vector of the table beside a copy shifted by a seeded noise: thousands of links, several cells."""
+    monkeypatch.setattr(E, "CELL_ROWS", cell_rows)
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding", "label").toPandas()
+    x = np.array(table["embedding"].tolist(), np.float32)
+    noise = np.random.default_rng(8).normal(size=x.shape)
+    shifted = (x + noise * (0.33 * np.linalg.norm(x, axis=1) / np.linalg.norm(noise, axis=1))[:, None]).astype(np.float32)
+    ids, labels = table["vec_id"].to_numpy(), table["label"].to_numpy()
+    rows = [(int(i), v.tolist(), int(c), "x") for i, v, c in zip(np.r_[ids, ids + 10**6], np.concatenate([x, shifted]), np.r_[labels, labels])]
+    got = {r["vec_id"]: r["n_links"] for r in E.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    u = E.unit(np.concatenate([x, shifted]).astype(np.float64))
+    want = ((u @ u.T >= 0.93) & (np.r_[labels, labels][:, None] == np.r_[labels, labels][None, :])).sum(axis=1) - 1
+    found = sum(got.values())
+    print(f"{-(-len(rows) // cell_rows)} cells: {want.sum()} link ends, recall {found / want.sum():.3f}")
+    assert want.sum() >= 4000 and 0.9 * want.sum() <= found <= want.sum()
+    assert all(got[r[0]] <= w for r, w in zip(rows, want))
