@@ -1,17 +1,23 @@
 """Operator 10: WARC archives with an external merge of their capture index.
 
 Writing: payload digests find equal payloads; the page of smallest id is a response, the others are
-revisits that name it. Records are written as text files with a separator of two line ends, which is
-just how WARC records end, by Spark's own writer (gzip, RECORDS_PER_FILE records a file), so any file
-system will do and a lost task is written again.
-
-Reading back: each archive is parsed by its Content-Length fields, payloads are digested again and
-compared with the record, and the captures of one archive leave as a locally sorted run. Runs are
-dealt by key range, and within a range a loser tree merges them by URL key, time and page id: the
-parts in turn are the globally ordered capture histories.
-
-Null html is the empty payload, a null url an empty one. A repeated page_id with the payload's smallest
-id is a response each time. The capture time is a function of the id (pages carry none).
+revisits that name it. Which pages are revisits is worked out over ids and digests alone; html is shuffled
+once, by page. Records are written as text files with a separator of two line ends, which is just how
+WARC records end, by Spark's own writer (gzip, about ARCHIVE_BYTES of payload a file, by the sum of all
+payloads), so any file system will do and a lost task is written again.
+
+Reading back: each archive is inflated as a stream and parsed by its Content-Length fields, payloads are
+digested again and compared with the record, and the captures of one archive leave as a locally sorted
+run. Runs are dealt to key ranges of about RANGE_CAPTURES captures (by count), and within a range a loser
+tree merges them by URL key, time and page id: the ranges in turn are the globally ordered capture
+histories. A task thus holds one record of an archive and the captures of one range, whatever the size of
+the whole.
+
+Null html is the empty payload, a null url an empty one; very long payloads stay whole. A repeated page_id
+with the payload's smallest id is a response each time; a null id is a revisit where the payload has
+others, else a response. Equal captures are ordered by run. The capture time is a function of the id
+(pages carry none). An empty table gives no archives and no rows. Other columns are left aside, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,14 +28,15 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, sorted_groups, written
+from .common import scratch, written
 
-RECORDS_PER_FILE = 8000
+ARCHIVE_BYTES, RANGE_CAPTURES = 16 << 20, 100_000
+#: A payload that very many pages share is looked up in so many parts.
+SALT = 16
 CRLF = "\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
@@ -46,20 +53,27 @@ def base32(hex_digest: Column) -> Column:
     return F.concat(*parts)
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, per_file: int = RECORDS_PER_FILE) -> None:
+def revisits(payloads: DataFrame, least_bytes: int) -> DataFrame:
+    """page_id, sha, first: of pages whose payload stands under a smaller id (one row for each id and payload)."""
+    able = payloads.where(F.col("bytes") >= least_bytes).select("page_id", "sha")
+    equal = able.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    salted = equal.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    met = able.distinct().withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int")).join(salted, ["sha", "salt"])
+    return met.where(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "sha", "first")
+
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """pages (page_id, url, html) as .gz archives under path. Payloads below least_bytes stay responses."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
-    equal = (
-        rows.where(F.col("bytes") >= least_bytes)
-        .groupBy("sha")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
-        .where("copies > 1")
-        .drop("copies")
-    )
-    joined = rows.join(equal, "sha", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    payloads = written(rows.select("page_id", "sha", "bytes"), "payloads")
+    total = payloads.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    files = max(1, -(-total // archive_bytes))
+    # one name for id and payload, null ids too: both sides are dealt to the archives by it
+    named = lambda d: d.withColumn("place", F.xxhash64("page_id", "sha")).repartition(files, "place", "sha")
+    joined = named(rows).join(named(revisits(payloads, least_bytes)).drop("page_id"), ["place", "sha"], "left")
+    revisit = F.col("first").isNotNull()
     number = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     when = F.date_format(F.timestamp_seconds(F.lit(1577836800) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     body = F.concat(F.lit(HTTP), F.col("bytes").cast("string"), F.lit(CRLF * 2), F.when(revisit, "").otherwise(F.col("html")))
@@ -82,7 +96,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, per_file:
     ]
     lines = [x for name, value in head for x in (F.lit(f"{name}: "), value, F.lit(CRLF))]
     record = F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit(CRLF), body)
-    joined.select(record.alias("record")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    joined.select(record.alias("record")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
 def url_key(url: str) -> str:
@@ -93,27 +107,48 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")" + slash + path
 
 
+def _inflated(archive: bytes, step: int = 1 << 18) -> Iterator[bytes]:
+    """The content of a gzip file of one or more members, in pieces of at most `step` bytes."""
+    member = zlib.decompressobj(31)
+    for lo in range(0, len(archive), 1 << 16):
+        data = archive[lo : lo + (1 << 16)]
+        while data:
+            yield member.decompress(data, step)
+            data = member.unconsumed_tail
+            if member.eof:
+                data, member = member.unused_data, zlib.decompressobj(31)
+    yield member.flush()
+
+
 def records(archive: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(header fields, block) of each record of a gzip archive of one or more members, by Content-Length."""
-    data, rest = [], archive
-    while rest:
-        member = zlib.decompressobj(31)
-        data.append(member.decompress(rest))
-        rest = member.unused_data
-    text, at = b"".join(data), 0
-    while at < len(text):
-        end = text.index(b"\r\n\r\n", at)
-        lines = text[at:end].decode("utf-8", "surrogateescape").split(CRLF)
+    """(header fields, block) of each record of an archive, by Content-Length; one record is held at a time."""
+    pieces, held = _inflated(archive), bytearray()
+
+    def reaches(size: int) -> bool:
+        while len(held) < size:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while reaches(1):
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not reaches(seen + 1):
+                raise ValueError("an archive ends within a record's header")
+        lines = held[:end].decode("utf-8", "surrogateescape").split(CRLF)
         fields = dict(x.split(": ", 1) for x in lines[1:])
         start = end + 4
         stop = start + int(fields["Content-Length"])
-        if text[stop : stop + 4] != b"\r\n\r\n":
+        if not reaches(stop + 4) or held[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError(f"record {fields.get('WARC-Record-ID')} does not end where its length says")
-        yield fields, text[start:stop]
-        at = stop + 4
+        yield fields, bytes(held[start:stop])
+        del held[: stop + 4]
 
 
-CAPTURE = "url_key string, time string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, place long"
+CAPTURE = "url_key string, time string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, run long, place long"
 _NAMES = [c.split()[0] for c in CAPTURE.split(", ")]
 _KINDS = [pa.string() if c.split()[1] == "string" else pa.int64() for c in CAPTURE.split(", ")]
 
@@ -140,14 +175,14 @@ def read_runs(spark, path: str) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run, content in zip(batch["path"], batch["content"]):
+            for run, content in zip(batch["run"], batch["content"]):
                 rows = [(*capture(f, b), run.as_py(), i) for i, (f, b) in enumerate(records(content.as_py()))]
                 rows.sort(key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0))
                 columns = list(zip(*rows)) if rows else [[]] * len(_NAMES)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], _NAMES)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    return files.mapInArrow(parse, CAPTURE)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    return files.select(F.xxhash64("path").alias("run"), "content").mapInArrow(parse, CAPTURE)
 
 
 class LoserTree:
@@ -183,38 +218,25 @@ class LoserTree:
             self.top = now
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
+def merge_runs(runs: DataFrame, range_captures: int = RANGE_CAPTURES) -> DataFrame:
     """Globally ordered captures: parts by key range, runs merged within each."""
     key = ["url_key", "time", "page_id"]
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = list(sorted_groups(batches, ["run"]))
-        if not own:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if not held:
             return
-        tree = LoserTree([[(u, t, p is not None, p or 0) for u, t, p in r[key].itertuples(index=False)] for r in own])
-        starts = np.r_[0, np.cumsum([len(r) for r in own])]
-        order = np.fromiter((starts[run] + i for run, i in tree), np.int64, starts[-1])
-        whole = pd.concat(own)
+        whole = pa.Table.from_batches(held).combine_chunks()
+        keys = [(u, t, p is not None, p or 0) for u, t, p in zip(*(whole[c].to_pylist() for c in key))]
+        run = whole["run"].to_numpy()
+        starts = np.r_[0, np.flatnonzero(np.diff(run)) + 1, len(run)]
+        tree = LoserTree([keys[s:e] for s, e in zip(starts, starts[1:])])
+        order = np.fromiter((starts[r] + i for r, i in tree), np.int64, len(keys))
         for lo in range(0, len(order), 20_000):
-            yield whole.iloc[order[lo : lo + 20_000]]
-
-    # ids as text in pandas: a null must not turn the others into floats
-    longs = ("page_id", "refers_to")
-    text = [F.col(c).cast("string").alias(c) if c in longs else F.col(c) for c in _NAMES]
-    dealt = runs.repartitionByRange(*key).sortWithinPartitions("run", *key).select(*text)
-
-    def as_text(batches):
-        for pdf in merge(_with_numbers(batches)):
-            yield pdf.assign(page_id=[None if p is None else str(p) for p in pdf["page_id"]])
-
-    merged = dealt.mapInPandas(as_text, CAPTURE.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string"))
-    return merged.select(*[F.col(c).cast("long").alias(c) if c in longs else F.col(c) for c in _NAMES])
-
+            yield from whole.take(order[lo : lo + 20_000]).to_batches()
 
-def _with_numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        numbers = pd.Series([None if p is None else int(p) for p in pdf["page_id"]], index=pdf.index, dtype=object)
-        yield pdf.assign(page_id=numbers)
+    ranges = max(1, -(-runs.count() // range_captures))
+    return runs.repartitionByRange(ranges, *key).sortWithinPartitions("run", *key).select(*_NAMES).mapInArrow(merge, CAPTURE)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:

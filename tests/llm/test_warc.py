@@ -1,7 +1,10 @@
 import base64
+import gzip
 import hashlib
 import random
 
+import pytest
+
 from dossierspark.llm import warc as W
 from dossierspark.llm.common import scratch
 
@@ -48,15 +51,33 @@ def test_many_files(spark):
     rng = random.Random(0)
     pages = [(i, f"http://h{rng.randrange(9)}.org/{rng.randrange(50)}", f"page {rng.randrange(60)}", "x") for i in range(300)]
     path = scratch(spark, "test-warc")
-    W.write_archives(spark.createDataFrame(pages, SCHEMA), path, per_file=11)
+    W.write_archives(spark.createDataFrame(pages, SCHEMA), path, archive_bytes=60)
     runs = W.read_runs(spark, path)
     assert runs.select("run").distinct().count() > 20
-    rows = W.merge_runs(runs).collect()
+    rows = W.merge_runs(runs, range_captures=40).collect()
     assert sorted([(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in rows], key=str) == brute(pages)
     keys = [(r["url_key"], r["time"], r["page_id"]) for r in rows]
     assert keys == sorted(keys)
 
 
+def test_one_payload_of_thousands(spark):
+    pages = [(i, f"http://h.org/{i}", "the error page" if i % 3 else f"own {i}", "x") for i in range(4000)]
+    rows = W.archive_pages(spark.createDataFrame(pages, SCHEMA)).collect()
+    assert sorted([tuple(r)[:5] for r in rows], key=str) == brute(pages)
+
+
+def test_archives_are_inflated_in_pieces():
+    one, two = gzip.compress(b"ab" * 300_000), gzip.compress(b"c")
+    pieces = list(W._inflated(one + two, step=1000))
+    assert b"".join(pieces) == b"ab" * 300_000 + b"c" and max(map(len, pieces)) <= 1000
+    head = b"WARC/1.1\r\nContent-Length: "
+    whole = gzip.compress(head + b"3\r\n\r\nabc\r\n\r\n") + gzip.compress(head + b"0\r\n\r\n\r\n\r\n")
+    assert [b for _, b in W.records(whole)] == [b"abc", b""]
+    for broken in (head + b"3\r\n\r\nab\r\n\r\n", head + b"3\r\n"):
+        with pytest.raises(ValueError):
+            list(W.records(gzip.compress(broken)))
+
+
 def test_least_bytes(spark):
     path = scratch(spark, "test-warc")
     W.write_archives(spark.createDataFrame(PAGES, SCHEMA), path, least_bytes=12)
