@@ -44,6 +44,10 @@ COORDINATES, FOLD = 256, 8
 LEAF, FANOUT = 32, 16
 #: A cell holds two blocks at most; bounds on a block's texts and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+#: A block of count vectors alone (1 KB each) may be larger.
+BLOCK_COUNTS = 8192
+#: Families of more blocks than one are sent to the tasks up to this number (16 bytes each), else joined.
+LARGE_FAMILIES = 100_000
 #: Keys that a task holds before it sends what it has joined.
 TASK_KEYS = 1 << 20
 #: More groups than needed, as a share of the shingles that may differ; the largest share of weak groups.
@@ -255,11 +259,13 @@ def cell_links(
     return forest.tree()
 
 
-def possibly_among(keys: DataFrame, most_bits: int = FILTER_BITS):
-    """A test of row keys (as a UDF) that holds for all of `keys` and few others: a Bloom filter of bounded size.
+def possibly_among(keys: DataFrame, most_bits: int = FILTER_BITS, key: str = "row"):
+    """A test of the row keys in column `key` (as a UDF) that holds for all of `keys` (row) and few others.
 
-    It spares rows that no family needs the way to their family. With more keys than the bits can hold
-    apart it lets more through; the join that follows decides.
+    A Bloom filter of bounded size.
+
+    It spares rows that nobody asks for the way to a join. With more keys than the bits can hold apart it
+    lets more through; the join that follows decides.
     """
     n = keys.count()
     bits = min(most_bits, max(1 << 10, 1 << (12 * n).bit_length()))
@@ -282,7 +288,7 @@ def possibly_among(keys: DataFrame, most_bits: int = FILTER_BITS):
             out &= (shared.value[p >> 6] >> (p & 63)) & 1 == 1
         return pd.Series(out)
 
-    return known(*[F.pmod(F.xxhash64("row", F.lit(k)), F.lit(bits)) for k in range(FILTER_HASHES)])
+    return known(*[F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in range(FILTER_HASHES)])
 
 
 def row_key(id_col: str, text_col: str):
@@ -292,8 +298,17 @@ def row_key(id_col: str, text_col: str):
 
 def _blocked(members: DataFrame, blocks) -> DataFrame:
     """members (family, h, ...) with the number of blocks of their family, and their block."""
-    counted = members.groupBy("family").agg(blocks.cast("int").alias("blocks"))
-    return members.join(counted, "family").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    large = written(members.groupBy("family").agg(blocks.cast("int").alias("blocks")).where("blocks > 1"), "large")
+    few = large.count() <= LARGE_FAMILIES
+    known = members.join(F.broadcast(large) if few else large, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return known.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+
+
+def _pairs_of_blocks(members: DataFrame, inside: bool) -> DataFrame:
+    """members with lo and hi: a cell for every two blocks of a family, and with `inside` for each block."""
+    rows = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows if inside else rows.where("block <> other")
+    return rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
 
 
 def _parts(members: DataFrame, links: DataFrame, tag: str) -> DataFrame:
@@ -363,34 +378,32 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_
     families = connected_components(stars, "families").select("node", F.col("root").alias("family"))
     narrow = sets.where(F.size("nodes") > 0).groupBy("h").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
     members = narrow.withColumn("node", F.explode("nodes")).join(families, "node").select("family", "h", "row", "n")
-    members = written(_blocked(members, F.ceil(F.count("*") / BLOCK_SETS)), "members")
-    small = members.where("blocks = 1")
+    members = written(_blocked(members, F.ceil(F.count("*") / BLOCK_COUNTS)), "members")
 
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for cell in sorted_groups(batches, ["family"]):
+        for cell in sorted_groups(batches, ["family", "lo", "hi"]):
             if len(cell) < 2:
                 continue
             counts = np.frombuffer(b"".join(cell["counts"]), "<u4").reshape(len(cell), COORDINATES)
-            pairs = cell_links(cell["n"].to_numpy(), counts, None, num, den)
+            across = cell["lo"].iloc[0] != cell["hi"].iloc[0]
+            pairs = cell_links(cell["n"].to_numpy(), counts, cell["block"].to_numpy() if across else None, num, den)
             if len(pairs):
                 names = cell["h"].to_numpy()
                 yield pd.DataFrame({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
 
-    # the bound decides which classes of a one-block family stay; their rows' counts alone travel
-    counts = sets.select("row", "h", "counts").where(possibly_among(small)).groupBy("row", "h").agg(F.first("counts").alias("counts"))
+    # the bound decides which classes stay; the counts of those with a family alone travel
+    counts = sets.select("row", "h", "counts").where(possibly_among(members)).groupBy("row", "h").agg(F.first("counts").alias("counts"))
     survivors = (
-        small.join(counts, ["row", "h"])
-        .repartition("family")
-        .sortWithinPartitions("family", "h")
-        .select("family", "h", "n", "counts")
+        _pairs_of_blocks(members.join(counts, ["row", "h"]), inside=True)
+        .repartition("family", "lo", "hi")
+        .sortWithinPartitions("family", "lo", "hi", "h")
+        .select("family", "lo", "hi", "block", "h", "n", "counts")
         .mapInPandas(bounded, "a long, b long")
     )
     groups = connected_components(survivors, "bounded").select(F.col("node").alias("h"), F.col("root").alias("family"))
-    first_of = F.min(F.struct("row", "n")).alias("m")
-    stayed = members.groupBy("h").agg(first_of).join(groups, "h").select("family", "h", "m.row", "m.n")
-    large = members.where("blocks > 1").select("family", "h", "row", "n")
+    kept = members.groupBy("h").agg(F.min(F.struct("row", "n")).alias("m")).join(groups, "h").select("family", "h", "m.row", "m.n")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
-    kept = written(_blocked(stayed.unionByName(large), blocks), "survivors")
+    kept = written(_blocked(written(kept, "groups"), blocks), "survivors")
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(width)
@@ -409,10 +422,10 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_
             if len(pairs):
                 yield pd.DataFrame({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
 
-    def linked(cells: DataFrame, tag: str) -> DataFrame:
-        """Verified links within cells: family, lo, hi, block, part, h, row."""
+    def linked(cells: DataFrame, rows: DataFrame, tag: str) -> DataFrame:
+        """Verified links within cells (family, lo, hi, block, part, h, row) of rows."""
         found = (
-            cells.join(texts.where(possibly_among(cells)).select("row", "text"), "row")
+            cells.join(texts.where(possibly_among(rows)).select("row", "text"), "row")
             .repartition("family", "lo", "hi")
             .sortWithinPartitions("family", "lo", "hi", "h")
             .select("family", "lo", "hi", "block", "part", "h", "text")
@@ -423,16 +436,16 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_
     def alone(rows: DataFrame) -> DataFrame:
         return rows.withColumn("lo", F.col("block")).withColumn("hi", F.col("block"))
 
-    found = linked(alone(kept.withColumn("part", F.col("h"))), "inside")
+    found = linked(alone(kept.withColumn("part", F.col("h"))), kept, "inside")
     split = kept.where("blocks > 1")
     if not split.isEmpty():
         # one of each part of a block meets those of the other blocks, then what is still apart meets block by block
         one = F.min(F.struct("h", "row", "n")).alias("m")
         heads = _apart(_parts(split, found, "inside")).groupBy("family", "block", "part").agg(one).select("family", "part", "m.*")
-        found = written(found.union(linked(alone(_blocked(heads, blocks)), "heads")), "found")
-        rest = written(_apart(_parts(split, found, "heads")), "rest").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = rest.where("block <> other").withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
-        found = found.union(linked(cells, "across"))
+        heads = written(_blocked(written(heads, "heads"), blocks), "heads")
+        found = written(found.union(linked(alone(heads), heads, "heads")), "found")
+        rest = written(_apart(_parts(split, found, "heads")), "rest")
+        found = found.union(linked(_pairs_of_blocks(rest, inside=False), rest, "across"))
     return sets.select("doc_id", "row", "n", "h"), connected_components(found, "links").select(F.col("node").alias("h"), "root")
 
 
@@ -462,13 +475,20 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     """The rows of docs, with all their columns, that stand for their component: the one of smallest id (null first).
 
     Rows without words link with nothing and all stay. Of rows that agree in id and text one stays, that
-    of the smallest hash over all columns.
+    of the smallest hash over all columns. Only rows that may go are shuffled (see possibly_among).
     """
     sets, linked = _classes(docs, width, num, den, id_col, text_col)
-    key, number = fresh(docs, "row"), fresh(docs, "number")
-    heads = _components(sets, linked).select(F.col("head.row").alias(key), F.lit(True).alias(number)).distinct()
-    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    heads = _components(sets, linked).select("h", F.col("head.row").alias("head"))
+    # rows that may go: not the head of their component, or one of several rows of one key. All others pass as they are.
+    counted = sets.where("n > 0").groupBy("h", "row").agg(F.count("*").alias("rows"))
+    named = counted.join(heads, "h").select("row", "rows", (F.col("row") == F.col("head")).alias("stays"))
+    doubtful = written(named.where("not stays or rows > 1").groupBy("row").agg(F.max("stays").alias("stays")), "doubtful")
+    key, stays, number = fresh(docs, "row"), fresh(docs, "stays"), fresh(docs, "number")
+    marked = docs.withColumn(key, row_key(id_col, text_col))
+    suspect = possibly_among(doubtful, key=key)
+    looked_at = marked.where(suspect).join(doubtful.select(F.col("row").alias(key), F.col("stays").alias(stays)), key, "left")
     hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map" not in f.dataType.simpleString()]
-    rows = docs.withColumn(key, row_key(id_col, text_col)).join(heads, key, "left").where(~worded | F.col(number))
     turn = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*hashed)))
-    return rows.withColumn(number, turn).where(~worded | (F.col(number) == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    chosen = looked_at.withColumn(number, turn).where(F.col(stays).isNull() | (F.col(stays) & (F.col(number) == 1)))
+    return marked.where(~suspect).select(*names).unionByName(chosen.select(*names))

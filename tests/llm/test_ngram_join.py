@@ -63,6 +63,7 @@ def test_against_brute_force(spark, seed, width, num, den):
 
 def test_blocks_of_a_family(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK_SETS", 7)
+    monkeypatch.setattr(J, "BLOCK_COUNTS", 11)
     docs = corpus(4)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(map(tuple, J.jaccard_components(df).collect()), key=str) == brute(docs, 3, 90, 100)
