@@ -152,10 +152,11 @@ def locate_anchored(text: str, first: str, last: str, copied: str, after: int =
 
 
 # Abbreviations whose full stop ends no sentence, and marks around sentence ends.
-ABBREVIATIONS = frozenset(
-    "e.g. i.e. etc. cf. viz. vs. al. approx. no. nos. fig. ref. para. sec. vol. pp. dr. mr. mrs. ms. prof. rev. hon. jr. sr. st. ltd. inc. "
-    "co. corp. plc. dept. est. govt. u.k. u.s. n.b. p.s.".split()
-)
+ABBREVIATIONS = [
+    "e.g.", "i.e.", "etc.", "cf.", "viz.", "vs.", "al.", "approx.", "no.", "nos.", "fig.", "ref.", "para.", "sec.", "vol.",
+    "pp.", "dr.", "mr.", "mrs.", "ms.", "prof.", "rev.", "hon.", "jr.", "sr.", "st.", "ltd.", "inc.", "co.", "corp.", "plc.",
+    "dept.", "est.", "govt.", "u.k.", "u.s.", "n.b.", "p.s.",
+]
 CLOSERS, OPENERS = "\"'”’)]»", "(\"'“‘[«"
 MARKER = r"(?:[-*•‣◦▪–—]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4})[.)]|\d{1,3}(?:\.\d{1,3})+\.?)"
 _END = re.compile(r"([.!?…]+)[\"'”’)\]»]*(?=\s+\S)")

@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only where the session names no shared folder (tests on one machine).
+#: Used only by one JVM on one machine (tests) whose session names no shared folder.
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder under the shared checkpoint folder of the session."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SCRATCH
+    """A new folder under the shared checkpoint folder of the session, else under its warehouse."""
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir")
+    if not base:
+        one_machine = conf.get("spark.master", "").split("[")[0] == "local"
+        base = LOCAL_SCRATCH if one_machine else spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 

@@ -72,13 +72,13 @@ def allowed_transitions(questions: DataFrame) -> DataFrame:
     )
 
 
-def tender_aggregates(tenders: DataFrame, questions: DataFrame) -> DataFrame:
-    """Counts and sums by tender, zero for tenders without questions; only sums cross the shuffle.
+def pack_aggregates(packs: DataFrame, questions: DataFrame) -> DataFrame:
+    """Counts and sums by pack, zero for packs without questions; only sums cross the shuffle.
 
-    questions: tender_id, status, word_limit, words (of the current answer), class, mandatory, needs_review.
+    questions: pack_id, status, word_limit, words (of the current answer), class, mandatory, needs_review.
     """
     yes = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    sums = questions.groupBy("tender_id").agg(
+    sums = questions.groupBy("pack_id").agg(
         F.count("*").alias("n_questions"),
         yes(F.col("status") == "approved").alias("n_approved"),
         F.sum("word_limit").alias("word_limit"),
@@ -87,15 +87,15 @@ def tender_aggregates(tenders: DataFrame, questions: DataFrame) -> DataFrame:
         yes(F.col("mandatory") & F.col("class").isNull()).alias("n_mandatory_unclassified"),
         yes(F.col("needs_review")).alias("n_needs_review"),
     )
-    names = [c for c in sums.columns if c != "tender_id"]
-    return tenders.select("tender_id").join(sums, "tender_id", "left").select("tender_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
+    names = [c for c in sums.columns if c != "pack_id"]
+    return packs.select("pack_id").join(sums, "pack_id", "left").select("pack_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
 
 
 def requirement_summary(requirements: DataFrame) -> DataFrame:
-    """tender_id and counts by rating. requirements: tender_id, rating, suggestion."""
+    """pack_id and counts by rating. requirements: pack_id, rating, suggestion."""
     yes = lambda c: F.sum(F.when(c, 1).otherwise(0))
     colours = {"green": F.col("rating") == "A", "amber": F.col("rating") == "B", "red": F.col("rating") == "C", "unrated": F.col("rating").isNull()}
-    return requirements.groupBy("tender_id").agg(
+    return requirements.groupBy("pack_id").agg(
         F.count("*").alias("total"),
         *[yes(c).alias(n) for n, c in colours.items()],
         yes(F.col("rating").isNull() & F.col("suggestion").isNotNull()).alias("suggested_unrated"),

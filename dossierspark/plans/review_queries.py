@@ -1,4 +1,4 @@
-"""Aggregates, board lists, exports and orderings, over orders as tenders and line items as questions."""
+"""Aggregates, board lists, exports and orderings, over orders as packs and line items as questions."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ def _questions(spark, sf):
     """Line items as questions of an order: status and class by return flag, line status and number."""
     status = F.when(F.col("l_returnflag") == "R", "approved").when(F.col("l_returnflag") == "A", "ai_draft").otherwise("not_started")
     return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("tender_id"),
+        F.col("l_orderkey").alias("pack_id"),
         F.col("l_linenumber").alias("number"),
         status.alias("status"),
         F.col("l_quantity").cast("long").alias("word_limit"),
@@ -26,20 +26,20 @@ def _questions(spark, sf):
 
 
 @query(
-    """SELECT o_orderkey AS tender_id, count(l_orderkey) AS n_questions, count(*) FILTER (l_returnflag = 'R') AS n_approved,
+    """SELECT o_orderkey AS pack_id, count(l_orderkey) AS n_questions, count(*) FILTER (l_returnflag = 'R') AS n_approved,
   CAST(coalesce(sum(CAST(l_quantity AS BIGINT)), 0) AS BIGINT) AS word_limit,
   CAST(coalesce(sum(CASE WHEN l_returnflag = 'R' THEN l_partkey END), 0) AS BIGINT) AS approved_words,
   count(*) FILTER (l_linestatus = 'F') AS n_class_c, count(*) FILTER (l_discount > 0.05 AND l_linestatus <> 'F') AS n_mandatory_unclassified,
   count(*) FILTER (l_tax > 0.05) AS n_needs_review
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"""
 )
-def tender_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pack_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1, J3."""
-    return review.tender_aggregates(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tender_id")), _questions(spark, sf_dir))
+    return review.pack_aggregates(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pack_id")), _questions(spark, sf_dir))
 
 
 @query(
-    """SELECT l_orderkey AS tender_id, count(*) AS total, count(*) FILTER (l_returnflag = 'A') AS green, count(*) FILTER (l_returnflag = 'R') AS amber,
+    """SELECT l_orderkey AS pack_id, count(*) AS total, count(*) FILTER (l_returnflag = 'A') AS green, count(*) FILTER (l_returnflag = 'R') AS amber,
   0::BIGINT AS red, count(*) FILTER (l_returnflag = 'N') AS unrated, count(*) FILTER (l_returnflag = 'N' AND l_linestatus = 'O') AS suggested_unrated
 FROM lineitem GROUP BY 1"""
 )
@@ -47,7 +47,7 @@ def requirement_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2."""
     rating = F.when(F.col("l_returnflag") == "A", "A").when(F.col("l_returnflag") == "R", "B")
     rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("tender_id"), rating.alias("rating"), F.when(F.col("l_linestatus") == "O", "A").alias("suggestion")
+        F.col("l_orderkey").alias("pack_id"), rating.alias("rating"), F.when(F.col("l_linestatus") == "O", "A").alias("suggestion")
     )
     return review.requirement_summary(rows)
 

@@ -39,6 +39,22 @@ def test_columns(spark):
     assert [(f["kind"], f["value"]) for f in facts] == [("headcount", "42"), ("company_registration", "123")]
 
 
+def test_facts(spark):
+    one_cover = "We hold public liability insurance of £5 million."
+    all_covers = "We hold public liability insurance of £5 million, professional indemnity insurance of £2.5 million, employer's liability insurance of £10 million and cyber insurance of £1 million."
+    assert one(spark, T.facts_in(F.lit(one_cover))) == []
+    covers = one(spark, T.facts_in(F.lit(all_covers)))
+    assert [(f["key"], f["value"]) for f in covers] == [("public liability", "£5 million"), ("professional indemnity", "£2.5 million"), ("employer's liability", "£10 million"), ("cyber", "£1 million")]
+    toolkit = "We completed the 2024/25 Data Security and Protection Toolkit assessment with an outcome of Standards Met, published on 3 June 2025 under ODS code AB12."
+    assert tuple(one(spark, T.facts_in(F.lit(toolkit)))[0]) == ("dspt_status", "AB12", "2024/25 Standards Met", datetime.date(2025, 6, 3), None)
+    text = "About ISO 27001.\nCertificate number IS-77.\nCertificate issued 1 May 2024, valid until 30 April 2027.\nWe employ 7 staff."
+    found = [(f["statement"], *f["fact"]) for f in one(spark, T.facts_of_text(F.lit(text)))]
+    assert found == [
+        ("Certificate number IS-77.", "iso_27001", None, "IS-77", datetime.date(2024, 5, 1), datetime.date(2027, 4, 30)),
+        ("We employ 7 staff.", "headcount", None, "7", None, None),
+    ]
+
+
 @settings(max_examples=150, deadline=None)
 @given(TEXT)
 def test_folded_places(text):
