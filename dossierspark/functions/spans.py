@@ -318,7 +318,9 @@ def diff(a, b):
 
 
 def _find(quote: pd.Series, text: pd.Series) -> pd.DataFrame:
-    found = [locate(q, t) or {} for q, t in zip(quote, text)]
+    pairs = list(zip(quote, text))
+    once = {p: locate(*p) or {} for p in dict.fromkeys(pairs)}  # many rows cite the same words
+    found = [once[p] for p in pairs]
     return pd.DataFrame({c: pd.Series([f.get(c) for f in found], dtype=object) for c in ("start", "end", "tier", "ratio")})
 
 

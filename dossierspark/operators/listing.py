@@ -105,9 +105,12 @@ def highlight(text: Column, start: Column, end: Column) -> Column:
 
 
 def attached_facts(items: DataFrame, facts: DataFrame) -> DataFrame:
-    """Facts of the sections of ranked items: item order, newest date, id. items: rank, section_id; one place a fact."""
-    near = items.groupBy("section_id").agg(F.min("rank").alias("rank"))
-    w = Window.orderBy("rank", F.col("effective_date").desc_nulls_last(), "fact_id")
+    """Facts of the sections of each query's ranked items: item order, newest date, id; each fact once a query.
+
+    items: query_id, rank, section_id.
+    """
+    near = items.groupBy("query_id", "section_id").agg(F.min("rank").alias("rank"))
+    w = Window.partitionBy("query_id").orderBy("rank", F.col("effective_date").desc_nulls_last(), "fact_id")
     return facts.join(near, "section_id").withColumn("place", F.row_number().over(w))
 
 
@@ -209,7 +212,7 @@ def form_fills(targets: DataFrame, most: int = 32_767) -> DataFrame:
 
     targets: label, existing (null: no such cell), formula, text. Adds fill (null: skipped) and reason.
     """
-    empty = F.trim("existing").rlike(PLACEHOLDER_LIKE)
+    empty = F.col("existing").rlike(PLACEHOLDER_LIKE)
     reason = (
         F.when(F.col("existing").isNull(), "missing")
         .when(F.coalesce("formula", F.lit(False)), "formula")
@@ -218,8 +221,8 @@ def form_fills(targets: DataFrame, most: int = 32_767) -> DataFrame:
     return targets.withColumn("reason", reason).withColumn("fill", F.when(F.col("reason").isNull(), F.substring("text", 1, most)))
 
 
-#: What an empty answer cell may hold.
-PLACEHOLDER_LIKE = r"(?i)^[\[\](){}<>._\-\s]*((enter|insert|type|click)\b.*|answer( here)?|response( here)?|tbc|n/?a)?[\[\](){}<>._\-\s]*$"
+# Fixed value: what an empty answer cell may hold.
+PLACEHOLDER_LIKE = r"(?i)^\s*(\[[^\]]{0,60}\]|\(?(supplier|bidder|tenderer) to (complete|respond)\)?|n/?a|-+|\.{3,}|_+)?\s*$"
 
 
 def paragraphs_with_comments(answers: DataFrame, comment) -> DataFrame:
