@@ -69,7 +69,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, archive_by
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
     payloads = written(rows.select("page_id", "sha", "bytes"), "payloads")
     total = payloads.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    files = max(1, -(-total // archive_bytes))
+    # fewer files than the join's own parts would only make it shuffle html again
+    files = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // archive_bytes))
     # one name for id and payload, null ids too: both sides are dealt to the archives by it
     named = lambda d: d.withColumn("place", F.xxhash64("page_id", "sha")).repartition(files, "place", "sha")
     joined = named(rows).join(named(revisits(payloads, least_bytes)).drop("page_id"), ["place", "sha"], "left")
