@@ -11,13 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.components import connected_components, remove, scratch, written
 
-__all__ = ["Forest", "LOWER", "Memo", "connected_components", "fresh", "mix64", "plain_words", "quiet_threads", "remove", "scratch", "sorted_groups", "table", "utf8", "written"]
+__all__ = ["Forest", "LOWER", "Memo", "bounded_batches", "connected_components", "fresh", "mix64", "plain_words", "quiet_threads", "remove", "scratch", "sorted_groups", "table", "utf8", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A batch on its way to a Python worker exists in the JVM and in the worker at once: so many bytes, not rows.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most, the same for every operator; a session's own bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def fresh(rows: DataFrame, name: str) -> str:
     """A column name that no column of rows has, whatever its case."""
     taken = {c.lower() for c in rows.columns}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import bounded_batches, utf8
 
 WINDOW = 10
 ITEMS_BLOCK, CHARS_BLOCK = 20_000, 16 << 20
@@ -246,6 +246,7 @@ def _scan(docs: DataFrame, phrases: Phrases) -> DataFrame:
 
 def phrase_blocks(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Phrases]:
     """The test phrases in blocks whose size has been checked; one block at least."""
+    bounded_batches(benchmark.sparkSession)
     items = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     blocks = max(1, -(-size["n"] // ITEMS_BLOCK), -(-size["chars"] // CHARS_BLOCK))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Forest, connected_components, sorted_groups, written
+from .common import Forest, bounded_batches, connected_components, sorted_groups, written
 
 SAMPLE_ROWS, CELL_ROWS, CENTROIDS, ROUNDS = 20_000, 4096, 1024, 8
 COVERED, PROBES = 0.98, 4096
@@ -94,6 +94,7 @@ def _prepared(embeddings: DataFrame) -> DataFrame:
 def near_duplicates(embeddings: DataFrame, least: float = 0.93, margin: float | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept. margin: None to measure it on the sample."""
     spark = embeddings.sparkSession
+    bounded_batches(spark)
     rows = _prepared(embeddings)
     # a class: one vector of one label; its name is a hash of both, its row the smallest vec_id
     named = rows.where("good").select("vec_id", F.xxhash64("grp", "v").alias("name"), "grp", "v")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, Memo, connected_components, fresh, mix64, plain_words, sorted_groups, written
+from .common import Forest, Memo, bounded_batches, connected_components, fresh, mix64, plain_words, sorted_groups, written
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Coordinates of a count vector; runs of FOLD of them are summed for the upper levels of the tree.
@@ -325,6 +325,7 @@ def _apart(members: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """sets: doc_id, row, n, h of every row; and linked: h, root of every set class that has a link."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

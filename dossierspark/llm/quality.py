@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 SAMPLE_ROWS = 16_000
 TREES, DEPTH, BINS, RATE, LEAST_WEIGHT, RIDGE = 80, 4, 64, 0.15, 4.0, 1.0
 NAMES = [
@@ -156,6 +158,7 @@ def remainder(modulus: int):
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, text, label) of at most `most` labelled ids: those of smallest hash, whatever their order."""
+    bounded_batches(docs.sparkSession)
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))

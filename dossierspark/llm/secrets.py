@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import bounded_batches, scratch, written
 
 #: Kinds in the order in which equal starts are listed, with pattern, the group whose
 #: length counts, the least length, and whether the kind belongs to the base report.
@@ -89,6 +89,7 @@ def scan_versions(versions: DataFrame, ledger: str | None = None) -> DataFrame:
     present rule version are not scanned. Returns path and the columns of FINDINGS but rule_version.
     """
     spark = versions.sparkSession
+    bounded_batches(spark)
     rows = versions.select("path", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn(
         "blob", F.sha2(F.col("text").cast("binary"), 256)
     )

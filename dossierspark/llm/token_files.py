@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quiet_threads, scratch
+from .common import bounded_batches, quiet_threads, scratch
 
 SEGMENT_IDS = 1 << 20
 #: Documents and bytes of text encoded at once: distinct words are looked up once for so many.
@@ -216,6 +216,7 @@ def encoded(batches: Iterator[pa.RecordBatch], tokens: WordTokens) -> Iterator[t
 
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> None:
     """Encode docs (doc_id, text) and write the segments to `path` in ascending order of doc_id."""
+    bounded_batches(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(vocabulary)
