@@ -9,7 +9,7 @@
    A task joins the sets of one key among its own rows first, so a key that very many sets share leaves
    a task as one row.
 3. Classes joined by keys of one window form families. In a family the counts of shingles by group are
-   points of a packed R-tree. For a query set the sum of coordinate minima with a node's upper corner
+   points of a packed R-tree; the number of groups grows with the set. For a query set the sum of coordinate minima with a node's upper corner
    bounds the overlap with all below. Count vectors alone leave the classes with a partner that the bound
    lets through; only the texts of those travel, and surviving pairs are verified exactly.
 4. A family beyond one block of bounded size is split into blocks. Each block is a cell of its own; then
@@ -39,12 +39,13 @@ from pyspark.sql import functions as F
 from .common import Forest, Memo, bounded_batches, connected_components, fresh, mix64, plain_words, sorted_groups, written
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-#: Coordinates of a count vector; runs of FOLD of them are summed for the upper levels of the tree.
-COORDINATES, FOLD = 256, 8
+#: Coordinates of a count vector at least, and shingles for each at most: the bound of a long set would say
+#: nothing otherwise. Runs of FOLD coordinates are summed for the upper levels of the tree.
+COORDINATES, SHARE, FOLD = 256, 8, 8
 LEAF, FANOUT = 32, 16
 #: A cell holds two blocks at most; bounds on a block's texts and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
-#: A block of count vectors alone (1 KB each) may be larger.
+#: A block of count vectors alone may be larger: so many of COORDINATES, fewer of longer ones.
 BLOCK_COUNTS = 8192
 #: Families of more blocks than one are sent to the tasks up to this number (16 bytes each), else joined.
 LARGE_FAMILIES = 100_000
@@ -174,9 +175,20 @@ def joined_in_task(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["key", "node", "centre"])
 
 
-def count_vector(s: np.ndarray) -> np.ndarray:
-    """Shingles of a set by group (coordinate)."""
-    return np.bincount((s & np.uint64(COORDINATES - 1)).astype(np.int64), minlength=COORDINATES).astype("<u4")
+def coordinates(n: int) -> int:
+    """Coordinates of the count vector of a set of n shingles, a power of two; less than n / 4 beyond COORDINATES."""
+    return max(COORDINATES, 1 << max(0, -(-n // SHARE) - 1).bit_length())
+
+
+def count_vector(s: np.ndarray, width: int) -> np.ndarray:
+    """Shingles of a set by group (coordinate); width is a power of two."""
+    return np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width).astype("<u4")
+
+
+def of_one_width(vectors: list[bytes]) -> np.ndarray:
+    """Count vectors as one matrix, longer ones folded to the shortest."""
+    width = min(map(len, vectors)) // 4
+    return np.array([np.frombuffer(v, "<u4").reshape(-1, width).sum(axis=0, dtype="<u4") for v in vectors])
 
 
 class CountTree:
@@ -339,7 +351,7 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_
                     n.append(len(s))
                     h.append(set_hash(s))
                     nodes.append(node_names(h[-1], bands.of(len(s))))
-                    counts.append(count_vector(s).tobytes() if nodes[-1] else None)
+                    counts.append(count_vector(s, coordinates(len(s))).tobytes() if nodes[-1] else None)
                 columns = [pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(nodes, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], *columns], ["doc_id", "row", "n", "h", "nodes", "counts"])
 
@@ -379,13 +391,14 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_
     families = connected_components(stars, "families").select("node", F.col("root").alias("family"))
     narrow = sets.where(F.size("nodes") > 0).groupBy("h").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("nodes").alias("nodes"))
     members = narrow.withColumn("node", F.explode("nodes")).join(families, "node").select("family", "h", "row", "n")
-    members = written(_blocked(members, F.ceil(F.count("*") / BLOCK_COUNTS)), "members")
+    widest = F.greatest(F.lit(COORDINATES), F.col("n") / (SHARE // 2))
+    members = written(_blocked(members, F.ceil(F.sum(widest) / (BLOCK_COUNTS * COORDINATES))), "members")
 
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for cell in sorted_groups(batches, ["family", "lo", "hi"]):
             if len(cell) < 2:
                 continue
-            counts = np.frombuffer(b"".join(cell["counts"]), "<u4").reshape(len(cell), COORDINATES)
+            counts = of_one_width(cell["counts"].tolist())
             across = cell["lo"].iloc[0] != cell["hi"].iloc[0]
             pairs = cell_links(cell["n"].to_numpy(), counts, cell["block"].to_numpy() if across else None, num, den)
             if len(pairs):
@@ -418,7 +431,9 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_
             if len(sets) < 2:
                 continue
             across = cell["lo"].iloc[0] != cell["hi"].iloc[0]
-            sizes, counts = np.array([len(s) for s in sets]), np.array([count_vector(s) for s in sets])
+            sizes = np.array([len(s) for s in sets])
+            shared = coordinates(int(sizes.mean()))
+            counts = np.array([count_vector(s, shared) for s in sets])
             pairs = cell_links(sizes, counts, cell["block"].to_numpy()[right] if across else None, num, den, sets, cell["part"].to_numpy()[right])
             if len(pairs):
                 yield pd.DataFrame({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})

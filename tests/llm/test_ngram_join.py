@@ -130,3 +130,26 @@ def test_linked_sets_share_a_key(num, den):
             if len(a) != len(b) or (a != b).any():
                 common = set(bands.of(len(a))) & set(bands.of(len(b)))
                 assert any(set(J.group_keys(a, bands, w)) & set(J.group_keys(b, bands, w)) for w in common)
+
+
+def test_counts_of_long_sets_tell_them_apart_and_fold():
+    rng = np.random.default_rng(5)
+    near = rng.integers(0, 2**64, 12_000, dtype=np.uint64)
+    a, b, other = near[:11_000], near[500:], rng.integers(0, 2**64, 11_500, dtype=np.uint64)
+    rows = J.of_one_width([J.count_vector(s, J.coordinates(len(s))).tobytes() for s in (a, b, other)])
+    sizes = np.array([len(s) for s in (a, b, other)])
+    tree = J.CountTree(rows, sizes)
+    assert set(tree.search(0, len(a), 80, 100, np.ones(3, bool))) == {0, 1}
+    short = rng.integers(0, 2**64, 2000, dtype=np.uint64)
+    mixed = J.of_one_width([J.count_vector(s, J.coordinates(len(s))).tobytes() for s in (short, a)])
+    assert mixed.shape == (2, J.COORDINATES) and (mixed[1] == J.count_vector(a, J.COORDINATES)).all()
+
+
+def test_long_sets_of_more_widths_than_one(spark):
+    rng = random.Random(12)
+    texts = [t for words, edits in ((2055, 20), (9000, 150)) for t in family(rng, words, 4, edits)]
+    texts += [" ".join(t.split()[:-lost]) for t, lost in zip(texts, (20, 5, 60, 9, 200, 900, 30, 400))]
+    texts += [" ".join(f"v{rng.randrange(400)}" for _ in range(n)) for n in (2040, 2060, 8900, 9000)]
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, J.jaccard_components(df).collect()), key=str) == brute(docs, 3, 90, 100)
