@@ -7,7 +7,7 @@
    brings possible partners together (see Bands and group_keys). Nothing is sampled or cut: no link can
    be missed, and a line that thousands of texts share makes no common key unless it fills a whole group.
    A task joins the sets of one key among its own rows first, so a key that very many sets share leaves
-   a task as one row.
+   a task once. Keys travel packed by bucket (their first bits, so many buckets that one fits a task).
 3. Classes joined by keys of one window form families. In a family the counts of shingles by group are
    points of a packed R-tree; the number of groups grows with the set. For a query set the sum of coordinate minima with a node's upper corner
    bounds the overlap with all below. Count vectors alone leave the classes with a partner that the bound
@@ -49,8 +49,9 @@ BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
 BLOCK_COUNTS = 8192
 #: Families of more blocks than one are sent to the tasks up to this number (16 bytes each), else joined.
 LARGE_FAMILIES = 100_000
-#: Keys that a task holds before it sends what it has joined.
-TASK_KEYS = 1 << 20
+#: Keys that a task holds before it sends what it has joined, and keys of a bucket on average. Keys and nodes travel
+#: as so many bytes; a key has the bits of its bucket besides. Names that clash make a family larger, no more.
+TASK_KEYS, BUCKET_KEYS, PACKED_BYTES = 1 << 20, 1 << 19, 6
 #: More groups than needed, as a share of the shingles that may differ; the largest share of weak groups.
 SLACK, WEAK_SHARE = 0.15, 0.1
 #: The filter of ids whose texts go to their families: 8 MB at most.
@@ -121,11 +122,11 @@ class Bands:
 
 
 def node_names(h: int, windows: list[int]) -> list[int]:
-    """A set class in each of its windows, as signed longs."""
+    """A set class in each of its windows, as longs of PACKED_BYTES."""
     if not windows:
         return []
     w = np.array(windows, np.uint64) + np.uint64(1)
-    return mix64(np.full(len(w), h, np.int64).view(np.uint64) ^ (w * GOLDEN)).view(np.int64).tolist()
+    return (mix64(np.full(len(w), h, np.int64).view(np.uint64) ^ (w * GOLDEN)) >> np.uint64(64 - 8 * PACKED_BYTES)).astype(np.int64).tolist()
 
 
 def group_keys(s: np.ndarray, bands: Bands, b: int) -> np.ndarray:
@@ -158,21 +159,56 @@ def group_keys(s: np.ndarray, bands: Bands, b: int) -> np.ndarray:
     return np.concatenate(parts).view(np.int64)
 
 
-def joined_in_task(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-    """Rows (key, node, centre): one for each key with its smallest node, and an edge for each other node.
-
-    An edge goes under its node in place of a key: it has its centre already.
-    """
+def stars_of_keys(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, in order, its smallest node, and an edge (node, smallest node) for every other node of it."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     first = np.r_[True, keys[1:] != keys[:-1]]
     centre = nodes[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-    apart = ~first & (nodes != centre)
-    edges = np.unique(np.column_stack([nodes[apart], centre[apart]]), axis=0)
-    ends = np.r_[np.zeros(int(first.sum()), np.int64), edges[:, 1]]
-    known = np.r_[np.ones(int(first.sum()), bool), np.zeros(len(edges), bool)]
-    columns = [pa.array(np.r_[keys[first], edges[:, 0]]), pa.array(np.r_[nodes[first], edges[:, 0]]), pa.array(ends, mask=known)]
-    return pa.RecordBatch.from_arrays(columns, ["key", "node", "centre"])
+    apart = nodes != centre
+    return keys[first], nodes[first], np.unique(np.column_stack([nodes[apart], centre[apart]]), axis=0)
+
+
+def packed(values: np.ndarray) -> np.ndarray:
+    """The last PACKED_BYTES bytes of each 64-bit value, a row of bytes for each."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PACKED_BYTES]
+
+
+def unpacked(rows: np.ndarray) -> np.ndarray:
+    """The values whose last bytes are the rows."""
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, :PACKED_BYTES] = rows
+    return out.view("<u8").ravel()
+
+
+def joined_in_task(keys: np.ndarray, nodes: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Rows (bucket, names, edges): keys with their smallest nodes by bucket, and what the task has joined.
+
+    A bucket is the first `bits` bits of a key. Names are the last bytes of key and node in turn; edges are
+    pairs of nodes, under the bucket that the centre's bits give.
+    """
+    keys, nodes, edges = stars_of_keys(keys.view(np.uint64), nodes)
+    names = np.hstack([packed(keys), packed(nodes)])
+    by_centre = edges[np.argsort(edges[:, 1], kind="stable")]
+    columns, shift = [[], [], []], np.uint64(64 - bits)
+    for at, (where, rows) in enumerate([(keys >> shift, names), (by_centre[:, 1] >> (8 * PACKED_BYTES - bits), by_centre.astype("<i8"))]):
+        cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(where) else np.zeros(0, np.int64)
+        for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(where)]):
+            columns[0].append(int(where[lo]))
+            columns[1 + at].append(rows[lo:hi].tobytes())
+            columns[2 - at].append(b"")
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["bucket", "names", "edges"])
+
+
+def joined_in_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges (a, b) of the nodes that share a key, from the rows of joined_in_task sorted by bucket."""
+    for bucket in sorted_groups(batches, ["bucket"]):
+        names = np.frombuffer(b"".join(bucket["names"]), np.uint8).reshape(-1, 2 * PACKED_BYTES)
+        known = np.frombuffer(b"".join(bucket["edges"]), "<i8").reshape(-1, 2)
+        edges = stars_of_keys(unpacked(names[:, :PACKED_BYTES]), unpacked(names[:, PACKED_BYTES:]).astype(np.int64))[2] if len(names) else known
+        edges = np.unique(np.concatenate([known, edges]), axis=0)
+        if len(edges):
+            yield pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
 
 
 def coordinates(n: int) -> int:
@@ -371,21 +407,21 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_
                     nodes.append(np.full(len(ks[-1]), node, np.int64))
                     held += len(ks[-1])
                 if held >= TASK_KEYS:
-                    yield joined_in_task(np.concatenate(ks), np.concatenate(nodes))
+                    yield joined_in_task(np.concatenate(ks), np.concatenate(nodes), bits)
                     ks, nodes, held = [], [], 0
         if held:
-            yield joined_in_task(np.concatenate(ks), np.concatenate(nodes))
+            yield joined_in_task(np.concatenate(ks), np.concatenate(nodes), bits)
 
     sets = written(texts.mapInArrow(classes, "doc_id long, row long, n long, h long, nodes array<long>, counts binary"), "sets")
-    by_key = Window.partitionBy("key")
+    # a set has about so many groups in each window; buckets by the first bits of a key, as many as hold them
+    shown = sets.agg(F.sum(F.size("nodes") * F.col("n"))).first()[0] or 0
+    bits = max(1, (shown * 2 * (den - num) // den // BUCKET_KEYS).bit_length())
     stars = (
         texts.select("text")
-        .mapInArrow(keys, "key long, node long, centre long")
-        .select("node", F.coalesce("centre", F.min("node").over(by_key)).alias("centre"))
-        .where("node <> centre")
-        .groupBy(F.col("node").alias("a"), F.col("centre").alias("b"))
-        .agg(F.lit(1).alias("one"))
-        .select("a", "b")
+        .mapInArrow(keys, "bucket long, names binary, edges binary")
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
+        .mapInPandas(joined_in_buckets, "a long, b long")
     )
     # what each class may meet: families of nodes; only narrow rows until it is known who has one
     families = connected_components(stars, "families").select("node", F.col("root").alias("family"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from dossierspark.llm import ngram_join as J
@@ -91,10 +92,41 @@ def test_one_of_each(spark):
     assert J.one_of_each(df.limit(0)).count() == 0
 
 
-def test_task_joins_its_own_rows():
-    keys, nodes = np.array([5, 5, 5, 9, 9, 7]), np.array([3, 1, 1, 1, 3, 8])
-    rows = J.joined_in_task(keys, nodes).to_pydict()
-    assert list(zip(*rows.values())) == [(5, 1, None), (7, 8, None), (9, 1, None), (3, 3, 1)]
+def test_task_joins_its_own_rows_and_buckets_the_rest():
+    high = -(1 << 63) + 9  # the first bit is set: bucket 1
+    here = J.joined_in_task(np.array([5, 5, 5, high, high, 7]), np.array([3, 1, 1, 1, 3, 8]), 1).to_pandas()
+    assert here["bucket"].tolist() == [0, 1, 0] and here["names"].map(len).tolist() == [24, 12, 0]
+    assert np.frombuffer(here["edges"][2], "<i8").tolist() == [3, 1]
+    there = J.joined_in_task(np.array([7, high]), np.array([2, 4]), 1).to_pandas()
+    rows = pd.concat([here, there]).sort_values("bucket", kind="stable").reset_index(drop=True)
+    edges = pd.concat(J.joined_in_buckets(iter([rows[:2], rows[2:]])))
+    assert set(edges.itertuples(index=False, name=None)) == {(3, 1), (8, 2), (4, 1)}
+
+
+@pytest.mark.parametrize("bits", [1, 7, 23])
+def test_packed_keys_join_what_share_one(bits):
+    rng = np.random.default_rng(bits)
+    keys = rng.integers(-(2**63), 2**63, 500)[rng.integers(0, 500, 3000)]
+    nodes = rng.integers(0, 2**48, 3000)
+    parts = [J.joined_in_task(keys[i::3], nodes[i::3], bits).to_pandas() for i in range(3)]
+    rows = pd.concat(parts).sort_values("bucket", kind="stable").reset_index(drop=True)
+    got, want = smallest_reached(pd.concat(J.joined_in_buckets(iter([rows]))).to_numpy().tolist()), smallest_reached(zip(nodes.tolist(), pd.Series(nodes).groupby(keys).transform("min").tolist()))
+    assert {n: c for n, c in want.items() if c != n} == {n: c for n, c in got.items() if c != n}
+
+
+def smallest_reached(edges):
+    """The smallest node that each node reaches."""
+    root = {}
+
+    def up(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = up(a), up(b)
+        root[max(a, b)] = min(a, b)
+    return {x: up(x) for x in list(root)}
 
 
 def test_no_documents(spark):
