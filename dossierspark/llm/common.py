@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.components import connected_components, remove, scratch, written
 
-__all__ = ["Forest", "LOWER", "Memo", "bounded_batches", "connected_components", "fresh", "mix64", "plain_words", "quiet_threads", "remove", "scratch", "sorted_groups", "table", "utf8", "written"]
+__all__ = ["Forest", "LOWER", "Memo", "bounded_batches", "connected_components", "fresh", "gives_back", "mix64", "plain_words", "quiet_threads", "remove", "scratch", "sorted_groups", "table", "utf8", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +33,27 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+def gives_back(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f, a task's function over batches; at its end the worker returns freed memory to the machine.
+
+    Workers outlive their tasks and stand beside those of the next stage; free memory that they hold on to
+    counts against the executor.
+    """
+
+    @functools.wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim:
+                trim(0)
+
+    return run
+
+
 def fresh(rows: DataFrame, name: str) -> str:
     """A column name that no column of rows has, whatever its case."""
     taken = {c.lower() for c in rows.columns}

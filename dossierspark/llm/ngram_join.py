@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, Memo, bounded_batches, connected_components, fresh, mix64, plain_words, sorted_groups, written
+from .common import Forest, Memo, bounded_batches, connected_components, fresh, gives_back, mix64, plain_words, sorted_groups, written
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Coordinates of a count vector at least, and shingles for each at most: the bound of a long set would say
@@ -412,16 +412,16 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_
         if held:
             yield joined_in_task(np.concatenate(ks), np.concatenate(nodes), bits)
 
-    sets = written(texts.mapInArrow(classes, "doc_id long, row long, n long, h long, nodes array<long>, counts binary"), "sets")
+    sets = written(texts.mapInArrow(gives_back(classes), "doc_id long, row long, n long, h long, nodes array<long>, counts binary"), "sets")
     # a set has about so many groups in each window; buckets by the first bits of a key, as many as hold them
     shown = sets.agg(F.sum(F.size("nodes") * F.col("n"))).first()[0] or 0
     bits = max(1, (shown * 2 * (den - num) // den // BUCKET_KEYS).bit_length())
     stars = (
         texts.select("text")
-        .mapInArrow(keys, "bucket long, names binary, edges binary")
+        .mapInArrow(gives_back(keys), "bucket long, names binary, edges binary")
         .repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInPandas(joined_in_buckets, "a long, b long")
+        .mapInPandas(gives_back(joined_in_buckets), "a long, b long")
     )
     # what each class may meet: families of nodes; only narrow rows until it is known who has one
     families = connected_components(stars, "families").select("node", F.col("root").alias("family"))
@@ -448,7 +448,7 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_
         .repartition("family", "lo", "hi")
         .sortWithinPartitions("family", "lo", "hi", "h")
         .select("family", "lo", "hi", "block", "h", "n", "counts")
-        .mapInPandas(bounded, "a long, b long")
+        .mapInPandas(gives_back(bounded), "a long, b long")
     )
     groups = connected_components(survivors, "bounded").select(F.col("node").alias("h"), F.col("root").alias("family"))
     kept = members.groupBy("h").agg(F.min(F.struct("row", "n")).alias("m")).join(groups, "h").select("family", "h", "m.row", "m.n")
@@ -481,7 +481,7 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_
             .repartition("family", "lo", "hi")
             .sortWithinPartitions("family", "lo", "hi", "h")
             .select("family", "lo", "hi", "block", "part", "h", "text")
-            .mapInPandas(links, "a long, b long")
+            .mapInPandas(gives_back(links), "a long, b long")
         )
         return written(found, tag)
 

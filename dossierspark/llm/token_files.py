@@ -29,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, quiet_threads, scratch
+from .common import bounded_batches, gives_back, quiet_threads, scratch
 
 SEGMENT_IDS = 1 << 20
 #: Documents and bytes of text encoded at once: distinct words are looked up once for so many.
-ENCODE_ROWS, ENCODE_BYTES = 4000, 8 << 20
+ENCODE_ROWS, ENCODE_BYTES = 4000, 1 << 20
 END_ID = 2
 
 
@@ -258,7 +258,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
         .repartitionByRange("doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie", "text")
         .select("doc_id", "text")
-        .mapInArrow(pack, SEGMENT)
+        .mapInArrow(gives_back(pack), SEGMENT)
         .write.parquet(path)
     )
 
@@ -291,7 +291,7 @@ def read_token_files(spark, path: str) -> DataFrame:
                     ["doc_id", "part", "start", "n_tokens", "ids_crc32"],
                 )
 
-    read = segments.mapInArrow(unpack, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
+    read = segments.mapInArrow(gives_back(unpack), "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
     return read.join(parts, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
