@@ -1,5 +1,7 @@
 """DuckDB SQL for the operators that SQL can express, on the same tables."""
 
+import re
+
 OP2 = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -107,10 +109,57 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload
 FROM hosted
 """
 
+OP11 = r"""
+WITH RECURSIVE crc AS (
+  SELECT doc_id, list_reduce(
+    list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))
+  ) AS c FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+), hashed AS (
+  SELECT d.doc_id, lang, coalesce('1' || lang, '0') AS g,
+    sha256(concat(f(d.doc_id), f(source), f(lang), f(n_chars), f(text))) AS leaf,
+    CASE WHEN xor(c, 4294967295) % 7 = 0 THEN sha256(concat(f(d.doc_id), f(source), f(lang), f(CAST(n_chars AS HUGEINT) + 1), f(text))) END AS forged
+  FROM documents d LEFT JOIN crc ON crc.doc_id = d.doc_id
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM hashed
+), levels AS (
+  SELECT g, 0 AS k, i, n, leaf AS node FROM leaves
+  UNION ALL
+  SELECT g, k + 1, i // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY i)) FROM levels WHERE n > 1 GROUP BY g, k, i // 2, n
+), subroots AS (SELECT g, node, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM levels WHERE n = 1),
+upper AS (
+  SELECT 0 AS k, i, n, node FROM subroots
+  UNION ALL
+  SELECT k + 1, i // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY k, i // 2, n
+), climbed AS (
+  SELECT g, i AS leaf_i, 0 AS k, coalesce(forged, leaf) AS acc, '' AS proof, n FROM leaves
+  UNION ALL
+  SELECT c.g, leaf_i, c.k + 1,
+    sha256(CASE WHEN (leaf_i >> c.k) & 1 = 1 THEN coalesce(s.node, '') || acc ELSE acc || coalesce(s.node, '') END),
+    proof || coalesce(s.node, ''), (c.n + 1) // 2
+  FROM climbed c LEFT JOIN levels s ON s.g = c.g AND s.k = c.k AND s.i = xor(leaf_i >> c.k, 1) WHERE c.n > 1
+), within AS (SELECT g, leaf_i, acc, proof FROM climbed WHERE n = 1),
+tops AS (
+  SELECT w.g, leaf_i, s.i AS lang_i, 0 AS k, acc, proof, s.n FROM within w JOIN subroots s USING (g)
+  UNION ALL
+  SELECT t.g, leaf_i, lang_i, t.k + 1,
+    sha256(CASE WHEN (lang_i >> t.k) & 1 = 1 THEN coalesce(s.node, '') || acc ELSE acc || coalesce(s.node, '') END),
+    proof || coalesce(s.node, ''), (t.n + 1) // 2
+  FROM tops t LEFT JOIN upper s ON s.k = t.k AND s.i = xor(lang_i >> t.k, 1) WHERE t.n > 1
+)
+SELECT l.doc_id, l.leaf, s.node AS subroot, r.node AS root, sha256(t.proof) AS proof_sha256, t.acc AS folded_root, t.acc = r.node AS verified,
+  l.lang, l.i AS leaf_number, l.n AS n_leaves
+FROM leaves l JOIN subroots s USING (g) JOIN tops t ON t.g = l.g AND t.leaf_i = l.i AND t.n = 1, (SELECT node FROM upper WHERE n = 1) r
+"""
+#: The field of a leaf.
+OP11 = re.sub(r"\bf\(((?:CAST\([^)]*\)|[^()])*)\)", r"coalesce(strlen(CAST(\1 AS VARCHAR)) || ':' || CAST(\1 AS VARCHAR), '-')", OP11)
+
+
 ORACLES = {
     "op2_chat": OP2,
     "op5_decontamination": OP5,
     "op7_ngram_join": OP7,
     "op8_embeddings": OP8,
     "op10_warc": OP10,
+    "op11_merkle": OP11,
 }
