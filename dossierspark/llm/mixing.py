@@ -37,7 +37,7 @@ BUCKETS = 4096
 
 def n_words(text: Column) -> Column:
     """Number of runs of characters other than the six ASCII spaces; null: 0."""
-    inside = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    inside = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
     return F.when(inside == "", 0).otherwise(F.size(F.split(inside, r"[\x20\x09-\x0D]+"))).cast("long")
 
 

@@ -6,10 +6,14 @@ import pytest
 from dossierspark.llm import mixing as M
 
 
+#: Texts that end in characters which some patterns take for line ends; they are no spaces here.
+LINE_ENDS = ["a b \x85", "a b \u2028", "a b \u2029", "a \r\x85", "a \n", "a\u2028", " \x85 "]
+
+
 def docs_of(seed=1, n=400):
     rng = random.Random(seed)
     rows = [(i, "w " * rng.randint(0, 60), rng.choice(["a", "a", "a", "b", "é", "Z", None]), 1) for i in range(n)]
-    return rows + [(n, None, "b", 1), (n + 1, "", "b", 1), (n + 2, "\x85 x\ty\x0b z", "b", 1), (7, "same id again", "a", 1), (7, "same id again", "a", 1), (None, "no id", "a", 1), (n + 3, "big " * 900, "b", 1), (n + 4, "", "empty source", 1)]
+    return rows + [(n, None, "b", 1), (n + 1, "", "b", 1), (n + 2, "\x85 x\ty\x0b z", "b", 1), (7, "same id again", "a", 1), (7, "same id again", "a", 1), (None, "no id", "a", 1), (n + 3, "big " * 900, "b", 1), (n + 4, "", "empty source", 1)] + [(n + 5 + i, t, "b", 1) for i, t in enumerate(LINE_ENDS)]
 
 
 def test_report(spark):
