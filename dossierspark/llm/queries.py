@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, embeddings, merkle, mixing, ngram_join, periodic, quality, secrets, token_files, toxicity, warc
+from . import chat, decontaminate, embeddings, merkle, mixing, ngram_join, periodic, quality, secrets, substrings, token_files, toxicity, warc
 from .common import table
 from .sql import ORACLES
 
@@ -61,6 +61,10 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(table(spark, sf_dir, "documents"))
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +75,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secrets, op2_chat, op3_tokens, op4_quality, op5_decontamination, op6_toxicity, op7_ngram_join,
-        op8_embeddings, op9_mixing, op10_warc, op11_merkle, op12_periodic, pipeline,
+        op8_embeddings, op9_mixing, op10_warc, op11_merkle, op12_periodic, op13_substrings, pipeline,
     )
 }
 

@@ -154,6 +154,53 @@ FROM leaves l JOIN subroots s USING (g) JOIN tops t ON t.g = l.g AND t.leaf_i =
 #: The field of a leaf.
 OP11 = re.sub(r"\bf\(((?:CAST\([^)]*\)|[^()])*)\)", r"coalesce(strlen(CAST(\1 AS VARCHAR)) || ':' || CAST(\1 AS VARCHAR), '-')", OP11)
 
+OP12 = r"""
+WITH crc AS (
+  SELECT doc_id, xor(list_reduce(
+    list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))
+  ), 4294967295) AS h FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+), doc AS (
+  SELECT row_number() OVER () AS r, d.doc_id, h, h // 10 AS g,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents d LEFT JOIN crc USING (doc_id)
+), cut AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN g % len(w) END AS a FROM doc),
+word AS (
+  SELECT r, n, i, w[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END] AS x
+  FROM (SELECT *, unnest(range(n)) AS i FROM cut)
+), same AS (
+  SELECT p.r, o.i - p.i AS q, p.i FROM word p JOIN word o ON o.r = p.r AND o.x = p.x AND o.i > p.i AND 4 * (o.i - p.i) <= p.n
+), stretch AS (
+  SELECT r, q, min(i) AS s, count(*) + q AS l
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same) GROUP BY r, q, island
+), run AS (SELECT r, s, l, min(q) AS q FROM stretch WHERE l >= greatest(6, 4 * q) GROUP BY r, s, l),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM run),
+kept AS (SELECT r, count(*) AS n_kept, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (r, i) GROUP BY r),
+best AS (
+  SELECT a.r, a.s, a.l, a.q FROM run a ANTI JOIN run b ON a.r = b.r AND (b.l * a.q > a.l * b.q OR b.l * a.q = a.l * b.q AND (b.s, b.q) < (a.s, a.q))
+), listed AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM run GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, 1000 * l // q AS exponent_milli,
+  sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256,
+  CAST(n AS BIGINT) AS n_words, n - coalesce(n_kept, 0) AS n_dropped
+FROM cut LEFT JOIN listed USING (r) LEFT JOIN kept USING (r) LEFT JOIN best USING (r)
+"""
+
+OP13 = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS k,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), win AS (SELECT r, k, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM doc WHERE len(w) >= 50)),
+least AS (SELECT h, min(k) AS m FROM win GROUP BY h),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM win JOIN least USING (h) WHERE k > m),
+gone_of AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+word AS (SELECT doc.r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM doc JOIN gone_of USING (r)),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256
+FROM doc LEFT JOIN gone_of USING (r) LEFT JOIN kept USING (r)
+"""
+
 
 ORACLES = {
     "op2_chat": OP2,
@@ -162,4 +209,6 @@ ORACLES = {
     "op8_embeddings": OP8,
     "op10_warc": OP10,
     "op11_merkle": OP11,
+    "op12_periodic": OP12,
+    "op13_substrings": OP13,
 }
