@@ -57,4 +57,4 @@ def test_entry(spark):
 def test_catalogue():
     assert set(ORACLES) <= set(QUERIES)
     if LLM:
-        assert sum(n.startswith("op") and n[2].isdigit() for n in QUERIES) == 10 and "pipeline" in QUERIES
+        assert sum(n.startswith("op") and n[2].isdigit() for n in QUERIES) == 13 and "pipeline" in QUERIES
