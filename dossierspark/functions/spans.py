@@ -114,6 +114,8 @@ def locate(quote: str | None, text: str | None, least: float = DEFAULTS.span_mat
     s = t.find(q)
     if s >= 0:
         return {"start": int(at[s]), "end": int(at[s + len(q) - 1]) + 1, "tier": "verbatim", "ratio": 1.0}
+    if not may_stand(q, t, least):
+        return None
     s, e, r = _closest(q, t)
     return {"start": int(at[s]), "end": int(at[e - 1]) + 1, "tier": "near", "ratio": r} if r >= least else None
 
@@ -125,6 +127,8 @@ def may_stand(quote: str, text: str, least: float = DEFAULTS.span_match_min) ->
     2 n (1 - r) / r characters of both over. The fewest that any span leaves over are worked out by
     rows, a row for each character of the quote.
     """
+    if len(text) * (2 - least) < len(quote) * least:  # no span of it is long enough
+        return False
     t, at = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), np.arange(len(text) + 1, dtype=np.int32)
     left, same, most = np.zeros(len(text) + 1, np.int32), {}, 2 * len(quote) * (1 - least) / least + 1e-6
     for i, c in enumerate(quote, 1):

@@ -2,36 +2,39 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS
 
 
+class _TokenWindows:
+    """Reads one document's sections in order; only the last one and the tokens so far are held."""
+
+    def __init__(self):
+        self.window, self.used, self.last = 0, 0, None
+
+    def eval(self, row):
+        at, cost = row["order_index"], row["tokens"] + row["label"]
+        if self.last is not None and self.used + cost > row["limit"]:
+            self.window += 1
+            self.used = self.last[1] if row["overlap"] else 0
+            if row["overlap"]:
+                yield row["document_id"], self.window, self.last[0]
+        yield row["document_id"], self.window, at
+        self.used, self.last = self.used + cost, (at, cost)
+
+
 def token_windows(sections: DataFrame, limit: int = DEFAULTS.pair_window_tokens, overlap: bool = True) -> DataFrame:
     """document_id, window, order_index: sections in windows of about `limit` tokens.
 
     A window closes before the section that would exceed the limit; with overlap its last section opens
-    the next one. The state is carried along one document's sections.
-    sections: document_id, order_index, tokens.
+    the next one. Sections stream through a table function by document, so a document of any length takes
+    bounded memory. sections: document_id, order_index, tokens.
     """
-    label = DEFAULTS.label_tokens
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("order_index")
-        out, window, used, last = [], 0, 0, None
-        for i, tokens in zip(rows["order_index"], rows["tokens"]):
-            cost = int(tokens) + label
-            if last is not None and used + cost > limit:
-                window += 1
-                used = last[1] if overlap else 0
-                out += [(window, last[0])] * overlap
-            out.append((window, i))
-            used, last = used + cost, (i, cost)
-        return pd.DataFrame({"document_id": rows["document_id"].iloc[0], "window": [w for w, _ in out], "order_index": [i for _, i in out]})
-
-    return sections.select("document_id", "order_index", "tokens").groupBy("document_id").applyInPandas(fold, "document_id long, window int, order_index int")
+    rows = sections.select("document_id", "order_index", "tokens", F.lit(DEFAULTS.label_tokens).alias("label"), F.lit(limit).alias("limit"), F.lit(overlap).alias("overlap"))
+    fold = F.udtf(_TokenWindows, returnType="document_id long, window int, order_index int", useArrow=True)
+    return fold(rows.asTable().partitionBy("document_id").orderBy("order_index"))
 
 
 def row_batches(sections: DataFrame, size: int = DEFAULTS.row_batch) -> DataFrame:
