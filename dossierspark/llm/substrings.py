@@ -218,11 +218,13 @@ def removed_windows(docs: DataFrame, firsts: DataFrame) -> tuple[DataFrame, Data
     suffixes = firsts.select("blob", F.col("least").alias("doc_key"), F.expr("inline(arrays_zip(grams, places, firsts, lasts))")).toDF(
         "blob", "doc_key", "gram", "place", "first", "last"
     )
-    prefixes = (
+    # written: a join of two plain shuffles is one whose hot keys Spark splits
+    prefixes = written(
         suffixes.groupBy("gram")
         .agg(F.count("*").alias("n"), F.min("doc_key").alias("lo"), F.max("doc_key").alias("hi"))
         .where("lo < hi")
-        .select("gram", (F.col("n") > GROUP).alias("hot"), F.ceil(F.col("n") / F.lit(GROUP / 2)).cast("int").alias("parts"))
+        .select("gram", (F.col("n") > GROUP).alias("hot"), F.ceil(F.col("n") / F.lit(GROUP / 2)).cast("int").alias("parts")),
+        "substring-prefixes",
     )
     part = F.when(F.col("hot"), F.pmod(F.xxhash64("blob"), F.col("parts")).cast("int")).otherwise(0)
     marks = (
@@ -236,7 +238,7 @@ def removed_windows(docs: DataFrame, firsts: DataFrame) -> tuple[DataFrame, Data
         "substring-found",
     )
     open_ = found.where("window is not null")
-    least = open_.groupBy("window").agg(F.min("doc_key").alias("lo"), F.max("doc_key").alias("hi")).where("lo < hi")
+    least = written(open_.groupBy("window").agg(F.min("doc_key").alias("lo"), F.max("doc_key").alias("hi")).where("lo < hi"), "substring-least")
     late = open_.join(least, "window").where("doc_key > lo").select("blob", "first", "last")
     return texts, found.where("window is null").select("blob", "first", "last").union(late)
 
