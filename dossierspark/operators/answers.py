@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .listing import place_of
 from .review import joined_answer, still_needs_review
-from ..functions.text import normalised_ascii, word_count
+from ..functions.text import normalised_ascii, strip, word_count
 from ..settings import STATUSES
 
 # Statuses of sentences that may be attested.
@@ -57,13 +57,13 @@ def act(answers: DataFrame, actions: DataFrame) -> DataFrame:
     asked = one.groupBy("answer_id").agg(F.map_from_entries(F.collect_list(F.struct("index", "a"))).alias("asked"))
     a = lambda s: F.try_element_at(F.col("asked"), s["index"])
     attests = lambda s: (a(s)["action"] == "attest") & s["support_status"].isin(ATTESTABLE)
-    noted = lambda s: F.trim(F.coalesce(a(s)["note"], F.lit(""))) != ""
+    noted = lambda s: strip(F.coalesce(a(s)["note"], F.lit(""))) != ""
     disputes = lambda s: (a(s)["action"] == "dispute") & (s["support_status"] == "supported") & noted(s)
 
     def changed(s: Column) -> Column:
         by = F.concat(F.lit(ATTESTATION), a(s)["actor"])
         attested = s.withField("sources", F.concat(s["sources"], F.array(by))).withField("support_status", F.lit("supported")).withField("dispute", F.lit(None).cast("string"))
-        disputed = s.withField("support_status", F.lit("unsupported")).withField("dispute", F.concat_ws(": ", a(s)["actor"], F.trim(a(s)["note"])))
+        disputed = s.withField("support_status", F.lit("unsupported")).withField("dispute", F.concat_ws(": ", a(s)["actor"], strip(a(s)["note"])))
         return F.when(attests(s), attested).when(disputes(s), disputed).otherwise(s)
 
     def event(s: Column) -> Column:
@@ -159,10 +159,10 @@ def promote(questions: DataFrame, answers: DataFrame, promoted: DataFrame, store
     the pack's promotion document has. The section is the heading, the question, a blank line and the
     answer; spans are known from how it is built. Order indices follow the highest stored one.
     """
-    current = answers.where("is_current").where(F.trim(F.coalesce("answer_text", F.lit(""))) != "").select("question_id", "answer_id", "answer_text")
+    current = answers.where("is_current").where(strip(F.coalesce("answer_text", F.lit(""))) != "").select("question_id", "answer_id", "answer_text")
     new = questions.where("status = 'approved'").join(current, "question_id").join(promoted.select("answer_id").distinct(), "answer_id", "left_anti")
     last = stored.groupBy("pack_id").agg(F.max("order_index").alias("last"))
-    heading = F.trim(F.concat_ws(" ", "section", "number"))
+    heading = strip(F.concat_ws(" ", "section", "number"))
     built = new.join(last, "pack_id", "left").withColumn("heading", heading).withColumn(
         "section_text", F.concat("heading", F.lit("\n"), "text", F.lit("\n\n"), "answer_text")
     )

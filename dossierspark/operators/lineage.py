@@ -204,25 +204,6 @@ def expired(facts: DataFrame, today: Column) -> DataFrame:
     return facts.where((F.col("expires_on") < today) & F.col("expired_at").isNull())
 
 
-def invalidate(answers: DataFrame, stale: DataFrame) -> DataFrame:
-    """Answers that cite a stale source, with those substantive segments weak.
-
-    answers: answer_id, segments array<struct<index, kind, support_status, sources array<string>>>.
-    stale: source_id. Returns answer_id, segments, changed (indices); unchanged answers are left out.
-    The stale sources of one answer come together before its segments are looked at.
-    """
-    cited = answers.select("answer_id", F.explode(F.array_distinct(F.flatten(F.transform("segments", lambda s: s["sources"])))).alias("source_id"))
-    hits = cited.join(stale.select("source_id").distinct(), "source_id").groupBy("answer_id").agg(F.collect_set("source_id").alias("gone"))
-    weak = lambda s: F.coalesce(F.arrays_overlap(s["sources"], F.col("gone")), F.lit(False)) & (s["kind"] == "substantive") & (s["support_status"] != "weak")
-    return (
-        answers.join(hits, "answer_id")
-        .withColumn("changed", F.transform(F.filter("segments", weak), lambda s: s["index"]))
-        .where(F.size("changed") > 0)
-        .withColumn("segments", F.transform("segments", lambda s: F.when(weak(s), s.withField("support_status", F.lit("weak"))).otherwise(s)))
-        .select("answer_id", "segments", "changed")
-    )
-
-
 def inherited_date(fact_date: Column, document_date: Column, created_at: Column) -> Column:
     return F.coalesce(fact_date, document_date, F.to_date(created_at))
 

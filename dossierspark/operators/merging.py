@@ -13,9 +13,12 @@ from ..settings import DEFAULTS
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], updated: list[str]) -> DataFrame:
     """Rows of either side; `updated` columns from the new row where there is one, all others stay.
 
-    Columns that only one side has are null where that side has no row.
+    Columns that only one side has are null where that side has no row. Of new rows with equal keys the
+    greatest by its other columns, in their order, counts.
     """
-    seen = new.dropDuplicates(keys).withColumn("_new", F.lit(True))
+    rest = [c for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("r")).select(*keys, "r.*") if rest else new.select(*keys).distinct()
+    seen = one.withColumn("_new", F.lit(True))
     joined = old.withColumn("_old", F.lit(True)).alias("o").join(seen.alias("n"), keys, "full_outer")
 
     def pick(c: str) -> Column:

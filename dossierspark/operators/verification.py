@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import find_span, normalised, sentences
-from ..functions.text import content_words, strip_leading_number
+from ..functions.text import content_words, strip, strip_leading_number
 from .review import still_needs_review
 
 #: Content words that a sentence shares with what it cites, for the heuristic judge to call it supported.
@@ -96,37 +96,56 @@ def verbatim_segments(items: DataFrame) -> DataFrame:
 
 # What a checklist says after an invalidation for each reason.
 CHECKLIST_AFTER = {"superseded": "superseded", "expired": "expired", "removed": "unverified"}
+# Reasons by precedence.
+REASONS = ["removed", "superseded", "expired"]
 
 
-def invalidation_effects(answers: DataFrame, stale: DataFrame) -> DataFrame:
+def _stale(stale: DataFrame) -> DataFrame:
+    """source (type:id) and reason, the first of REASONS where there are several; an id without a type is a fact's."""
+    kind = F.coalesce("source_type", F.lit("fact")) if "source_type" in stale.columns else F.lit("fact")
+    place = F.array_position(F.lit(REASONS), F.col("reason"))
+    return stale.groupBy(F.concat_ws(":", kind, "source_id").alias("source")).agg(F.min_by("reason", place).alias("reason"))
+
+
+def _typed(source: Column) -> Column:
+    return F.when(F.contains(source, F.lit(":")), source).otherwise(F.concat(F.lit("fact:"), source))
+
+
+def invalidation_effects(answers: DataFrame, stale: DataFrame, in_place: bool = False) -> DataFrame:
     """Answers that a stale source changes: segments, checklist, needs_review, and what the event says.
 
     answers: answer_id, question_id, needs_review, segments array<struct<index, kind, support_status,
-    sources array<string>>>, checklist array<struct<fact_id, status>>. stale: source_id, reason; of several
-    reasons the first by name counts. Cited substantive segments that are not weak yet become weak, the
-    checklist entries of the fact get its status, and an answer where anything changed needs review.
-    Answers where nothing changes are left out, so a second run finds none.
+    sources array<string>>>, checklist array<struct<fact_id, status>>; a source is type:id, or the bare id of a
+    fact. stale: source_id, reason (of several the first of REASONS counts) and maybe source_type. Cited
+    substantive segments that are not weak yet become weak, the checklist entries of a cited fact get its
+    status, and an answer where anything changed needs review. With `in_place`, entries of facts that no
+    segment cites get their status too, which asks for no review. Answers where nothing changes are left
+    out, so a second run finds none.
     """
-    gone = stale.groupBy("source_id").agg(F.min("reason").alias("reason"))
-    named = F.array_distinct(F.concat(F.flatten(F.transform("segments", lambda s: s["sources"])), F.transform("checklist", lambda c: c["fact_id"])))
-    hits = answers.select("answer_id", F.explode(named).alias("source_id")).join(gone, "source_id")
-    hits = hits.groupBy("answer_id").agg(F.map_from_entries(F.collect_list(F.struct("source_id", "reason"))).alias("gone"))
+    sources = F.array_distinct(F.flatten(F.transform("segments", lambda s: F.transform(s["sources"], _typed))))
+    listed = F.transform("checklist", lambda c: F.concat(F.lit("fact:"), c["fact_id"]))
+    named = F.array_distinct(F.concat(sources, listed)) if in_place else sources
+    hits = answers.select("answer_id", F.explode(named).alias("source")).join(_stale(stale), "source")
+    hits = hits.groupBy("answer_id").agg(F.map_from_entries(F.collect_list(F.struct("source", "reason"))).alias("gone"))
     after = F.create_map(*[F.lit(x) for kv in CHECKLIST_AFTER.items() for x in kv])
-    cited = lambda s: F.coalesce(F.arrays_overlap(s["sources"], F.map_keys("gone")), F.lit(False))
+    cited = lambda s: F.coalesce(F.arrays_overlap(F.transform(s["sources"], _typed), F.map_keys("gone")), F.lit(False))
     weak = lambda s: cited(s) & (s["kind"] == "substantive") & (s["support_status"] != "weak")
-    wanted = lambda c: F.coalesce(F.try_element_at(after, F.try_element_at(F.col("gone"), c["fact_id"])), c["status"])
-    rows = answers.join(hits, "answer_id").withColumn("changed", F.transform(F.filter("segments", weak), lambda s: s["index"]))
-    rows = rows.withColumn("n_checklist", F.size(F.filter("checklist", lambda c: wanted(c) != c["status"])))
+    fact = lambda c: F.concat(F.lit("fact:"), c["fact_id"])
+    wanted = lambda c: F.coalesce(F.try_element_at(after, F.try_element_at(F.col("gone"), fact(c))), c["status"])
+    rows = answers.join(hits, "answer_id").withColumn("cited", sources).withColumn("changed", F.transform(F.filter("segments", weak), lambda s: s["index"]))
+    moved = F.filter("checklist", lambda c: wanted(c) != c["status"])
+    rows = rows.withColumn("n_checklist", F.size(moved)).withColumn("n_cited", F.size(F.filter(moved, lambda c: F.array_contains("cited", fact(c)))))
     rows = rows.where((F.size("changed") > 0) | (F.col("n_checklist") > 0))
     rows = rows.withColumn("segments", F.transform("segments", lambda s: F.when(weak(s), s.withField("support_status", F.lit("weak"))).otherwise(s)))
     rows = rows.withColumn("checklist", F.transform("checklist", lambda c: c.withField("status", wanted(c))))
-    flag = still_needs_review(F.lit(True), F.col("segments"))
+    told = (F.size("changed") > 0) | (F.col("n_cited") > 0)
+    flag = F.when(told, still_needs_review(F.lit(True), F.col("segments"))).otherwise(F.coalesce("needs_review", F.lit(False)))
     return rows.select("answer_id", "question_id", "segments", "checklist", flag.alias("needs_review"), "changed", "n_checklist")
 
 
 def revalidate(answers: DataFrame, saved: DataFrame, stale: DataFrame) -> DataFrame:
     """invalidation_effects on the versions just saved from messages (answer_id): what went stale since they were written."""
-    return invalidation_effects(answers.join(saved.select("answer_id").distinct(), "answer_id", "left_semi"), stale)
+    return invalidation_effects(answers.join(saved.select("answer_id").distinct(), "answer_id", "left_semi"), stale, in_place=True)
 
 
 # How a question was matched, best first.
@@ -137,9 +156,11 @@ def resolve_questions(queries: DataFrame, pairs: DataFrame, sections: DataFrame
     """query_id, item_id, method: the pair of the same document that a question means.
 
     By the normal form of the question, without its leading number, verbatim in a stored question, near one
-    (best ratio), and at last by the section where it stands. queries: query_id, document, text. pairs:
-    item_id, document, place, question, section_id. sections: document, section_id, place, text. Within a
-    method the first pair by place counts.
+    (best ratio), and at last by the section where it stands: of the sections that hold it in their order, the first
+    with a pair whose question span holds the start of the match, or whose answer is there. queries: query_id,
+    document, text. pairs: item_id, document, place, question, section_id (of the answer) and maybe
+    question_section_id (null: section_id), question_start, question_end. sections: document, section_id,
+    place, text. Within a method the first pair by place counts.
     """
     q = queries.withColumn("wanted", normalised(F.col("text"))).where("wanted <> ''")
     p = pairs.withColumn("own", normalised(F.coalesce("question", F.lit("")))).withColumn("plain", normalised(strip_leading_number(F.coalesce("question", F.lit("")))))
@@ -155,16 +176,21 @@ def resolve_questions(queries: DataFrame, pairs: DataFrame, sections: DataFrame
     if sections is not None:
         rest = q.join(found.select("query_id").distinct(), "query_id", "left_anti")
         at = rest.join(sections.select("document", "section_id", F.col("place").alias("at"), F.col("text").alias("body")), "document")
-        at = at.withColumn("hit", find_span(F.col("text"), F.col("body"))).where("hit.start is not null").groupBy("query_id", "document").agg(F.min(F.struct("at", "section_id")).alias("s"))
-        by_section = at.select("query_id", "document", F.col("s.section_id").alias("section_id")).join(pairs.select("item_id", "document", "section_id", "place"), ["document", "section_id"])
-        found = found.unionByName(by_section.select("query_id", "item_id", F.lit(4).alias("m"), F.lit(0.0).alias("behind"), "place"))
+        at = at.withColumn("hit", find_span(F.col("text"), F.col("body"))).where("hit.start is not null").select("query_id", "document", "section_id", "at", "hit.start")
+        known = {c: F.col(c) if c in pairs.columns else F.lit(None) for c in ("question_section_id", "question_start", "question_end")}
+        own = pairs.select("item_id", "document", F.col("place").alias("place"), "section_id", *[v.alias(c) for c, v in known.items()])
+        asked = own.where("question_start is not null and question_end is not null").withColumn("section_id", F.coalesce("question_section_id", "section_id"))
+        spanned = at.join(asked, ["document", "section_id"]).where("question_start <= start and start < question_end")
+        there = spanned.select("query_id", "item_id", "at", F.lit(0).alias("k"), "place").union(at.join(own, ["document", "section_id"]).select("query_id", "item_id", "at", F.lit(1), "place"))
+        first = there.groupBy("query_id").agg(F.min(F.struct("at", "k", "place", "item_id")).alias("s"))
+        found = found.unionByName(first.select("query_id", "s.item_id", F.lit(4).alias("m"), F.lit(0.0).alias("behind"), "s.place"))
     best = found.groupBy("query_id").agg(F.min(F.struct("m", "behind", "place", "item_id")).alias("b"))
     return best.select("query_id", F.col("b.item_id").alias("item_id"), F.element_at(F.array(*[F.lit(m) for m in METHODS]), F.col("b.m") + 1).alias("method"))
 
 
 def truth_with_runs(truth: DataFrame, runs: DataFrame) -> DataFrame:
     """Truth rows with the run of the same section and number, both trimmed; runs without truth are left out."""
-    key = lambda d: d.withColumn("section", F.trim("section")).withColumn("number", F.trim(F.col("number").cast("string")))
+    key = lambda d: d.withColumn("section", strip(F.col("section"))).withColumn("number", strip(F.col("number").cast("string")))
     return key(truth).join(key(runs), ["section", "number"], "left")
 
 

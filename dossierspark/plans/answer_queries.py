@@ -99,7 +99,7 @@ def acted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _orders(spark, sf_dir)
     actions = orders.select(
         k.alias("answer_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("index"), F.when(k % 2 == 0, "attest").otherwise("dispute").alias("action"),
-        F.lit("ann").alias("actor"), F.when(k % 3 == 0, " ").otherwise("why").alias("note"),
+        F.lit("ann").alias("actor"), F.when(k % 3 == 0, "\n\t").otherwise("why").alias("note"),
     )
     done = A.act(_segments(spark, sf_dir).withColumn("needs_review", F.col("answer_id") % 7 == 0), actions)
     n = lambda v: F.size(F.filter("events", lambda e: e["outcome"] == v)).cast("long").alias(f"n_{v}")
@@ -253,41 +253,53 @@ def verbatim_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SEGMENTS}, g AS (SELECT s_suppkey, ['superseded', 'expired', 'removed'][s_suppkey % 3 + 1] AS reason FROM supplier WHERE s_acctbal < 2000),
+    f"""WITH {SEGMENTS}, g AS (SELECT s_suppkey, CASE s_suppkey % 12 WHEN 0 THEN 'removed' WHEN 10 THEN 'superseded' ELSE ['superseded', 'expired', 'removed'][s_suppkey % 3 + 1] END AS reason FROM supplier WHERE s_acctbal < 2000),
 t AS (SELECT s.*, reason, reason IS NOT NULL AND kind = 'substantive' AND support_status <> 'weak' AS changes FROM s LEFT JOIN g ON s_suppkey = l_suppkey),
 c AS (SELECT answer_id, first(l_suppkey ORDER BY index) AS fact FROM s GROUP BY 1), k AS (SELECT answer_id, CASE reason WHEN 'superseded' THEN 'superseded' WHEN 'expired' THEN 'expired' WHEN 'removed' THEN 'unverified' ELSE 'expired' END AS entry, coalesce(reason, 'expired') <> 'expired' AS moved FROM c LEFT JOIN g ON s_suppkey = fact)
 SELECT t.answer_id, string_agg(CASE WHEN changes THEN 'weak' ELSE support_status END, ',' ORDER BY index) AS statuses, any_value(entry) AS entry, coalesce(string_agg(CASE WHEN changes THEN index END, ',' ORDER BY index), '') AS changed,
   bool_or(kind = 'substantive' AND (changes OR support_status IN ('weak', 'unsupported'))) AS needs_review FROM t JOIN k USING (answer_id) GROUP BY t.answer_id HAVING bool_or(changes) OR bool_or(moved)"""
 )
 def invalidation_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stale sources do to sentences, checklists and review flags."""
+    """What stale sources do to sentences, checklists and review flags; several reasons a source, items with the ids of facts."""
     answers = _segments(spark, sf_dir).select(
         "answer_id", F.col("answer_id").alias("question_id"), F.lit(False).alias("needs_review"), "segments",
         F.array(F.struct(F.col("segments")[0]["sources"][0].alias("fact_id"), F.lit("expired").alias("status"))).alias("checklist"),
     )
-    stale = table(spark, sf_dir, "supplier").where("s_acctbal < 2000").select(F.col("s_suppkey").cast("string").alias("source_id"), _pick(F.col("s_suppkey"), "superseded", "expired", "removed").alias("reason"))
+    k, suppliers = F.col("s_suppkey"), table(spark, sf_dir, "supplier")
+    more = F.when(k % 12 == 0, F.array(F.lit("expired"), F.lit("removed"))).when(k % 12 == 10, F.array(F.lit("superseded"), F.lit("expired")))
+    reasons = F.coalesce(more, F.array(_pick(k, "superseded", "expired", "removed")))
+    facts = suppliers.where("s_acctbal < 2000").select(F.lit("fact").alias("source_type"), k.cast("string").alias("source_id"), F.explode(reasons).alias("reason"))
+    stale = facts.union(suppliers.select(F.lit("knowledge_item"), k.cast("string"), F.lit("removed")))
     statuses = F.array_join(F.transform("segments", lambda s: s["support_status"]), ",")
     return V.invalidation_effects(answers, stale).select(
         "answer_id", statuses.alias("statuses"), F.col("checklist")[0]["status"].alias("entry"), F.array_join(F.transform("changed", lambda i: i.cast("string")), ",").alias("changed"), "needs_review"
     )
 
 
-@query(f"WITH {SEGMENTS} SELECT answer_id, count(*) FILTER (kind = 'substantive' AND support_status <> 'weak' AND l_suppkey % 2 = 0) AS n_changed FROM s WHERE answer_id % 4 = 0 GROUP BY 1 HAVING n_changed > 0")
+@query(
+    f"""WITH {SEGMENTS}, t AS (SELECT *, kind = 'substantive' AND support_status <> 'weak' AND l_suppkey % 2 = 0 AS moves FROM s WHERE answer_id % 4 = 0)
+SELECT answer_id, count(*) FILTER (moves) AS n_changed, ['current', 'superseded', 'unverified'][answer_id % 3 + 1] AS entry,
+  count(*) FILTER (moves) > 0 AND bool_or(kind = 'substantive' AND (moves OR support_status IN ('weak', 'unsupported'))) AS needs_review
+FROM t GROUP BY 1 HAVING n_changed > 0 OR answer_id % 3 > 0"""
+)
 def revalidated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions just saved from messages meet what went stale before."""
-    none = F.expr("cast(array() as array<struct<fact_id:string,status:string>>)")
-    answers = _segments(spark, sf_dir).select("answer_id", F.col("answer_id").alias("question_id"), F.lit(False).alias("needs_review"), "segments", none.alias("checklist"))
+    """Versions just saved from messages meet what went stale before; entries of facts that no sentence cites ask for no review."""
+    entry = F.struct(F.concat(F.lit("u"), (F.col("answer_id") % 3).cast("string")).alias("fact_id"), F.lit("current").alias("status"))
+    answers = _segments(spark, sf_dir).select("answer_id", F.col("answer_id").alias("question_id"), F.lit(False).alias("needs_review"), "segments", F.array(entry).alias("checklist"))
     saved = _orders(spark, sf_dir).where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("answer_id"))
     stale = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").cast("string").alias("source_id"), F.lit("expired").alias("reason"))
-    return V.revalidate(answers, saved, stale).select("answer_id", F.size("changed").cast("long").alias("n_changed"))
+    uncited = spark.createDataFrame([("u1", "expired"), ("u1", "superseded"), ("u2", "superseded"), ("u2", "removed")], stale.schema)
+    return V.revalidate(answers, saved, stale.union(uncited)).select("answer_id", F.size("changed").cast("long").alias("n_changed"), F.col("checklist")[0]["status"].alias("entry"), "needs_review")
 
 
 @query(
-    """SELECT c_custkey AS query_id, CASE WHEN c_custkey % 6 < 4 THEN c_custkey WHEN c_custkey % 6 = 4 THEN c_custkey END AS item_id,
+    """SELECT c_custkey AS query_id, CASE WHEN c_custkey % 6 < 4 THEN c_custkey WHEN c_custkey % 6 = 4 THEN c_custkey + 1000000 END AS item_id,
   ['equality', 'equality_without_number', 'span_verbatim', 'span_near', 'section'][c_custkey % 6 + 1] AS method FROM customer WHERE c_custkey % 6 < 5"""
 )
 def resolved_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every step of the cascade, by customer: equal, without number, verbatim within, near, by section, none."""
+    """Every step of the cascade, by customer: equal, without number, verbatim within, near, by section, none.
+
+    Each document has two pairs, and the text first stands in a section without any."""
     k, c = F.col("c_custkey"), table(spark, sf_dir, "customer")
     step, name = k % 6, F.concat(F.lit("Describe how customer "), k.cast("string"), F.lit(" is served in every region of the country"))
     stored = (
@@ -295,8 +307,14 @@ def resolved_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(step == 3, F.replace(name, F.lit("country"), F.lit("county"))).otherwise(F.lit("zzz 999"))
     )
     queries = c.select(k.alias("query_id"), k.alias("document"), name.alias("text"))
-    pairs = c.select(k.alias("item_id"), k.alias("document"), F.lit(1).alias("place"), stored.alias("question"), F.lit(5).alias("section_id"))
-    sections = c.where("c_custkey % 6 = 4").select(k.alias("document"), F.lit(5).alias("section_id"), F.lit(0).alias("place"), F.concat(F.lit("Intro. "), name, F.lit(" Outro.")).alias("text"))
+    pair = lambda item, place, question, start, end: c.select(
+        item.alias("item_id"), k.alias("document"), F.lit(place).alias("place"), question.alias("question"), F.lit(5).alias("section_id"),
+        F.lit(start).alias("question_start"), F.lit(end).alias("question_end"),
+    )
+    other = F.when(step == 0, name).otherwise(F.lit("Another matter 123"))
+    pairs = pair(k, 1, stored, 0, 7).union(pair(k + 1_000_000, 2, other, 7, 90))
+    body = F.concat(F.lit("Intro. "), name, F.lit(" Outro."))
+    sections = c.where("c_custkey % 6 = 4").select(k.alias("document"), F.inline(F.array(*[F.struct(F.lit(i).alias("section_id"), F.lit(p).alias("place"), body.alias("text")) for i, p in ((6, 1), (5, 0), (4, -1))])))
     return V.resolve_questions(queries, pairs, sections)
 
 

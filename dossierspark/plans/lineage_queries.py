@@ -40,25 +40,40 @@ def canonical_election(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.elect(items).select("item_id", "canonical_id")
 
 
-@query(
-    """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9"""
-)
+#: Every vector and a near copy of it, whose id is 1,000,000 higher.
+SHIFTED = """v AS (
+  SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  UNION ALL SELECT vec_id + 1000000, label, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) + CASE WHEN i = 1 + vec_id % 5 THEN 0.02 * (1 + vec_id % 3) ELSE 0 END) FROM embeddings)"""
+
+
+def _shifted(spark, sf):
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("label").alias("grp"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    by = F.lit(0.02) * (1 + F.col("item_id") % 3)
+    moved = F.transform("vector", lambda x, i: x + F.when(i == F.col("item_id") % 5, by).otherwise(0.0))
+    return v.union(v.select(F.col("item_id") + 1_000_000, "grp", moved))
+
+
+@query(f"WITH {SHIFTED} SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.label = b.label AND a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.9")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact similarity join within a label."""
-    return L.similar_pairs(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("label").alias("grp"), F.col("embedding").alias("vector")))
+    """Exact similarity join within a label, over vectors and near copies of them."""
+    return L.similar_pairs(_shifted(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {SHIFTED}, p AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.label = b.label AND a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+c AS (SELECT id, least(id, coalesce((SELECT a FROM p WHERE b = id), id)) AS cluster FROM v)
+SELECT id AS item_id, first_value(id) OVER (PARTITION BY cluster ORDER BY id % 7 = 0 DESC, id % 11 DESC, id % 1000, id) AS canonical_id FROM c"""
+)
 def leader_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1: sequential clustering against current canonicals; order-dependent, tested against a plain loop."""
-    items = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("item_id"),
-        F.col("label").alias("grp"),
-        F.col("embedding").alias("vector"),
-        (F.col("vec_id") % 7 == 0).alias("promoted"),
-        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("vec_id") % 11).cast("int")).alias("effective_date"),
-        F.timestamp_seconds(F.col("vec_id") % 1000).alias("created_at"),
+    """G1: sequential clustering against current canonicals; here clusters are pairs at most, others are tested against a plain loop."""
+    k = F.col("item_id")
+    items = _shifted(spark, sf_dir).select(
+        k,
+        "grp",
+        "vector",
+        (k % 7 == 0).alias("promoted"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (k % 11).cast("int")).alias("effective_date"),
+        F.timestamp_seconds(k % 1000).alias("created_at"),
     )
     return L.leader_clusters(items)
 

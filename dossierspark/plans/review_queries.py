@@ -145,10 +145,12 @@ SELECT l_orderkey AS answer_id, count(*) AS n_changed FROM lineitem WHERE l_line
 )
 def invalidated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers that cite a stale source."""
-    from ..operators.lineage import invalidate
+    from ..operators.verification import invalidation_effects
 
-    stale = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").cast("string").alias("source_id"))
-    return invalidate(_segments(spark, sf_dir), stale).select("answer_id", F.size("changed").cast("long").alias("n_changed"))
+    none = F.expr("cast(array() as array<struct<fact_id:string,status:string>>)")
+    answers = _segments(spark, sf_dir).withColumn("question_id", F.col("answer_id")).withColumn("needs_review", F.lit(False)).withColumn("checklist", none)
+    stale = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").cast("string").alias("source_id"), F.lit("removed").alias("reason"))
+    return invalidation_effects(answers, stale).select("answer_id", F.size("changed").cast("long").alias("n_changed"))
 
 
 @query(

@@ -6,7 +6,7 @@ import zipfile
 import numpy as np
 from pyspark.sql import functions as F
 
-from dossierspark.operators import batching, components, lineage, merging, retrieval, review
+from dossierspark.operators import batching, components, lineage, merging, retrieval, review, verification
 from dossierspark.operators.sections import sections, text_blocks
 from dossierspark.sources import blocks, sinks
 from dossierspark.streaming import conformer
@@ -84,7 +84,8 @@ def test_invalidation_and_gates(spark):
     seg = "array<struct<index:int,kind:string,support_status:string,sources:array<string>>>"
     rows = [(1, [(0, "substantive", "supported", ["a"]), (1, "connective", "connective", ["a"]), (2, "substantive", "weak", ["a"])]), (2, [(0, "substantive", "supported", ["b"])])]
     answers = spark.createDataFrame(rows, f"answer_id long, segments {seg}")
-    out = lineage.invalidate(answers, spark.createDataFrame([("a",), ("a",)], "source_id string")).collect()
+    full = answers.withColumn("question_id", F.col("answer_id")).withColumn("needs_review", F.lit(False)).withColumn("checklist", F.expr("cast(array() as array<struct<fact_id:string,status:string>>)"))
+    out = verification.invalidation_effects(full, spark.createDataFrame([("a", "removed"), ("a", "removed")], "source_id string, reason string")).collect()
     assert [(r["answer_id"], r["changed"]) for r in out] == [(1, [0])] and [s["support_status"] for s in out[0]["segments"]] == ["weak", "connective", "weak"]
     q = answers.select(F.col("answer_id").alias("question_id"), F.lit(True).alias("has_answer"), "segments", F.lit(False).alias("needs_review"), F.array(F.lit("g")).alias("gaps"), F.array().cast("array<string>").alias("acknowledged"))
     got = {(r["question_id"], r["to"]): r["blockers"] for r in review.allowed_transitions(q).collect()}

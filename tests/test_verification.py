@@ -30,7 +30,7 @@ def test_a_second_invalidation_finds_nothing(spark):
     stale = spark.createDataFrame([("f", "expired"), ("f", "superseded")], "source_id string, reason string")
     once = V.invalidation_effects(answers, stale)
     row = once.collect()
-    assert [(r["answer_id"], r["changed"], r["n_checklist"], r["needs_review"], r["checklist"][0]["status"]) for r in row] == [(1, [0], 1, True, "expired")]
+    assert [(r["answer_id"], r["changed"], r["n_checklist"], r["needs_review"], r["checklist"][0]["status"]) for r in row] == [(1, [0], 1, True, "superseded")]
     assert V.invalidation_effects(once.select(*answers.columns), stale).count() == 0
 
 
