@@ -5,11 +5,13 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,50 +153,94 @@ def xlsx_blocks_of(data: bytes) -> list[dict]:
 READERS = {"docx": docx_blocks_of, "xlsx": xlsx_blocks_of, "xlsm": xlsx_blocks_of}
 
 
-def _frame(document_id: int, blocks: list[dict]) -> pd.DataFrame:
-    rows = [{"document_id": document_id, "pos": i, **b} for i, b in enumerate(blocks)]
-    frame = pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in _NAMES})
-    return frame.astype({"document_id": "Int64", "level": "Int32", "table_index": "Int32", "row_number": "Int32", "pos": "Int32"})
+#: Blocks of a batch that leaves a task at once, more or less.
+ROWS = 4096
+_KINDS = {"document_id": pa.int64(), "cells": pa.list_(pa.string()), **dict.fromkeys(("pos", "level", "table_index", "row_number"), pa.int32())}
+_SCHEMA = pa.schema([(c, _KINDS.get(c, pa.string())) for c in [*_NAMES, "problem"]])
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], f.type) for c, f in zip(_SCHEMA.names, _SCHEMA)], schema=_SCHEMA)
+
+
+def _parsed(files: Iterator[tuple[int, Callable[[], list[dict]]]]) -> Iterator[pa.RecordBatch]:
+    """Blocks of files (id and reader), many files a batch; one row with a problem for a file that can't be read."""
+    rows: list[dict] = []
+    for document_id, read in files:
+        try:
+            rows += [{"document_id": document_id, "pos": i, **b} for i, b in enumerate(read())]
+        except Exception as e:  # noqa: BLE001  a file may be broken in any way; the others go on
+            rows.append({"document_id": document_id, "problem": f"unreadable: {type(e).__name__}"})
+        if len(rows) >= ROWS:
+            yield _batch(rows)
+            rows = []
+    if rows:
+        yield _batch(rows)
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
     """Blocks of pages (document_id, html)."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i, html in zip(pdf["document_id"], pdf["html"]):
-                yield _frame(i, html_blocks_of(html))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages = ((i, partial(html_blocks_of, h)) for b in batches for i, h in zip(b["document_id"].to_pylist(), b["html"].to_pylist()))
+        yield from _parsed(pages)
 
-    return pages.select("document_id", "html").mapInPandas(read, BLOCK)
+    return pages.select("document_id", "html").mapInArrow(read, f"{BLOCK}, problem string").where("problem is null").drop("problem")
 
 
 def office_blocks(files: DataFrame) -> DataFrame:
-    """Blocks of docx and xlsx files (document_id, suffix, content)."""
+    """Blocks of docx and xlsx files (document_id, suffix, content), and problem; a broken file has one row, with its problem alone."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((b, k) for b in batches for k in range(len(b)))
+        yield from _parsed((b["document_id"][k].as_py(), partial(READERS[b["suffix"][k].as_py()], b["content"][k].as_py())) for b, k in rows)
+
+    return files.select("document_id", "suffix", "content").mapInArrow(read, f"{BLOCK}, problem string")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i, suffix, content in zip(pdf["document_id"], pdf["suffix"], pdf["content"]):
-                yield _frame(i, READERS[suffix](content))
 
-    return files.select("document_id", "suffix", "content").mapInPandas(read, BLOCK)
+#: Suffixes that are read as plain text.
+TEXTS = ("txt", "md")
 
 
 def read_files(spark: SparkSession, path: str, most_bytes: int = 25 << 20) -> DataFrame:
-    """document_id (hash of the path), suffix, content, sha256 of files up to a size; empty ones are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(f"length > 0 and length <= {most_bytes}")
-    return files.select(
-        F.xxhash64("path").alias("document_id"),
-        "path",
-        F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("suffix"),
-        "content",
-        F.sha2("content", 256).alias("sha256"),
+    """document_id (hash of the path), path, suffix, content, sha256 and problem of every file.
+
+    Files of more than `most_bytes` and unknown suffixes keep no content (the scan does not open them), empty ones
+    have none; their problem says why. Spark's scans pass empty files over, so these are what is in the scan's
+    own list of files, which the driver holds anyway, and not among its rows.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    named = [F.xxhash64("path").alias("document_id"), "path", suffix.alias("suffix")]
+    known = suffix.isin(*READERS, *TEXTS)
+    problem = F.when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "too_large").when(~known, "unknown_type")
+    good = found.where(f"length > 0 and length <= {most_bytes}").where(known)
+    listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", unquote(f)),) for f in found.inputFiles()], "path string")
+    empty = listed.join(found.select("path"), "path", "left_anti").withColumn("length", F.lit(0).cast("long"))
+    bad = found.select("path", "length").where(problem.isNotNull()).union(empty)
+    none = F.lit(None)
+    return good.select(*named, "content", F.sha2("content", 256).alias("sha256"), none.cast("string").alias("problem")).union(
+        bad.select(*named, none.cast("binary"), none.cast("string"), problem)
     )
 
 
+def parsed_files(files: DataFrame) -> DataFrame:
+    """Blocks of all known kinds (docx, xlsx, xlsm, txt, md), and one row with a problem for each file without any."""
+    good = files.where("problem is null")
+    texts = good.where(F.col("suffix").isin(*TEXTS)).select("document_id", F.decode("content", "UTF-8").alias("text"))
+    bad = files.where("problem is not null").select("document_id", *[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in BLOCK.split(", ")[1:])], "problem")
+    none = F.lit(None).cast("string").alias("problem")
+    return office_blocks(good.where(F.col("suffix").isin(*READERS))).unionByName(text_blocks(texts).withColumn("problem", none)).unionByName(bad)
+
+
 def file_blocks(files: DataFrame) -> DataFrame:
-    """Blocks of all known kinds: docx, xlsx, xlsm, txt, md."""
-    texts = files.where(F.col("suffix").isin("txt", "md")).select("document_id", F.decode("content", "UTF-8").alias("text"))
-    return office_blocks(files.where(F.col("suffix").isin(*READERS))).unionByName(text_blocks(texts))
+    """The blocks of parsed_files() alone."""
+    return parsed_files(files).where("problem is null").drop("problem")
+
+
+def file_problems(files: DataFrame) -> DataFrame:
+    """document_id, problem: empty, too_large, unknown_type, or unreadable with the kind of error."""
+    return parsed_files(files).where("problem is not null").select("document_id", "problem")
 
 
 def read_json_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

@@ -153,6 +153,21 @@ def test_office_files(spark, tmp_path):
     files = blocks.read_files(spark, str(tmp_path))
     got = {(tuple(r["heading_path"]), r["cell_ref"], r["text"]) for r in sections(blocks.file_blocks(files)).collect()}
     assert got == {(("Head",), None, "Head\ntext"), (("Head", "Q", "A"), "T1:R2", "one | two"), (("S", "Q", "N"), "S!3", "why | 4"), (("T",), None, "T\nbody")}
+    assert {r["problem"] for r in blocks.file_problems(files).collect()} == {"empty"}
+
+
+def test_bad_files_stop_nothing(spark, tmp_path):
+    """One problem row for each broken, empty, oversized and unknown file; the good one is read."""
+    for name, data in {"a.docx": b"no zip", "b.xlsx": _zip(other="x"), "c.pdf": b"%PDF", "d": b"x", "e.TXT": b"", "f.md": b"y" * 3000, "g.txt": b"fine", "h.docx": _zip(**{"word__document.xml": "<broken"})}.items():
+        (tmp_path / name).write_bytes(data)
+    files = blocks.read_files(spark, str(tmp_path), most_bytes=2000)
+    named = {r["document_id"]: r["path"].rsplit("/", 1)[1] for r in files.collect()}
+    got = sorted((named[r["document_id"]], r["problem"]) for r in blocks.file_problems(files).collect())
+    assert got == [
+        ("a.docx", "unreadable: BadZipFile"), ("b.xlsx", "unreadable: KeyError"), ("c.pdf", "unknown_type"), ("d", "unknown_type"),
+        ("e.TXT", "empty"), ("f.md", "too_large"), ("h.docx", "unreadable: ParseError"),
+    ]
+    assert [r["text"] for r in blocks.file_blocks(files).collect()] == ["fine"]
 
 
 SEG = "struct<text:string,paragraph:int,kind:string,sources:array<struct<source_type:string,source_id:string>>>"
