@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import interval_share
 from ..settings import DEFAULTS
+from .components import written
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], updated: list[str]) -> DataFrame:
@@ -87,28 +87,82 @@ def overlap_join(a: DataFrame, b: DataFrame, least: float = DEFAULTS.span_overla
     )
 
 
+# Columns of a requirement that people fill; a row with any of them is never deleted.
+HUMAN = ["compliance_class", "compliant_by", "owner", "rated_at", "comment"]
+
+
+class _Matcher:
+    """Reads a section's stored rows, then what a run found in order; holds the stored rows that are still free."""
+
+    def __init__(self):
+        self.by_key: dict[str, tuple] = {}
+        self.free: dict[int, tuple] = {}
+        self.written: set[str] = set()
+
+    def eval(self, row):
+        key, span = row["key"], (row["start"], row["end"])
+        if row["kind"] == 0:
+            self.free[row["id"]] = (*span, key)
+            self.by_key[key] = row["id"]
+            return
+        if key in self.written:
+            return
+        old = self.by_key.get(key)
+        if old is None and None not in span:
+            shares = ((_share(*held[:2], *span), i) for i, held in self.free.items() if held[0] is not None and held[1] is not None)
+            best = max(shares, key=lambda x: (x[0], -x[1]), default=(0.0, None))
+            old = best[1] if best[0] >= row["least"] else None
+        if old is not None:
+            self.by_key.pop(self.free.pop(old)[2], None)
+        self.written.add(key)
+        yield row["id"], old
+
+
+def _share(a: int, b: int, c: int, d: int) -> float:
+    hull = max(b, d) - min(a, c)
+    return max(0, min(b, d) - max(a, c)) / hull if hull > 0 else 0.0
+
+
 def match_requirements(old: DataFrame, new: DataFrame, least: float = DEFAULTS.span_overlap_min) -> DataFrame:
-    """new_id, old_id: equal keys first, then greedily the best unmatched overlap in order of arrival.
+    """new_id, old_id (null: none fits) of what a run found; what repeats a key of this run is left out.
 
-    old: old_id, section_id, key, start, end; new: new_id likewise plus position. The greedy part runs by
-    section, whose rows are those of one document section.
+    In the order of `position` each takes the stored row of its key, else the free one of its section with the
+    largest share of the hull, at `least` or more (ties: the smaller id). A row taken by another is no longer found by
+    its key. Keys begin with their section, so sections are independent; the rows of one stream
+    through a table function. old: old_id, section_id, key, start, end; new: new_id likewise plus position.
     """
-    exact = new.join(old.select("key", "old_id"), "key").select("new_id", "old_id")
-    o = old.join(exact.select("old_id"), "old_id", "left_anti").select("section_id", F.lit(None).cast("long").alias("new_id"), "old_id", F.lit(None).cast("long").alias("position"), "start", "end")
-    n = new.join(exact.select("new_id"), "new_id", "left_anti").select("section_id", "new_id", F.lit(None).cast("long").alias("old_id"), "position", "start", "end")
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        free, out = rows[rows["new_id"].isna()].sort_values("old_id"), []
-        for r in rows[rows["new_id"].notna()].sort_values("position").itertuples():
-            hull = free["end"].clip(lower=r.end) - free["start"].clip(upper=r.start)
-            share = ((free["end"].clip(upper=r.end) - free["start"].clip(lower=r.start)).clip(lower=0) / hull.where(hull > 0)).fillna(0)
-            if len(share) and share.max() >= least:
-                best = share.idxmax()
-                out.append((int(r.new_id), int(free.loc[best, "old_id"])))
-                free = free.drop(best)
-        return pd.DataFrame(out, columns=["new_id", "old_id"])
-
-    return exact.union(n.union(o).groupBy("section_id").applyInPandas(greedy, "new_id long, old_id long"))
+    rows = old.select("section_id", F.lit(0).alias("kind"), F.col("old_id").alias("position"), F.col("old_id").alias("id"), "key", "start", "end").union(
+        new.select("section_id", F.lit(1), "position", "new_id", "key", "start", "end")
+    )
+    fold = F.udtf(_Matcher, returnType="new_id long, old_id long", useArrow=True)
+    return fold(rows.withColumn("least", F.lit(least)).asTable().partitionBy("section_id").orderBy("kind", "position"))
+
+
+def merge_requirements(stored: DataFrame, found: DataFrame, covered: DataFrame) -> DataFrame:
+    """The requirements after a run, with state (created, updated, kept, deleted) and order_index.
+
+    stored: requirement_id, tender_id, section_id, key, start, end, the columns of HUMAN and any others. found:
+    new_id, tender_id, position, section_id, key, start, end and any others; its columns replace those of the row it
+    fits, requirement_id and the human ones stay. Rows that nothing fits are deleted where their section is in
+    covered (section_id) and no person has worked on them, else kept. order_index numbers what the run wrote, in its
+    order. Created rows have no requirement_id yet.
+    """
+    spans = ["section_id", "key", "start", "end"]
+    pairs = written(match_requirements(stored.select(F.col("requirement_id").alias("old_id"), *spans), found.select("new_id", "position", *spans)), "requirement-pairs")
+    rest = [c for c in found.columns if c not in ("new_id", "position", *HUMAN)]
+    human = stored.select(F.col("requirement_id").alias("old_id"), *HUMAN)
+    at = F.row_number().over(Window.partitionBy("tender_id").orderBy("position", "new_id")) - 1
+    wrote = pairs.join(found.drop(*HUMAN), "new_id").join(human, "old_id", "left").select(
+        F.col("old_id").alias("requirement_id"), *rest, *HUMAN, at.alias("order_index"), F.when(F.col("old_id").isNull(), "created").otherwise("updated").alias("state")
+    )
+    touched = F.lit(False)
+    for c in HUMAN:
+        touched = touched | (F.col(c).isNotNull() if c != "comment" else F.coalesce(F.col(c), F.lit("")) != "")
+    left = stored.join(pairs.where("old_id is not null").select(F.col("old_id").alias("requirement_id")), "requirement_id", "left_anti")
+    left = left.join(covered.select("section_id").distinct().withColumn("_covered", F.lit(True)), "section_id", "left")
+    gone = F.coalesce("_covered", F.lit(False)) & ~touched
+    others = left.withColumn("state", F.when(gone, "deleted").otherwise("kept")).drop("_covered")
+    return wrote.unionByName(others, allowMissingColumns=True)
 
 
 def write_once(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:

@@ -106,7 +106,7 @@ def test_supersession_with_human_decisions(spark):
 def test_requirements_match_greedily(spark):
     old = spark.createDataFrame([(1, "s", "k1", 0, 10), (2, "s", "k2", 20, 30), (3, "t", "k3", 0, 10)], "old_id long, section_id string, key string, start long, end long")
     new = spark.createDataFrame([(11, "s", "k2", 0, 10, 0), (12, "s", "n", 1, 10, 1), (13, "s", "m", 0, 9, 2), (14, "t", "o", 50, 60, 3)], "new_id long, section_id string, key string, start long, end long, position long")
-    assert {(r["new_id"], r["old_id"]) for r in merging.match_requirements(old, new).collect()} == {(11, 2), (12, 1)}
+    assert {(r["new_id"], r["old_id"]) for r in merging.match_requirements(old, new).collect()} == {(11, 2), (12, 1), (13, None), (14, None)}
 
 
 def test_windows_overlap(spark):
