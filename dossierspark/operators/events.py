@@ -68,7 +68,7 @@ def append(events: DataFrame, path: str, batch: int) -> None:
     at = F.row_number().over(Window.partitionBy(*entity).orderBy("at", "key"))
     numbered = written(rows.select(*NAMES, (last + at).alias("seq")), "numbered")
     # the log last: a batch that stops between the two writes runs again and replaces its heads
-    numbered.groupBy(*entity).agg(F.max("seq").alias("last")).withColumn("shard", _shard()).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/heads/batch={batch}")
+    numbered.groupBy(*entity).agg(F.max("seq").alias("last")).withColumn("shard", _shard()).repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/heads/batch={batch}")
     numbered.write.mode("overwrite").parquet(f"{path}/log/batch={batch}")
 
 

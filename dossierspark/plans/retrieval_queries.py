@@ -173,9 +173,9 @@ FROM one QUALIFY rank <= 8"""
 )
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of R12 that SQL can check (see hybrid_retrieval): lexical rank and term coverage over all documents, fused, copies collapsed, best eight."""
-    scored = R.lexical_list(_items(spark, sf_dir), _queries(spark, sf_dir), most=1 << 30, stem=False)
-    lexical = scored.where("rank <= 20")
-    covering = R.ranked(scored.drop("rank"), 20, F.desc("n_terms"), F.asc("item_id"))
+    scored = R.lexical_scores(_items(spark, sf_dir), _queries(spark, sf_dir), stem=False)
+    lexical = R.ranked(scored, 20, F.desc("score"), F.asc("item_id"))
+    covering = R.ranked(scored, 20, F.desc("n_terms"), F.asc("item_id"))
     normal = F.trim(F.regexp_replace(F.lower("text"), r"[ \t\n\r\f\x0B]+", " "))
     copies = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.sha2(normal.cast("binary"), 256).alias("sha"))
     clusters = copies.join(copies.groupBy("sha").agg(F.min("item_id").alias("cluster_id")), "sha").select("item_id", "cluster_id")
@@ -201,9 +201,11 @@ SELECT b.item_id AS query_id, CASE WHEN coalesce(share, 0) >= 0.5 THEN 'covered'
 )
 def coverage_judgement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a question's content words in the best three lexical candidates, without the floor (see coverage_triage)."""
-    queries, docs = _queries(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), content_words(F.col("text")).alias("d"))
-    top = R.lexical_list(_items(spark, sf_dir), queries, most=3, stem=False)
-    pairs = top.join(queries.select("query_id", content_words(F.col("text")).alias("q")), "query_id").join(docs, "item_id")
+    queries = _queries(spark, sf_dir)
+    top = written(R.lexical_list(_items(spark, sf_dir), queries, most=3, stem=False).select("query_id", "item_id"), "top")
+    # content words of the candidates alone
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text").join(top.select("item_id").distinct(), "item_id")
+    pairs = top.join(queries.select("query_id", content_words(F.col("text")).alias("q")), "query_id").join(docs.select("item_id", content_words(F.col("text")).alias("d")), "item_id")
     judged = pairs.groupBy("query_id").agg(F.max(word_share(F.col("q"), F.col("d"))).alias("share"))
     return R.triage(queries.select("query_id", F.lit(1.0).alias("best")), judged)
 
@@ -246,7 +248,7 @@ def coverage_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New below the floor of the best vector score, else judged by the best three of the fused candidates."""
     queries, kept = _queries(spark, sf_dir), written(_retrieved(spark, sf_dir), "kept")
     top = kept.where("rank <= 3").select("query_id", "item_id")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text").join(F.broadcast(top.select("item_id").distinct()), "item_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text").join(top.select("item_id").distinct(), "item_id")
     pairs = top.join(docs, "item_id").join(queries.select("query_id", content_words(F.col("text")).alias("q")), "query_id")
     judged = pairs.groupBy("query_id").agg(F.max(word_share(F.col("q"), content_words(F.col("text")))).alias("share"))
     return R.triage(R.best_vector_score(kept, queries), judged)
