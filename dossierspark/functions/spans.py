@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -231,14 +233,20 @@ def chunks_of(text: str | None, target: int = DEFAULTS.chunk_tokens * 4) -> list
     return out
 
 
+@lru_cache(1 << 18)
+def _term_hash(term: str) -> int:
+    return int.from_bytes(blake2b(term.encode(), digest_size=8).digest(), "big")
+
+
 def hashed_vector(text: str | None, width: int) -> list[float]:
     """A unit vector from hashed words (1) and word pairs (1/2), signed by the hash's top bit."""
     words = re.findall("[a-z0-9]+", (text or "").lower())
     v = np.zeros(width)
     for weight, terms in ((1.0, words), (0.5, map(" ".join, zip(words, words[1:])))):
-        for term in terms:
-            h = int.from_bytes(blake2b(term.encode(), digest_size=8).digest(), "big")
-            v[h % width] += weight if h >> 63 else -weight
+        counted = Counter(terms)  # sums of halves are exact in any order
+        h = np.fromiter(map(_term_hash, counted), np.uint64, len(counted))
+        signed = np.fromiter(counted.values(), np.float64, len(counted)) * np.where(h >> np.uint64(63), weight, -weight)
+        v += np.bincount((h % np.uint64(width)).astype(np.int64), signed, width)
     length = float(np.sqrt((v * v).sum()))
     return (v / length).tolist() if length else [1.0] + [0.0] * (width - 1)
 

@@ -31,6 +31,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(nullable).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores at least; a table of that many splits stays as it is.
+
+    For tables of long texts before work on each row: a file of one row group would be the work of one task.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Hadoop's file system, wherever it lies."""
     jvm = spark.sparkContext._jvm

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.components import spread
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -18,5 +20,10 @@ def query(sql: str | None = None):
     return keep
 
 
+#: Tables of long texts.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
