@@ -13,13 +13,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.components import connected_components, remove, scratch, written
+from ..operators.components import connected_components, remove, scratch, spread, written
 
 __all__ = ["Forest", "LOWER", "Memo", "bounded_batches", "connected_components", "fresh", "gives_back", "mix64", "plain_words", "quiet_threads", "remove", "scratch", "sorted_groups", "table", "utf8", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 #: A batch on its way to a Python worker exists in the JVM and in the worker at once: so many bytes, not rows.
