@@ -183,53 +183,56 @@ def expiry_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.expired(e, F.lit("2024-02-01").cast("date")).select("fact_id")
 
 
-#: Orders as documents of five kinds with their lines as items and facts, and decisions about neighbours and about each group's latest.
-ORDER_DOCS = f"""d AS (
-  SELECT o_orderkey AS id, o_orderkey // 2000 AS org, {KINDS}[o_orderkey % 5 + 1] AS kind, o_orderkey % 8 <> 0 AS confirmed,
-    CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 6 = 0 THEN 'upload_time' ELSE 'stated' END AS source,
+#: Orders as documents of five kinds (by number, as in KINDS) with their lines as items and facts, and decisions about neighbours and about each group's latest.
+ORDER_DOCS = """d AS (
+  SELECT o_orderkey AS id, o_orderkey // 2000 AS org, o_orderkey % 5 AS kind, o_orderkey % 8 <> 0 AS confirmed,
+    CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_orderdate AS DATE) END AS day, o_orderkey % 6 = 0 AS uploaded,
     CASE WHEN o_orderkey % 13 = 0 THEN TIMESTAMP '2024-06-20' END AS moved_at, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 5 END AS previous FROM orders
 ), latest AS (SELECT org, kind, max_by(id, (day, id)) AS latest_id FROM d WHERE day IS NOT NULL GROUP BY ALL),
 told AS (
-  SELECT id AS a, id + 5 AS b, CASE WHEN id % 11 = 0 THEN 'iso' ELSE kind END AS kind,
+  SELECT id AS a, id + 5 AS b, CASE WHEN id % 11 = 0 THEN -1 ELSE kind END AS kind,
     CASE id // 7 % 4 WHEN 1 THEN id WHEN 2 THEN id + 5 END AS newer, TIMESTAMP '2024-06-01' + to_days(CAST(id % 50 AS INTEGER)) AS at_
   FROM d WHERE id % 7 = 0
   UNION ALL SELECT id, latest_id, d.kind, NULL, TIMESTAMP '2024-07-30' FROM d JOIN latest USING (org, kind) WHERE id % 17 = 0 AND id <> latest_id
-), able AS (SELECT * FROM d WHERE kind <> 'other' AND confirmed),
+), able AS (SELECT * FROM d WHERE kind <> 3 AND confirmed),
 last AS (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY at_ DESC, newer DESC NULLS LAST) = 1),
 states AS (
-  SELECT last.*, CASE WHEN x.id IS NULL OR y.id IS NULL OR x.org <> y.org OR x.kind <> last.kind OR y.kind <> last.kind THEN 'removed'
-    WHEN x.moved_at > at_ OR y.moved_at > at_ THEN 'reset' ELSE 'stands' END AS state
+  SELECT last.*, CASE WHEN x.id IS NULL OR y.id IS NULL OR x.org <> y.org OR x.kind <> last.kind OR y.kind <> last.kind THEN 2
+    WHEN x.moved_at > at_ OR y.moved_at > at_ THEN 1 ELSE 0 END AS state
   FROM last LEFT JOIN able x ON x.id = a LEFT JOIN able y ON y.id = b
-), stands AS (SELECT a, b, newer FROM states WHERE state = 'stands'),
+), stands AS (SELECT a, b, newer FROM states WHERE state = 0),
 both_ways AS (SELECT a AS id, b AS other FROM stands UNION ALL SELECT b, a FROM stands),
 by_hand AS (
   SELECT CASE WHEN newer = a THEN b ELSE a END AS id, max_by(newer, (coalesce(d.day, DATE '0001-01-01'), newer)) AS by_
   FROM stands JOIN d ON d.id = newer WHERE newer IS NOT NULL GROUP BY 1
 ), rounds AS (
-  SELECT id, org, kind, day, 'open' AS state, CAST(NULL AS BIGINT) AS by_, 0 AS n FROM able
-  WHERE day IS NOT NULL AND source <> 'upload_time' AND kind <> 'dspt_confirmation' AND id NOT IN (SELECT id FROM by_hand)
+  SELECT id, org * 5 + id % 5 AS grp, day, 0 AS state, CAST(NULL AS BIGINT) AS by_, 0 AS n FROM able
+  WHERE day IS NOT NULL AND NOT uploaded AND kind <> 1 AND id NOT IN (SELECT id FROM by_hand)
   UNION ALL
-  SELECT t.id, t.org, t.kind, t.day, CASE WHEN t.day = top THEN 'live' WHEN by_now IS NULL THEN 'open' ELSE 'closed' END, by_now, n + 1
-  FROM (SELECT *, max(day) OVER (PARTITION BY org, kind) AS top FROM rounds WHERE state = 'open') t
+  SELECT t.id, t.grp, t.day, CASE WHEN t.day = top THEN 1 WHEN by_now IS NULL THEN 0 ELSE 2 END, by_now, n + 1
+  FROM (SELECT *, max(day) OVER (PARTITION BY grp) AS top FROM rounds WHERE state = 0) t
   LEFT JOIN LATERAL (
-    SELECT max(l.id) AS by_now FROM (SELECT *, max(day) OVER (PARTITION BY org, kind) AS top FROM rounds WHERE state = 'open') l
-    WHERE l.org = t.org AND l.kind = t.kind AND l.day = l.top AND t.day < l.top AND NOT EXISTS (SELECT 1 FROM both_ways w WHERE w.id = t.id AND w.other = l.id)
+    SELECT max(l.id) AS by_now FROM (SELECT *, max(day) OVER (PARTITION BY grp) AS top FROM rounds WHERE state = 0) l
+    WHERE l.grp = t.grp AND l.day = l.top AND t.day < l.top AND NOT EXISTS (SELECT 1 FROM both_ways w WHERE w.id = t.id AND w.other = l.id)
   ) ON true
-), pointers AS (SELECT id, by_ FROM by_hand UNION ALL SELECT id, by_ FROM rounds WHERE state = 'closed'),
+), pointers AS (SELECT id, by_ FROM by_hand UNION ALL SELECT id, by_ FROM rounds WHERE state = 2),
 moved AS (
   SELECT d.id, d.previous, p.by_, CASE WHEN previous IS NULL AND by_ IS NOT NULL THEN 'document_superseded' WHEN previous IS NOT NULL AND by_ IS NULL THEN 'supersession_reversed' END AS event,
     s.state
   FROM d LEFT JOIN pointers p ON p.id = d.id LEFT JOIN states s ON (s.a = d.id AND s.b = d.previous) OR (s.b = d.id AND s.a = d.previous)
-), lines AS (SELECT l_orderkey AS id, l_linenumber % 2 = 0 AS hidden, l_returnflag <> 'R' AS current_ FROM lineitem)"""
+), lines AS (
+  SELECT l_orderkey AS id, count(*) FILTER (l_linenumber % 2 = 0) AS n_hidden, count(*) FILTER (l_linenumber % 2 = 1) AS n_shown, count(*) FILTER (l_returnflag <> 'R') AS n_current
+  FROM lineitem GROUP BY 1
+)"""
 
 
 @query(
     f"""WITH RECURSIVE {ORDER_DOCS}
 SELECT id AS document_id, event, by_ AS superseded_by, previous,
-  CASE WHEN event = 'supersession_reversed' THEN CASE state WHEN 'stands' THEN 'keep_both' WHEN 'reset' THEN 'date_changed' WHEN 'removed' THEN 'decision_removed' ELSE 're_evaluated' END END AS reason,
-  coalesce((SELECT count(*) FROM lines l WHERE l.id = moved.id AND l.hidden = (event = 'supersession_reversed')), 0) AS n_items,
-  CASE WHEN event = 'document_superseded' THEN coalesce((SELECT count(*) FROM lines l WHERE l.id = moved.id AND current_), 0) ELSE 0 END AS n_facts
-FROM moved WHERE event IS NOT NULL"""
+  CASE WHEN event = 'supersession_reversed' THEN CASE state WHEN 0 THEN 'keep_both' WHEN 1 THEN 'date_changed' WHEN 2 THEN 'decision_removed' ELSE 're_evaluated' END END AS reason,
+  coalesce(CASE WHEN event = 'supersession_reversed' THEN n_hidden ELSE n_shown END, 0) AS n_items,
+  CASE WHEN event = 'document_superseded' THEN coalesce(n_current, 0) ELSE 0 END AS n_facts
+FROM moved LEFT JOIN lines USING (id) WHERE event IS NOT NULL"""
 )
 def supersession_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What decisions, changed dates and new documents supersede and reverse, with the items and facts this touches."""
