@@ -94,7 +94,18 @@ def row_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.row_batches(_sections(spark, sf_dir)).select("document_id", "order_index", "batch")
 
 
-@query()
+@query(
+    """WITH RECURSIVE l AS (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS order_index FROM documents),
+sec AS (SELECT document_id, order_index, greatest(1, length(t) // 4) + 30 AS cost FROM l),
+fold AS (
+  SELECT document_id, order_index, 0 AS win, cost AS used, cost AS last, CAST(-1 AS BIGINT) AS before FROM sec WHERE order_index = 0
+  UNION ALL
+  SELECT s.document_id, s.order_index, win + CASE WHEN used + s.cost > 6000 THEN 1 ELSE 0 END, CASE WHEN used + s.cost > 6000 THEN last ELSE used END + s.cost, s.cost,
+    CASE WHEN used + s.cost > 6000 THEN f.order_index ELSE -1 END
+  FROM fold f JOIN sec s ON s.document_id = f.document_id AND s.order_index = f.order_index + 1
+)
+SELECT document_id, win AS "window", CAST(order_index AS INTEGER) AS order_index FROM fold UNION ALL SELECT document_id, win, CAST(before AS INTEGER) FROM fold WHERE before >= 0"""
+)
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping extraction windows of about 6000 tokens."""
     s = _sections(spark, sf_dir).withColumn("tokens", T.estimate_tokens(F.col("text")))
