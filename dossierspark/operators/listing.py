@@ -174,8 +174,22 @@ def days_until(deadline: Column, now: Column) -> Column:
 
 
 def rounded(value: Column, digits: int) -> Column:
-    """Half to even on the decimal form of the number."""
-    return F.bround(value, digits)
+    """Half to even on the exact value of the double: 2.675 is a little less than its decimal form and gives 2.67.
+
+    The product with the power of ten is taken as two doubles, what is rounded and what rounding leaves, so
+    ties are told exactly. Numbers of 2**52 and more at that scale, infinities, NaN and null stay as they are.
+    """
+    power, cut = 10.0**digits, 134217729.0  # 2**27 + 1 parts a double into two halves of 26 bits
+    p_high = power * cut - (power * cut - power)
+    p_low = power - p_high
+    x = value.cast("double")
+    high = x * cut - (x * cut - x)
+    low, whole = x - high, x * power
+    rest = ((high * p_high - whole) + high * p_low + low * p_high) + low * p_low
+    below = F.floor(whole).cast("double")
+    over = whole - below - 0.5
+    up = (over > 0) | ((over == 0) & ((rest > 0) | ((rest == 0) & (below % 2 != 0))))
+    return F.when(F.coalesce(F.abs(whole) < 2.0**52, F.lit(False)), (below + F.when(up, 1.0).otherwise(0.0)) / power).otherwise(x)
 
 
 def unread_counts(notifications: DataFrame) -> DataFrame:

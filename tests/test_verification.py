@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from dossierspark.operators import answers as A
@@ -43,6 +45,9 @@ def test_attested_disputes_end(spark):
     assert r["needs_review"] and [(e["index"], e["outcome"]) for e in r["events"]] == [(0, "attested"), (1, "disputed")]
 
 
-def test_rounding_is_half_even(spark):
-    rows = spark.createDataFrame([(0.125,), (0.375,), (2.5,)], "x double").select(L.rounded(F.col("x"), 2).alias("a"), L.rounded(F.col("x"), 0).alias("b")).collect()
-    assert [tuple(r) for r in rows] == [(0.12, 0.0), (0.38, 0.0), (2.5, 2.0)]
+def test_rounding_equals_round(spark):
+    rng = random.Random(7)
+    values = [0.125, 0.375, 2.5, 2.675, 0.285, 1.005, -2.675, -0.125, 0.0, -0.0, 1e300, 1e-300, 0.5, 1.5, 123456789.125, 2.0**51 + 0.5, None]
+    values += [rng.randrange(10**6) / 1000 for _ in range(3000)] + [rng.uniform(-1e6, 1e6) for _ in range(1000)] + [rng.randrange(-4000, 4000) / 16 for _ in range(1000)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", *[L.rounded(F.col("x"), n).alias(f"d{n}") for n in (0, 1, 2, 4)]).collect()
+    assert [(r["x"], n, r[f"d{n}"]) for r in rows for n in (0, 1, 2, 4)] == [(v, n, None if v is None else round(v, n)) for v in values for n in (0, 1, 2, 4)]
