@@ -52,11 +52,10 @@ def _planned(short: Column) -> Column:
     """Segments before facts are looked at: paragraph, item_id, text. The second and third sentence of the best
     candidate share a segment where there are three at least."""
     first, second = F.try_element_at("ranked", F.lit(1)), F.try_element_at("ranked", F.lit(2))
-    complete = lambda c: F.coalesce(simple_sentences(c["text"], complete_only=True), F.array().cast("array<string>"))
-    chosen = F.slice(complete(first), 1, F.when(short, FIRST_SHORT).otherwise(FIRST))
+    chosen = F.slice(first["sentences"], 1, F.when(short, FIRST_SHORT).otherwise(FIRST))
     merged = F.concat(F.slice(chosen, 1, 1), F.array(F.concat_ws(" ", chosen[1], chosen[2])), F.slice(chosen, 4, FIRST))
     texts = F.when(F.size(chosen) >= 3, merged).otherwise(chosen)
-    more = F.when(short, F.array().cast("array<string>")).otherwise(F.slice(complete(second), 1, SECOND))
+    more = F.when(short, F.array().cast("array<string>")).otherwise(F.slice(second["sentences"], 1, SECOND))
     part = lambda c, p: lambda t: F.struct(F.lit(p).alias("paragraph"), c["item_id"].cast("string").alias("item_id"), t.alias("text"))
     return F.concat(F.transform(texts, part(first, 0)), F.transform(more, part(second, 1)))
 
@@ -72,7 +71,10 @@ def synthesised(questions: DataFrame, candidates: DataFrame, facts: DataFrame) -
     Blank statements state nothing; equal ranks and positions go by id; a null instruction is none.
     """
     none = F.array().cast("array<string>")
-    ranked = candidates.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", "text"))).alias("ranked"))
+    # a candidate's first sentences and its words are all that a draft needs of it: texts stay in their rows
+    complete = F.slice(simple_sentences(F.coalesce("text", F.lit("")), complete_only=True), 1, FIRST)
+    read = candidates.select("question_id", "rank", "item_id", complete.alias("sentences"), content_words(F.col("text")).alias("words"))
+    ranked = read.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", "sentences", "words"))).alias("ranked"))
     stated = facts.withColumn("norm", normalised(F.coalesce(strip(F.col("statement")), F.lit(""))))
     known = stated.where("norm <> ''").groupBy("question_id").agg(
         F.array_sort(F.collect_list(F.struct("position", F.col("fact_id").cast("string").alias("fact_id"), "kind", strip(F.col("statement")).alias("statement"), "norm", F.coalesce("expired", F.lit(False)).alias("expired")))).alias("facts")
@@ -110,7 +112,7 @@ def synthesised(questions: DataFrame, candidates: DataFrame, facts: DataFrame) -
     opener = F.concat(F.lit("We set out below how we meet this requirement"), F.when(buyer != "", F.concat(F.lit(" for "), buyer)).otherwise(""), F.lit(", drawing on our current submissions."))
     head = F.array(F.struct(F.lit(0).alias("index"), F.lit(0).alias("paragraph"), F.lit("connective").alias("kind"), opener.alias("text"), F.array().cast(f"array<{SOURCE}>").alias("sources")))
     segments = F.filter(F.concat(head, body), lambda s: ~F.col("pricing"))
-    covered = F.coalesce(F.flatten(F.transform("ranked", lambda c: content_words(c["text"]))), none)
+    covered = F.coalesce(F.flatten(F.transform("ranked", lambda c: c["words"])), none)
     missing = F.slice(_uncovered(F.col("text"), covered), 1, NAMED)
     words = F.when(F.size(missing) > 0, F.concat(F.lit("The question also asks about "), F.array_join(missing, ", "), F.lit(", which no candidate or fact covers.")))
     kinds = F.array_distinct(F.filter(F.coalesce(F.transform("told", lambda t: t["gone"]), none), lambda k: k.isNotNull()))

@@ -39,7 +39,7 @@ def synthesised_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     top = written(R.lexical_list(_items(spark, sf_dir), _queries(spark, sf_dir), most=8).select("query_id", "item_id", "rank"), "top")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text", "lang").join(top.select("item_id").distinct(), "item_id")
-    found = top.join(docs, "item_id").select(F.col("query_id").alias("question_id"), "rank", "item_id", "text", "lang")
+    found = written(top.join(docs, "item_id").select(F.col("query_id").alias("question_id"), "rank", "item_id", "text", "lang"), "found")
     stated = F.try_element_at(simple_sentences(F.col("text"), complete_only=True), F.lit(2))
     facts = found.where("rank <= 3").select("question_id", F.col("rank").alias("position"), F.col("item_id").alias("fact_id"), F.col("lang").alias("kind"), stated.alias("statement"), (F.col("item_id") % 4 == 0).alias("expired"))
     drafts = D.synthesised(questions, found, facts)
