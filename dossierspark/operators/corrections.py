@@ -46,15 +46,15 @@ def write_library(items: DataFrame, path: str, parts: int = PARTS) -> None:
     """
     chosen = elect(items.select("item_id", "document_id", "cluster_id", "promoted", "effective_date", "created_at"))
     for rows, name, key in ((items, "items", "document_id"), (chosen, "elections", "cluster_id")):
-        rows.withColumn("part", _part(key, parts)).repartition("part").write.partitionBy("part").parquet(f"{path}/{name}")
+        rows.withColumn("part", _part(key, parts)).hint("rebalance", "part").write.partitionBy("part").parquet(f"{path}/{name}")
 
 
 def _replace(rows: DataFrame, path: str, touched: list[int]) -> None:
-    """Put rows (with part) in the place of the touched parts; a part without rows goes."""
+    """Put rows (with part) in the place of the touched parts; a part without rows goes. A large part is written by several tasks."""
     spark = rows.sparkSession
     staged = written(rows, "staged")
     left = {r[0] for r in staged.select("part").distinct().collect()}
-    staged.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    staged.hint("rebalance", "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
     for part in touched:
         if part not in left:
             remove(spark, f"{path}/part={part}")
