@@ -55,7 +55,8 @@ def _planned(short: Column) -> Column:
     chosen = F.slice(first["sentences"], 1, F.when(short, FIRST_SHORT).otherwise(FIRST))
     merged = F.concat(F.slice(chosen, 1, 1), F.array(F.concat_ws(" ", chosen[1], chosen[2])), F.slice(chosen, 4, FIRST))
     texts = F.when(F.size(chosen) >= 3, merged).otherwise(chosen)
-    more = F.when(short, F.array().cast("array<string>")).otherwise(F.slice(second["sentences"], 1, SECOND))
+    # a question with one candidate has no second
+    more = F.when(short | second.isNull(), F.array().cast("array<string>")).otherwise(F.slice(second["sentences"], 1, SECOND))
     part = lambda c, p: lambda t: F.struct(F.lit(p).alias("paragraph"), c["item_id"].cast("string").alias("item_id"), t.alias("text"))
     return F.concat(F.transform(texts, part(first, 0)), F.transform(more, part(second, 1)))
 

@@ -1,5 +1,11 @@
 """The search over lexical, vector and topic lists."""
 
+import math
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 from dossierspark.operators import retrieval as R
 from dossierspark.plans.retrieval_queries import coverage_triage, hybrid_retrieval
 
@@ -24,3 +30,30 @@ def test_found_without_a_common_word_and_floor(spark, tmp_path):
     assert (2, 3) in got and got[2, 3]["lexical_rank"] is None
     labels = {r["query_id"]: (r["coverage"], r["label_source"]) for r in coverage_triage(spark, str(tmp_path)).collect()}
     assert labels == {1: ("covered", "judge"), 2: ("new", "floor")}
+
+
+def test_lexical_scores_leave_the_best_of_each_task(spark):
+    texts = {i: " ".join(["alpha"] * (i % 7) + ["beta,É-gamma"] * (i % 3) + ["x9"] * (i % 11)) for i in range(900)}
+    texts |= {900: None, 901: "", 902: "ÀÉ  ", 903: "alpha", 904: "ALPHA"}
+    items = spark.createDataFrame([(i, "gamma" if i % 5 == 0 else None, t) for i, t in texts.items()], "item_id long, question string, answer string").repartition(3)
+    asked = {1: "alpha Beta or", 2: "gamma x9 x9", 3: "unknown", 4: "describe"}
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    want = {}
+    for i, t in texts.items():
+        words = [(w, 10) for w in (["gamma"] if i % 5 == 0 else [])] + [(w, 4) for w in re.findall("[0-9a-z]+", (t or "").lower())]
+        for q, terms in {1: {"alpha", "beta"}, 2: {"gamma", "x9"}}.items():
+            hit = Counter()
+            for w, n in words:
+                if w in terms:
+                    hit[w] += n
+            if hit:
+                want[q, i] = (len(hit), sum(hit.values()) / 10.0 / math.log(len(words) + 1.0))
+    every = R.lexical_scores(items, queries, stem=False).collect()
+    assert {(r["query_id"], r["item_id"]): (r["n_terms"], r["score"]) for r in every} == want and len(every) == len(want)
+    some = R.lexical_scores(items, queries, stem=False, most=5, by=("score", "n_terms")).withColumn("task", F.spark_partition_id()).collect()
+    assert max(Counter((r["task"], r["query_id"]) for r in some).values()) <= 10
+    left = {(r["query_id"], r["item_id"]) for r in some}
+    for q in (1, 2):
+        rows = [(i, n, s) for (k, i), (n, s) in want.items() if k == q]
+        for key in (lambda r: (-r[2], r[0]), lambda r: (-r[1], r[0])):
+            assert {(q, r[0]) for r in sorted(rows, key=key)[:5]} <= left
