@@ -173,14 +173,17 @@ FROM one QUALIFY rank <= 8"""
 )
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of R12 that SQL can check (see hybrid_retrieval): lexical rank and term coverage over all documents, fused, copies collapsed, best eight."""
-    scored = R.lexical_scores(_items(spark, sf_dir), _queries(spark, sf_dir), stem=False)
+    scored = written(R.lexical_scores(_items(spark, sf_dir), _queries(spark, sf_dir), stem=False, most=20, by=("score", "n_terms")), "scored")
     lexical = R.ranked(scored, 20, F.desc("score"), F.asc("item_id"))
     covering = R.ranked(scored, 20, F.desc("n_terms"), F.asc("item_id"))
     normal = F.trim(F.regexp_replace(F.lower("text"), r"[ \t\n\r\f\x0B]+", " "))
     copies = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.sha2(normal.cast("binary"), 256).alias("sha"))
-    clusters = copies.join(copies.groupBy("sha").agg(F.min("item_id").alias("cluster_id")), "sha").select("item_id", "cluster_id")
-    fused = R.fuse({"lexical": lexical, "covering": covering}).withColumn("fused", F.round("fused", 9))
-    full = fused.join(clusters, "item_id")
+    copies = written(copies, "copies")
+    fused = written(R.fuse({"lexical": lexical, "covering": covering}).withColumn("fused", F.round("fused", 9)), "fused")
+    # copies of the candidates alone
+    own = written(copies.join(fused.select("item_id").distinct(), "item_id", "left_semi"), "own")
+    least = copies.join(own.select("sha").distinct(), "sha", "left_semi").groupBy("sha").agg(F.min("item_id").alias("cluster_id"))
+    full = fused.join(own.join(least, "sha").select("item_id", "cluster_id"), "item_id")
     return R.collapse(full).select("query_id", "item_id", "cluster_id", "fused", "rank")
 
 
