@@ -51,3 +51,12 @@ def test_rounding_equals_round(spark):
     values += [rng.randrange(10**6) / 1000 for _ in range(3000)] + [rng.uniform(-1e6, 1e6) for _ in range(1000)] + [rng.randrange(-4000, 4000) / 16 for _ in range(1000)]
     rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", *[L.rounded(F.col("x"), n).alias(f"d{n}") for n in (0, 1, 2, 4)]).collect()
     assert [(r["x"], n, r[f"d{n}"]) for r in rows for n in (0, 1, 2, 4)] == [(v, n, None if v is None else round(v, n)) for v in values for n in (0, 1, 2, 4)]
+
+
+def test_near_spans_are_compared_once(monkeypatch):
+    from dossierspark.functions import spans
+
+    met, whole = [], spans.SequenceMatcher.ratio
+    monkeypatch.setattr(spans.SequenceMatcher, "ratio", lambda m: met.append(m.a) or whole(m))
+    found = spans.locate("describe how customer 7 is served in every region of the country", "describe how customer 7 is served in every region of the county")
+    assert found["tier"] == "near" and len(met) == len(set(met)) > 0
