@@ -122,3 +122,13 @@ def test_vector_diff_anchor(spark):
     assert spark.sql("select doc_normalise(' A  b ') x").first()["x"] == "a b"
     row = spark.sql("select doc_find_span('b c', 'a B  c d') s").first()["s"]
     assert (row["start"], row["end"]) == (2, 6)
+
+
+def test_results_become_arrow_by_few_rows(spark):
+    from dossierspark.functions import spans
+
+    texts = [None, "", "One. Two here.\n\n- three"] * (spans.ROWS + 7)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(1).select("id", spans.sentences("text").alias("s"), spans.normalised("text").alias("n"))
+    for r in rows.collect():
+        assert [x.asDict() for x in r["s"]] == spans.sentences_of(texts[r["id"]])
+        assert r["n"] == (None if texts[r["id"]] is None else spans.folded(texts[r["id"]])[0])
