@@ -40,6 +40,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
+def in_order(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """df with the rows of equal keys in one partition, side by side and in order: for functions over batches that carry state."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Hadoop's file system, wherever it lies."""
     jvm = spark.sparkContext._jvm

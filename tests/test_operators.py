@@ -116,6 +116,30 @@ def test_windows_overlap(spark):
     assert got == [(0, 0), (0, 1), (1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (3, 4)]
 
 
+def test_windows_are_folded_by_batches(spark):
+    rows = [(None if d == 3 else d, i, (d * 37 + i * i * 11) % 90 + (500 if i % 13 == 5 else 0)) for d in range(6) for i in range(d * d * 3)]
+    want = []
+    for d in {r[0] for r in rows}:
+        window, used, last = 0, 0, None
+        for _, at, tokens in (r for r in rows if r[0] == d):
+            cost = tokens + 30
+            if last and used + cost > 300:
+                window, used = window + 1, last[1]
+                want.append((d, window, last[0]))
+            want.append((d, window, at))
+            used, last = used + cost, (at, cost)
+    s = spark.createDataFrame(rows, "document_id long, order_index int, tokens int").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = batching.token_windows(s, limit=300)
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+        alone = batching.token_windows(s, limit=300, overlap=False).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(str((r[0], r[2])) for r in alone) == sorted(str((r[0], r[1])) for r in rows)
+    assert "UDTF" not in found._jdf.queryExecution().toString()
+
+
 def test_text_sections(spark):
     text = "intro line\nsecond\n\n# One #\npara a\n\npara b\n## Two\n\n# Three\n"
     files = spark.createDataFrame([(1, text), (2, ""), (3, None)], "document_id long, text string")
