@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import interval_share
 from ..settings import DEFAULTS
-from .components import written
+from .components import in_order, written
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], updated: list[str]) -> DataFrame:
@@ -91,31 +95,49 @@ def overlap_join(a: DataFrame, b: DataFrame, least: float = DEFAULTS.span_overla
 HUMAN = ["compliance_class", "compliant_by", "owner", "rated_at", "comment"]
 
 
-class _Matcher:
-    """Reads a section's stored rows, then what a run found in order; holds the stored rows that are still free."""
-
-    def __init__(self):
-        self.by_key: dict[str, tuple] = {}
-        self.free: dict[int, tuple] = {}
-        self.written: set[str] = set()
-
-    def eval(self, row):
-        key, span = row["key"], (row["start"], row["end"])
-        if row["kind"] == 0:
-            self.free[row["id"]] = (*span, key)
-            self.by_key[key] = row["id"]
-            return
-        if key in self.written:
-            return
-        old = self.by_key.get(key)
-        if old is None and None not in span:
-            shares = ((_share(*held[:2], *span), i) for i, held in self.free.items() if held[0] is not None and held[1] is not None)
-            best = max(shares, key=lambda x: (x[0], -x[1]), default=(0.0, None))
-            old = best[1] if best[0] >= row["least"] else None
-        if old is not None:
-            self.by_key.pop(self.free.pop(old)[2], None)
-        self.written.add(key)
-        yield row["id"], old
+def _matched(least: float):
+    """The pairs of rows that come sorted by section, stored ones before found ones; the rows of one section that are still free are held."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, by_key, free, written = None, {}, {}, set()
+        for batch in batches:
+            new, old, names = [], [], batch["section_id"].dictionary_encode()
+            sections, last = names.dictionary.to_pylist(), -1
+            columns = (pc.fill_null(names.indices, len(sections)), *(batch[c] for c in ("kind", "id", "key", "start", "end")))
+            for section, kind, i, key, start, end in zip(*(c.to_pylist() for c in columns)):
+                if section != last:
+                    last, name = section, sections[section] if section < len(sections) else None
+                    if name != now:
+                        now = name
+                        by_key.clear(), free.clear(), written.clear()
+                if kind == 0:
+                    free[i] = (start, end, key)
+                    by_key[key] = i
+                    continue
+                if key in written:
+                    continue
+                written.add(key)
+                fits = by_key.get(key)
+                if fits is None and free and start is not None and end is not None:
+                    fits = _nearest(free, start, end, least)
+                if fits is not None:
+                    by_key.pop(free.pop(fits)[2], None)
+                new.append(i)
+                old.append(fits)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array(old, pa.int64())], ["new_id", "old_id"])
+
+    return fold
+
+
+def _nearest(free: dict[int, tuple], start: int, end: int, least: float) -> int | None:
+    """The free row with the largest share of the hull, at `least` or more (ties: the smaller id)."""
+    best, at = 0.0, None
+    for i, (a, b, _) in free.items():
+        if a is not None and b is not None:
+            share = _share(a, b, start, end)
+            if at is None or share > best or share == best and i < at:
+                best, at = share, i
+    return at if best >= least else None
 
 
 def _share(a: int, b: int, c: int, d: int) -> float:
@@ -128,14 +150,13 @@ def match_requirements(old: DataFrame, new: DataFrame, least: float = DEFAULTS.s
 
     In the order of `position` each takes the stored row of its key, else the free one of its section with the
     largest share of the hull, at `least` or more (ties: the smaller id). A row taken by another is no longer found by
-    its key. Keys begin with their section, so sections are independent; the rows of one stream
-    through a table function. old: old_id, section_id, key, start, end; new: new_id likewise plus position.
+    its key. Keys begin with their section, so sections are independent; their rows are sorted
+    and folded by batches. old: old_id, section_id, key, start, end; new: new_id likewise plus position.
     """
     rows = old.select("section_id", F.lit(0).alias("kind"), F.col("old_id").alias("position"), F.col("old_id").alias("id"), "key", "start", "end").union(
         new.select("section_id", F.lit(1), "position", "new_id", "key", "start", "end")
     )
-    fold = F.udtf(_Matcher, returnType="new_id long, old_id long", useArrow=True)
-    return fold(rows.withColumn("least", F.lit(least)).asTable().partitionBy("section_id").orderBy("kind", "position"))
+    return in_order(rows, ["section_id"], "kind", "position").mapInArrow(_matched(least), "new_id long, old_id long")
 
 
 def merge_requirements(stored: DataFrame, found: DataFrame, covered: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as E
 from ..operators import merging
-from ..operators.components import scratch
+from ..operators.components import scratch, written
 from .registry import query, table
 
 
@@ -22,6 +22,7 @@ def merged_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed, overlapping, new, kept and deleted requirements of a run over each order."""
     o, n = F.col("l_orderkey"), F.col("l_linenumber")
     lines = table(spark, sf_dir, "lineitem").groupBy(o, n).agg((F.min("l_partkey") % 4).alias("k"), (F.min("l_returnflag") == "R").alias("touched"))
+    lines = written(lines, "lines")
     section = F.concat(F.lit("o"), o.cast("string"))
 
     def span(shift) -> list:

@@ -109,6 +109,24 @@ def test_requirements_match_greedily(spark):
     assert {(r["new_id"], r["old_id"]) for r in merging.match_requirements(old, new).collect()} == {(11, 2), (12, 1), (13, None), (14, None)}
 
 
+def test_requirements_match_over_batch_borders(spark):
+    spans = "section_id string, key string, start long, end long"
+    old, new, want = [], [], set()
+    for n in range(40):
+        name = None if n == 0 else f"s{n}"
+        old += [(n * 10, name, f"{n}a", 0, 100), (n * 10 + 1, name, f"{n}b", 0, 100), (n * 10 + 2, name, f"{n}c", None, 9)]
+        new += [(n * 10, name, f"{n}x", 10, 110, n * 10), (n * 10 + 1, name, f"{n}c", 7, 9, n * 10 + 1), (n * 10 + 2, name, f"{n}x", 0, 100, n * 10 + 2), (n * 10 + 3, name, f"{n}a", 0, 100, n * 10 + 3)]
+        want |= {(n * 10, n * 10), (n * 10 + 1, n * 10 + 2), (n * 10 + 3, n * 10 + 1)}
+    old, new = spark.createDataFrame(old, f"old_id long, {spans}"), spark.createDataFrame(new, f"new_id long, {spans}, position long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        found = merging.match_requirements(old, new)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "UDTF" not in found._jdf.queryExecution().toString()
+
+
 def test_windows_overlap(spark):
     rows = [(1, i, t) for i, t in enumerate([40, 40, 40, 200, 10])]
     s = spark.createDataFrame(rows, "document_id long, order_index int, tokens int")
