@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import answers as A
 from ..operators import verification as V
+from ..operators.components import written
 from .listing_queries import STATUS, STATUS_SQL, _pick
 from .registry import query, table
 
@@ -69,10 +70,22 @@ def displacements(spark: SparkSession, sf_dir: str) -> DataFrame:
 KEY = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)"
 
 
+def _line():
+    """A line item as a sentence; sentences of an answer stand in the order of these structs."""
+    status = F.when(F.col("l_linestatus") == "F", "connective").otherwise(_pick(F.col("l_partkey"), "supported", "weak", "unsupported", "human_authored"))
+    return F.struct("l_linenumber", "l_partkey", "l_suppkey", status.alias("support_status"), F.when(F.col("l_linestatus") == "F", "connective").otherwise("substantive").alias("kind"))
+
+
+def _numbered_lines(spark, sf):
+    """The rows of _segments with their numbers: answer_id, index, kind, l_partkey, l_suppkey."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("answer_id"), _line().alias("s")).select("answer_id", "s.*")
+    at = F.row_number().over(Window.partitionBy("answer_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "support_status", "kind"))
+    return lines.select("answer_id", at.alias("index"), "kind", "l_partkey", "l_suppkey")
+
+
 def _segments(spark, sf):
     """Line items as numbered sentences of an order's answer."""
-    status = F.when(F.col("l_linestatus") == "F", "connective").otherwise(_pick(F.col("l_partkey"), "supported", "weak", "unsupported", "human_authored"))
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", status.alias("support_status"), F.when(F.col("l_linestatus") == "F", "connective").otherwise("substantive").alias("kind"))
+    line = _line()
     lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("answer_id")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
     seg = lambda x, i: F.struct(
         (i + 1).alias("index"), F.expr("0").alias("paragraph"), F.concat(F.lit("part "), x["l_partkey"].cast("string")).alias("text"), x["kind"].alias("kind"), x["support_status"].alias("support_status"),
@@ -196,9 +209,9 @@ def promoted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.promote(questions, answers, answers.where("question_id % 5 = 0").select("answer_id"), stored)
 
 
-def _cited(spark, sf):
+def _cited(segments):
     """Sources of the sentences: suppliers as items, and for every third line the supplier's fact; some unknown, some attested."""
-    seg = _segments(spark, sf).select("answer_id", F.explode("segments").alias("s")).select("answer_id", F.col("s.index").alias("index"), F.col("s.sources")[0].cast("long").alias("sid"))
+    seg = segments.select("answer_id", "index", F.col("l_suppkey").alias("sid"))
     key = F.col("answer_id") + F.col("index")
     kind = F.when(key % 13 == 0, "human_attestation").when(key % 3 == 0, "fact").otherwise("knowledge_item")
     quote = F.when(key % 4 == 0, "entirely unlike words 77").otherwise(F.concat(F.lit("holds ACCOUNT number "), F.col("sid").cast("string")))
@@ -217,14 +230,14 @@ SELECT answer_id, CAST(index AS INTEGER) AS index, CASE WHEN kind = 'connective'
 )
 def verified_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences against the items and facts that they cite, all outcomes."""
-    rows = _segments(spark, sf_dir).select("answer_id", F.explode("segments").alias("s"))
-    said = F.when(F.substring("s.text", 6, 20).cast("long") % 2 == 0, "One account holds a number.").otherwise("Nothing in common here.")
-    rows = rows.select("answer_id", "s.index", "s.kind", said.alias("text"))
+    segments = written(_numbered_lines(spark, sf_dir), "segments")
+    said = F.when(F.col("l_partkey") % 2 == 0, "One account holds a number.").otherwise("Nothing in common here.")
+    rows = segments.select("answer_id", "index", "kind", said.alias("text"))
     k, s = F.col("s_suppkey"), table(spark, sf_dir, "supplier")
     items = s.select(k.alias("item_id"), _sentence(k).alias("text"), F.lit(100).alias("base"))
     body = F.concat(F.lit("Before. "), F.when(k % 9 == 0, "Quite another text without it.").otherwise(_sentence(k)))
     facts = s.select(k.alias("fact_id"), _sentence(k).alias("statement"), body.alias("section_text"), (k % 2 != 0).alias("is_current"))
-    out = V.verify_segments(rows, _cited(spark, sf_dir), items, facts)
+    out = V.verify_segments(rows, _cited(segments), items, facts)
     return out.select("answer_id", "index", "support_status", F.col("n_found").cast("int").alias("n_found"))
 
 

@@ -23,6 +23,18 @@ def test_sources_are_located(spark):
     assert found == {1: (True, 35, 52, 'an "exact"  quote'), 2: (False, None, None, None), 3: (True, 7, 25, "We employ 9 staff."), 4: (False, None, None, None), 5: (False, None, None, None)}
 
 
+def test_a_quote_is_looked_for_once_in_its_source(spark, tmp_path):
+    cited = spark.range(600).selectExpr("id as n", "case when id % 3 = 2 then 'other' else 'knowledge_item' end as source_type", "id % 2 as source_id", "case when id % 5 > 0 then 'b c' end as quote")
+    items = spark.createDataFrame([(0, "a B  c d", 10), (1, "no", 0)], "item_id long, text string, base int")
+    facts = spark.createDataFrame([], "fact_id long, statement string, section_text string, is_current boolean")
+    located = V.located_sources(cited, items, facts)
+    rows = located.collect()
+    assert len(rows) == 600 and all(r["found"] == (r["n"] % 3 < 2 and r["n"] % 2 == 0 and r["n"] % 5 > 0) for r in rows)
+    assert {(r["start"], r["end"], r["span_text"]) for r in rows if r["found"]} == {(12, 16, "B  c")}
+    plan = located._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("ArrowEvalPython") :]  # below the search: cited quotes, once each
+
+
 def test_a_second_invalidation_finds_nothing(spark):
     seg = "array<struct<index:int,kind:string,support_status:string,sources:array<string>>>"
     answers = spark.createDataFrame(
