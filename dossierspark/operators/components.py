@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +40,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
-def in_order(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+def in_order(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
     """df with the rows of equal keys in one partition, side by side and in order: for functions over batches that carry state."""
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 

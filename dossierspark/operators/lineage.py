@@ -5,15 +5,20 @@ All are recomputed from the whole tables; nothing is patched in place. `today` i
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, KEYED_DOC_KINDS, SUPERSEDABLE_DOC_KINDS
-from .components import connected_components, written
+from .components import connected_components, in_order, written
 
-BLOCK = 2048
+#: Vectors of a block of similar_pairs: two blocks meet in a task, and each vector is sent to as many tasks as its group has blocks.
+BLOCK = 8192
 
 
 def elect(items: DataFrame) -> DataFrame:
@@ -54,20 +59,31 @@ def similar_pairs(items: DataFrame, least: float = DEFAULTS.dedup_threshold) ->
         .select("grp", "lo", "hi", "block", "item_id", "vector")
     )
 
-    def pairs(cell: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(cell["vector"].tolist(), np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        ids, block = cell["item_id"].to_numpy(), cell["block"].to_numpy()
-        across = cell["lo"].iloc[0] != cell["hi"].iloc[0]
-        out = [np.zeros((0, 2), np.int64)]
-        for lo in range(0, len(x), 512):
-            i, j = np.nonzero(x[lo : lo + 512] @ x.T >= least)
-            i += lo
-            keep = (ids[i] < ids[j]) & (block[i] != block[j] if across else True)
-            out.append(np.column_stack([ids[i[keep]], ids[j[keep]]]))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
-
-    return cells.groupBy("grp", "lo", "hi").applyInPandas(pairs, "a long, b long")
+    def pairs(cell: pa.Table) -> pa.Table:
+        x, ids = _unit(cell["vector"]), cell["item_id"].to_numpy()
+        lo = cell["block"].to_numpy() == cell["lo"][0].as_py()
+        across = cell["lo"][0].as_py() != cell["hi"][0].as_py()
+        left, right = np.flatnonzero(lo), np.flatnonzero(~lo if across else lo)
+        # single precision rules out what is farther off than its error; what is left is compared in double precision
+        rough, margin = x.astype(np.float32), 1e-6 + 2.4e-7 * x.shape[1]
+        across_from = rough[right].T.copy()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(left), 512):
+            i, j = np.nonzero(rough[left[at : at + 512]] @ across_from >= np.float32(least - margin))
+            i, j = left[at + i], right[j]
+            keep = np.einsum("ij,ij->i", x[i], x[j]) >= least
+            keep &= ids[i] != ids[j] if across else ids[i] < ids[j]
+            a.append(np.minimum(ids[i[keep]], ids[j[keep]]))
+            b.append(np.maximum(ids[i[keep]], ids[j[keep]]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return cells.groupBy("grp", "lo", "hi").applyInArrow(pairs, "a long, b long")
+
+
+def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of length 1."""
+    x = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def leader_clusters(items: DataFrame, least: float = DEFAULTS.dedup_threshold) -> DataFrame:
@@ -82,31 +98,49 @@ def leader_clusters(items: DataFrame, least: float = DEFAULTS.dedup_threshold) -
     parts = connected_components(pairs, "reach").select(F.col("node").alias("item_id"), F.col("root").alias("part"))
     linked = items.join(parts, "item_id").select("part", "item_id", "vector", "promoted", "effective_date", "created_at")
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["created_at", "item_id"], kind="stable").reset_index(drop=True)
-        x = np.array(part["vector"].tolist(), np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        dates = pd.to_datetime(part["effective_date"]).fillna(pd.Timestamp.min)
-        rank = part.assign(p=~part["promoted"].fillna(False).astype(bool), d=-dates.astype("int64")).sort_values(["p", "d", "created_at", "item_id"]).index
-        place = np.empty(len(part), np.int64)
-        place[rank] = np.arange(len(part))
-        heads, members = [], []
-        for i in range(len(part)):
+    def fold(x: np.ndarray, place: list[tuple]) -> list[int]:
+        """For each item of a part, in order, the row of its cluster's canonical; place: their order as canonicals."""
+        heads, own = [], []
+        for i in range(len(x)):
             near = x[heads] @ x[i] if heads else np.zeros(0)
             if len(near) and near.max() >= least:
                 c = int(near.argmax())
-                members[c].append(i)
-                heads[c] = min(members[c], key=place.__getitem__)
+                heads[c] = min(heads[c], i, key=place.__getitem__)
             else:
+                c = len(heads)
                 heads.append(i)
-                members.append([i])
-        head = np.empty(len(part), np.int64)
-        for h, m in zip(heads, members):
-            head[m] = h
-        ids = part["item_id"].to_numpy()
-        return pd.DataFrame({"item_id": ids, "canonical_id": ids[head]})
-
-    folded = linked.groupBy("part").applyInPandas(fold, "item_id long, canonical_id long")
+            own.append(c)
+        return [heads[c] for c in own]
+
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            part = batch["part"].to_numpy()
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            if held and held[-1]["part"][-1].as_py() == part[0]:
+                held.append(batch.slice(0, cuts[1]))
+                cuts = cuts[1:]
+            if len(cuts) > 1:
+                # all parts but the last are whole
+                yield from canonicals([*held, batch.slice(cuts[0], cuts[-2] - cuts[0])])
+                held = [batch.slice(cuts[-2])]
+        yield from canonicals(held)
+
+    def canonicals(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches) if batches else None
+        if not rows:
+            return
+        part, ids, x = rows["part"].to_numpy(), rows["item_id"].to_numpy(), _unit(rows["vector"])
+        key = [rows["promoted"], pc.cast(rows["effective_date"], pa.int32()), pc.cast(rows["created_at"], pa.int64()), rows["item_id"]]
+        place = [(not p, -d if d is not None else math.inf, t if t is not None else math.inf, i) for p, d, t, i in zip(*(k.to_pylist() for k in key))]
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+        head = [lo + h for lo, hi in zip(cuts, cuts[1:]) for h in fold(x[lo:hi], place[lo:hi])]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[head])], ["item_id", "canonical_id"])
+
+    ordered = in_order(linked, ["part"], F.col("created_at").asc_nulls_last(), F.col("item_id"))
+    folded = ordered.mapInArrow(parts_of, "item_id long, canonical_id long")
     return items.select("item_id").join(folded, "item_id", "left").select("item_id", F.coalesce("canonical_id", "item_id").alias("canonical_id"))
 
 

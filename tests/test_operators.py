@@ -80,6 +80,26 @@ def test_leader_clusters_equal_a_plain_loop(spark):
     assert got == want and len(set(want.values())) < 60
 
 
+def test_leader_clusters_over_batch_and_block_borders(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(7, 6))[rng.integers(0, 7, 90)] + rng.normal(size=(90, 6)) * 0.2
+    rows = [(i, i % 2, x[i].tolist(), None if i % 3 else True, datetime.date(2020, 1, 1 + i % 9) if i % 4 else None, datetime.datetime(2021, 1, 1, i % 7) if i % 10 else None) for i in range(90)]
+    items = spark.createDataFrame(rows, "item_id long, grp int, vector array<double>, promoted boolean, effective_date date, created_at timestamp")
+    whole = sorted(map(tuple, lineage.leader_clusters(items).collect()))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = {(i, j) for i in range(90) for j in range(i + 1, 90) if i % 2 == j % 2 and unit[i] @ unit[j] >= 0.9}
+    monkeypatch.setattr(lineage, "BLOCK", 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        pairs = lineage.similar_pairs(items)
+        assert sorted(map(tuple, pairs.collect())) == sorted(near)
+        found = lineage.leader_clusters(items)
+        assert sorted(map(tuple, found.collect())) == whole and len({c for _, c in whole}) < 90
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Pandas" not in found._jdf.queryExecution().toString()
+
+
 def test_invalidation_and_gates(spark):
     seg = "array<struct<index:int,kind:string,support_status:string,sources:array<string>>>"
     rows = [(1, [(0, "substantive", "supported", ["a"]), (1, "connective", "connective", ["a"]), (2, "substantive", "weak", ["a"])]), (2, [(0, "substantive", "supported", ["b"])])]
