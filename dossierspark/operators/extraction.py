@@ -4,7 +4,7 @@ The layouts of a submission are rules over one window of sections: cells side by
 with its answer beneath, and labelled questions whose answers follow in rows of their own. All of these are
 Column expressions; the queue of labelled questions that wait for an answer is a running maximum, so no
 row is visited in Python. Resolution of pairs into spans carries a cursor from pair to pair, which is state
-within one window; there sections and pairs stream through a table function by window.
+within one window; there sections and pairs are sorted by window and folded by batches.
 
 sections: document_id long, order_index int, text, cell_ref (null for prose), heading_path array<string>.
 Null and blank texts have no pairs, questions or requirements. Section ids are order_index as text.
@@ -12,13 +12,19 @@ Null and blank texts have no pairs, questions or requirements. Section ids are o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import spans
 from ..functions import text as T
 from ..settings import DEFAULTS, TOPICS
 from .batching import token_windows
+from .components import in_order
 
 QUESTION_LABEL = r"(?U)\AQuestion \d+(?:\.\d+)*\z"
 NUMBERED_HEADING = r"(?U)\A\d+(?:\.\d+)+\s+\S"
@@ -224,24 +230,27 @@ RESOLVED = (
 
 
 class _Resolver:
-    """Reads a window's sections, then its pairs in order; holds the sections and a cursor for each."""
+    """Reads a window's sections, then its pairs in order; holds the sections, each folded once, and a cursor for each."""
 
     def __init__(self):
         self.texts: dict[str, str] = {}
+        self.forms: dict[str, tuple] = {}
         self.window: list[str] = []
         self.cursors: dict[str, int] = {}
+        self.nowhere: set[str] = set()
 
-    def eval(self, row):
+    def eval(self, row: dict) -> tuple | None:
+        """The item of a pair; None for a section, or a pair whose answer is nowhere."""
         if row["kind"] == 0:
             self.texts[row["section"]] = row["text"] or ""
             if row["in_window"]:
                 self.window.append(row["section"])
-            return
+            return None
         copy = row["answer_copy"] or ""
         section, span = self.place(row["answer_section"], row["answer_first"], row["answer_last"], copy)
         text = self.texts[section][span["start"] : span["end"]] if span else copy.strip()
         if section is None or not text.strip():
-            return
+            return None
         copy = row["question_copy"] or ""
         asked, at = self.place(row["question_section"], row["question_first"], row["question_last"], copy)
         question = self.texts[asked][at["start"] : at["end"]] if at else copy.strip()
@@ -250,24 +259,51 @@ class _Resolver:
                 self.cursors[s] = max(self.cursors.get(s, 0), found["end"])
         apart = asked is not None and asked != section
         key = f"{span['start']}-{span['end']}" if span else "copy:" + spans.folded_text(text)
-        yield (
+        return (
             row["document_id"], row["window"], row["seq"], section, span["start"] if span else 0, span["end"] if span else 0, bool(span and span["by_anchors"]), text,
             asked if apart else None, at["start"] if at else None, at["end"] if at else None, question or None, span is not None, key,
         )
 
+    def form(self, section: str) -> tuple:
+        if section not in self.forms:
+            self.forms[section] = spans.folded(self.texts[section])
+        return self.forms[section]
+
     def place(self, name: str | None, first: str | None, last: str | None, copied: str) -> tuple[str | None, dict | None]:
         """The section a pair names and the span in it; for an unknown name the window's first section with the copy."""
         name = (name or "").strip()
+        copied = spans.folded_text(copied)
         if name in self.texts:
-            return name, spans.locate_anchored(self.texts[name], first, last, copied, self.cursors.get(name, 0))
-        if copied.strip():
+            return name, spans.anchored_folded(*self.form(name), spans.folded_text(first or ""), spans.folded_text(last or ""), copied, self.cursors.get(name, 0))
+        if copied and copied not in self.nowhere:
             for section in self.window:
-                found = spans.locate(copied, self.texts[section])
+                found = spans.locate_folded(copied, *self.form(section))
                 if found:
                     return section, {"start": found["start"], "end": found["end"], "by_anchors": False}
+            self.nowhere.add(copied)
         return None, None
 
 
+def _resolved():
+    """The items of rows that come sorted by window, sections before pairs."""
+    schema = to_arrow_schema(_parse_datatype_string(RESOLVED))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, _Resolver()
+        for batch in batches:
+            items = []
+            for row in batch.to_pylist():
+                if (row["document_id"], row["window"]) != now:
+                    now, held = (row["document_id"], row["window"]), _Resolver()
+                item = held.eval(row)
+                if item:
+                    items.append(item)
+            columns = zip(*items) if items else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return fold
+
+
 PAIR = "answer_section answer_first answer_last answer_copy question_section question_first question_last question_copy".split()
 
 
@@ -287,8 +323,7 @@ def resolved_pairs(sections: DataFrame, pairs: DataFrame) -> DataFrame:
     near = texts.select("document_id", "window", F.lit(0).alias("kind"), F.col("order_index").alias("seq"), "section", F.lit(True).alias("in_window"), "text", *blank)
     far = far.select("document_id", "window", F.lit(0).alias("kind"), F.col("order_index").alias("seq"), "section", F.lit(False).alias("in_window"), "text", *blank)
     asked = pairs.select("document_id", "window", F.lit(1).alias("kind"), "seq", F.lit(None).cast("string").alias("section"), F.lit(False).alias("in_window"), F.lit(None).cast("string").alias("text"), *PAIR)
-    fold = F.udtf(_Resolver, returnType=RESOLVED, useArrow=True)
-    items = fold(near.union(far).union(asked).asTable().partitionBy("document_id", "window").orderBy("kind", "seq"))
+    items = in_order(near.union(far).union(asked), ["document_id", "window"], "kind", "seq").mapInArrow(_resolved(), RESOLVED)
     first = F.row_number().over(Window.partitionBy("document_id", "answer_section", "answer_key").orderBy("window", "seq"))
     return items.withColumn("n", first).where("n = 1").drop("n")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import extraction
+from ..operators.components import written
 from .registry import query, table
 
 #: Tokens of a window here: conversations are short, a document of ten of them has several windows.
@@ -116,9 +117,10 @@ def _model_pairs(pairs: DataFrame) -> DataFrame:
 @query()
 def resolved_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with the spans of their questions and answers, from pairs with a model's faults."""
-    sections = extraction.windowed(submissions(spark, sf_dir), LIMIT)
+    sections = written(extraction.windowed(written(submissions(spark, sf_dir), "submissions"), LIMIT), "sections")
     pairs, _ = extraction.extracted_pairs(sections)
-    return extraction.resolved_pairs(sections, _model_pairs(pairs)).drop("answer_key")
+    pairs = written(_model_pairs(pairs).select("document_id", "window", "seq", *extraction.PAIR), "pairs")
+    return extraction.resolved_pairs(sections, pairs).drop("answer_key")
 
 
 @query(

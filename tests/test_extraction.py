@@ -242,3 +242,18 @@ def test_empty(spark):
     sections = E.windowed(spark.createDataFrame([], SECTIONS))
     pairs, fragments = E.extracted_pairs(sections)
     assert pairs.count() == 0 and fragments.count() == 0 and E.resolved_pairs(sections, pairs).count() == 0
+
+
+def test_pairs_are_resolved_over_batch_borders(spark):
+    word = lambda n: "abcdefgh"[n] * 12
+    kinds = "document_id long, window int, seq int, " + ", ".join(f"{c} string" for c in E.PAIR)
+    sections = spark.createDataFrame([(d, 0, i, f"Question {d}, {word(i)}? Answer é {word(i + 4)} {d}.") for d in range(5) for i in range(4)], "document_id long, window int, order_index int, text string")
+    given = [(d, 0, i, "none" if i % 2 else str(i), "not", "there", f"Answer É {word(i + 4)} {d}.", "none", "x", "y", f"question {d}, {word(i)}?") for d in range(5) for i in range(4)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        items = E.resolved_pairs(sections, spark.createDataFrame(given, kinds))
+        got = sorted((r["document_id"], r["answer_section"], r["answer_text"], r["question_text"], r["verified"]) for r in items.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(d, str(i), f"Answer é {word(i + 4)} {d}.", f"Question {d}, {word(i)}?", True) for d in range(5) for i in range(4)]
+    assert "UDTF" not in items._jdf.queryExecution().toString()

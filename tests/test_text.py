@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import numpy as np
 from hypothesis import given, settings
@@ -132,3 +133,16 @@ def test_results_become_arrow_by_few_rows(spark):
     for r in rows.collect():
         assert [x.asDict() for x in r["s"]] == spans.sentences_of(texts[r["id"]])
         assert r["n"] == (None if texts[r["id"]] is None else spans.folded(texts[r["id"]])[0])
+
+
+def test_texts_that_are_not_ascii_are_folded_by_arrays(monkeypatch):
+    rng = random.Random(5)
+    signs = ["a", "B", "é", "Σ", "ß", "…", "ﬁ", "-", "–", "“", " ", "\n", "\u00a0", "\u2028", "\u00ad", "-\n", "½", "日", "🙂", "\ud800", "Ⅳ"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(400)] + ["\u00ad", "é", "é ", " É  é-\n É"]
+    fast = [S.folded(t) for t in texts]
+    monkeypatch.setattr(S, "_folded_even", lambda text, chars: None)
+    assert any(S.folded(t) is None for t in texts)
+    # each of these has one character that is lowered to two, so it is folded one by one
+    for t, (form, at) in zip(texts, fast):
+        slow, places = S.folded(t + " 1 \u0130")
+        assert slow[: -len("1 i\u0307")].rstrip() == form and places[: len(form)].tolist() == at.tolist()
