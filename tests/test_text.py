@@ -168,5 +168,6 @@ def test_hashed_vectors_equal_a_plain_loop(spark, monkeypatch):
     monkeypatch.setattr(S, "blake2b", lambda t, **k: hashed.append(t) or blake2b(t, **k))
     assert S.hashed_vectors(pa.array(texts, pa.string()), 16).to_pylist() == [plain(t) for t in texts]
     assert len(hashed) == len(set(hashed))  # each term once
+    assert S.hashed_vectors(pa.array([None, "É"], pa.string()), 2).to_pylist() == [[1.0, 0.0]] * 2 and S.hashed_vectors(pa.array([], pa.string()), 2).to_pylist() == []
     rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select("n", S.hash_embedding("text", 16).alias("v")).collect()
     assert {r["n"]: r["v"] for r in rows} == {n: plain(t) for n, t in enumerate(texts)}
