@@ -18,6 +18,8 @@ other than doc_id and text are left aside, whatever their names.
 
 from __future__ import annotations
 
+import functools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, gives_back, quiet_threads, scratch
 
 SEGMENT_IDS = 1 << 20
-#: Documents and bytes of text encoded at once: distinct words are looked up once for so many.
-ENCODE_ROWS, ENCODE_BYTES = 4000, 1 << 20
+#: About so many bytes of text are parted at once; distinct pieces are looked up once for a batch.
+ENCODE_BYTES = 1 << 20
 END_ID = 2
 
 
@@ -96,12 +98,71 @@ class EliasFano:
         return cls(n, low_bits, body[:low].view("<u4"), body[low : low + low_len], body[low + low_len :])
 
 
-#: Text in which the tokenizer's normaliser only lowers letters: then its pre-tokens can be found here.
-_PLAIN = "^[\\x21-\\x7eÀ-ÖØ-öø-ÿ]+$"
-#: Fixed value: the tokenizer's own pre-token pattern, for plain lower-case text without white space.
-_PIECES = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+)"
-#: Separators that split_whitespace takes for white space and the tokenizer does not.
-_ODD = "[\\x1c-\\x1f]"
+#: What a byte of text is to the tokenizer's pattern: a letter, a digit, a mark or white space; ODD is left to the tokenizer.
+LETTER, DIGIT, MARK, BLANK, ODD = range(5)
+_BLANKS = "\t\n\x0b\x0c\r "
+_KIND, _LOW = np.full(256, ODD, np.uint8), np.arange(256, dtype=np.uint8)
+_KIND[0x21:0x7F] = MARK
+_KIND[0x30:0x3A] = DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = LETTER
+_KIND[list(_BLANKS.encode())] = BLANK
+_LOW[0x41:0x5B] += 32
+#: The same for the byte after 0xC3: \u00c0 to \u00ff without the two signs among them.
+_KIND_C3, _LOW_C3 = np.full(256, ODD, np.uint8), np.arange(256, dtype=np.uint8)
+_KIND_C3[0x80:0xC0] = LETTER
+_KIND_C3[[0x97, 0xB7]] = ODD
+_LOW_C3[0x80:0x9F] += 32
+#: Pieces for the tokenizer as it is: white space beyond ASCII, other scripts, marks of special tokens.
+_ODD_PIECE = re.compile("<\\||[^!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
+#: Room behind the last text, so that a look ahead ends in white space.
+_AHEAD = 3
+
+
+def parted(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The lower-cased pieces of texts end to end, white space among them, and the first piece of each text.
+
+    A piece is a run of letters or marks, a digit, or an apostrophe with one of the endings s, t, m, d,
+    re, ve, ll: the tokenizer's pattern, fixed value. A word with an odd byte is one piece, as it stands.
+    """
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.full(bounds[-1] - bounds[0] + _AHEAD, 32, np.uint8)
+    if len(data) > _AHEAD:
+        data[:-_AHEAD] = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    opens = np.zeros(len(data), bool)
+    opens[0] = opens[bounds[:-1]] = True
+
+    kind, low = _KIND[data], _LOW[data]
+    lead = np.flatnonzero(data == 0xC3)
+    kind[lead], after = LETTER, data[lead + 1]
+    kind[lead + 1], low[lead + 1] = _KIND_C3[after], _LOW_C3[after]
+    bar = np.flatnonzero(data == ord("|"))
+    kind[bar[(data[bar - 1] == ord("<")) & ~opens[bar]]] = ODD
+
+    cut = opens | (kind == DIGIT)
+    cut[1:] |= kind[1:] != kind[:-1]
+    quote = np.flatnonzero(low == ord("'"))
+    quote = quote[cut[quote] & ~opens[quote + 1]]
+    one = quote[np.isin(low[quote + 1], list(b"stmd"))]
+    pair = low[quote + 1] * np.int64(256) + low[quote + 2]
+    two = quote[np.isin(pair, [a * 256 + b for a, b in (b"re", b"ve", b"ll")]) & ~opens[quote + 2]]
+    cut[one + 1] = cut[two + 1] = False
+    cut[one + 2] = cut[two + 3] = True
+
+    if (odd := kind == ODD).any():
+        edge = opens.copy()
+        edge[1:] |= (kind[1:] == BLANK) != (kind[:-1] == BLANK)
+        run = np.cumsum(edge)
+        whole = np.zeros(run[-1] + 1, bool)
+        whole[run[odd]] = True
+        whole = whole[run]
+        cut = np.where(whole, edge, cut)
+        low = np.where(whole, data, low)
+
+    at = np.flatnonzero(cut)
+    ends = np.r_[at, len(data)]
+    pieces = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(low))
+    return pieces, np.searchsorted(at, bounds)
 
 
 def dealt(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -111,18 +172,17 @@ def dealt(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray
 
 
 class WordTokens:
-    """The tokenizer's ids of texts, by columns of words and pieces.
+    """The tokenizer's ids of texts, by columns of pieces.
 
     The tokenizer parts texts at white space and then into letters, digits and marks before anything
     else, and never looks across, so the ids of a text are those of its pieces in turn. A column of texts
-    becomes a dictionary of words, that one a dictionary of pieces; pieces met for the first time are
-    encoded in one call and parted again at the ids that end a word. Words with characters beyond Latin-1
-    letters and printable ASCII, or with the marks of special tokens, and texts with odd separators are
-    encoded one by one.
+    becomes a dictionary of pieces; pieces met for the first time are encoded in one call and parted again
+    at the ids that end a word. Odd pieces are whole words for the tokenizer as it is: those with characters
+    beyond Latin-1 letters and printable ASCII, or with the marks of special tokens.
     """
 
     #: Pieces that are kept; a piece has no more than LONGEST characters, so this bounds the bytes, too.
-    PIECES, LONGEST = 200_000, 64
+    PIECES, LONGEST = 300_000, 64
 
     def __init__(self, vocabulary: str):
         quiet_threads()
@@ -138,80 +198,96 @@ class WordTokens:
         self.kind = np.dtype("<u2" if len(known) <= 1 << 16 else "<u4")
         self.ends_word = np.zeros(max(known.values()) + 1, bool)
         self.ends_word[[i for w, i in known.items() if w.endswith("</w>")]] = True
-        self.pieces: dict[str, bytes] = {}
-
-    def one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        if not new:
-            return
+        self._keep(pa.array([], pa.large_string()), np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _keep(self, pieces: pa.LargeStringArray, ids: np.ndarray, sizes: np.ndarray, uses: np.ndarray) -> None:
+        """Know these pieces and no others; their ids lie end to end."""
+        self.pieces, self.ids, self.sizes, self.uses = pieces, ids, sizes, uses
+        self.starts = np.cumsum(sizes) - sizes
+
+    def _forget(self) -> None:
+        """Long pieces go; of too many pieces those stay that were met again, or none where these are many, too."""
+        stay = pc.binary_length(self.pieces).to_numpy() <= self.LONGEST
+        uses = self.uses
+        if len(stay) > self.PIECES:
+            stay &= uses > 1
+            stay &= np.count_nonzero(stay) <= self.PIECES // 2
+            uses = np.zeros_like(uses)
+        if not stay.all():
+            ids = dealt(self.ids, self.starts[stay], self.sizes[stay])
+            self._keep(self.pieces.filter(pa.array(stay)), ids, self.sizes[stay], uses[stay])
+
+    def _whole(self, pieces: list[str]) -> list[np.ndarray]:
         # encode_batch_fast keeps no offsets
-        ids = np.array(self.bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.kind)
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _plain(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain pieces end to end, and how many each has."""
+        if not pieces:
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        ids = np.array(self.bare.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, self.kind)
         stops = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(stops) == len(new) and stops[-1] == len(ids):
-            data, cuts = ids.tobytes(), [0, *(stops * self.kind.itemsize).tolist()]
-            self.pieces.update((w, data[s:e]) for w, s, e in zip(new, cuts, cuts[1:]))
-        else:
-            self.pieces.update((w, self.one(w)) for w in new)
-
-    def _coded(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids end to end, and how many each has."""
-        return np.frombuffer(b"".join(found), self.kind), np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
-
-    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words end to end, and how many each has."""
-        plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|")))
-        parted = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), _PIECES, "\\1\x00"), "\x00")
-        coded = parted.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.pieces) > self.PIECES:
-            self.pieces.clear()
-        self._learn([p for p in distinct if p and p not in self.pieces])
-        ids, size = self._coded([self.pieces[p] if p else b"" for p in distinct])
-        for p in distinct:
-            if len(p) > self.LONGEST:
-                del self.pieces[p]
-        place = coded.indices.to_numpy().astype(np.int64)
-        data = dealt(ids, (np.cumsum(size) - size)[place], size[place])
-        # pieces of a word in turn; the piece after the last cut is empty
-        per_word = np.add.reduceat(size[place], parted.offsets.to_numpy()[:-1]) if len(parted) else np.zeros(0, np.int64)
-        rest, rest_size = self._coded([self.one(w) for w in words.filter(pc.invert(plain)).to_pylist()])
-        simple = plain.to_numpy(zero_copy_only=False)
-        sizes, starts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        sizes[simple], sizes[~simple] = per_word, rest_size
-        starts[simple], starts[~simple] = np.cumsum(per_word) - per_word, np.cumsum(rest_size) - rest_size + len(data)
-        return dealt(np.concatenate([data, rest]), starts, sizes), sizes
+        if len(stops) == len(pieces) and stops[-1] == len(ids):
+            return ids, np.diff(stops, prepend=0)
+        found = self._whole(pieces)
+        return np.concatenate(found), np.array([len(i) for i in found])
+
+    def _learn(self, new: pa.LargeStringArray) -> np.ndarray:
+        """Their places among the known ones from now on."""
+        # to_numpy makes strings several times faster than to_pylist
+        names = new.to_numpy(zero_copy_only=False).tolist()
+        group = np.array([0 if p[0] in _BLANKS else 2 if _ODD_PIECE.search(p) else 1 for p in names], np.int8)
+        turn = np.argsort(group, kind="stable")
+        blank, plain, odd = ([names[i] for i in np.flatnonzero(group == g).tolist()] for g in range(3))
+        ids, sizes = self._plain(plain)
+        whole = self._whole(odd)
+        places = np.empty(len(new), np.int64)
+        places[turn] = len(self.pieces) + np.arange(len(new))
+        self._keep(
+            pa.concat_arrays([self.pieces, new.take(pa.array(turn))]),
+            np.concatenate([self.ids, ids, *whole]),
+            np.r_[self.sizes, np.zeros(len(blank), np.int64), sizes, np.array([len(i) for i in whole], np.int64)],
+            np.r_[self.uses, np.zeros(len(new), np.int64)],
+        )
+        return places
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        texts = texts.fill_null("")
-        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
-        split = pc.utf8_split_whitespace(texts)
-        coded = split.flatten().dictionary_encode()
-        ids, size = self._of_words(coded.dictionary)
-        place = coded.indices.to_numpy().astype(np.int64)
-        data = dealt(ids, (np.cumsum(size) - size)[place], size[place])
-        stops = np.r_[0, np.cumsum(size[place])][np.cumsum(np.r_[0, pc.list_value_length(split).to_numpy()])]
-        out = [data[s:e] for s, e in zip(stops.tolist(), stops[1:].tolist())]
-        for i in odd.tolist():
-            out[i] = np.frombuffer(self.one(texts[i].as_py()), self.kind)
+        texts = texts.fill_null("").cast(pa.large_string())
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(pc.binary_length(texts)) // ENCODE_BYTES)) + 1).tolist(), len(texts)]
+        parts = [parted(texts[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+        coded = pa.chunked_array([pieces for pieces, _ in parts]).dictionary_encode()
+        distinct = coded.chunk(0).dictionary
+        found = pc.index_in(distinct, self.pieces)
+        known = found.fill_null(-1).to_numpy().astype(np.int64)
+        if found.null_count:
+            known[known < 0] = self._learn(distinct.filter(found.is_null()))
+        self.uses[known] += 1
+        out = []
+        for chunk, (_, first) in zip(coded.chunks, parts):
+            place = known[chunk.indices.to_numpy()]
+            sizes = self.sizes[place]
+            data = dealt(self.ids, self.starts[place], sizes)
+            stops = np.r_[0, np.cumsum(sizes)][first].tolist()
+            out += [data[s:e] for s, e in zip(stops, stops[1:])]
+        self._forget()
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def word_tokens(vocabulary: str) -> WordTokens:
+    """Kept for the worker's life: its next task finds the pieces of the one before."""
+    return WordTokens(vocabulary)
+
+
 SEGMENT = "part int, seq int, first long, n_ids long, width int, boundaries binary, doc_ids binary, null_ids binary, ids binary"
 _NAMES = [c.split()[0] for c in SEGMENT.split(", ")]
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def encoded(batches: Iterator[pa.RecordBatch], tokens: WordTokens) -> Iterator[tuple]:
-    """(doc_id, ids) of every document in turn, ENCODE_ROWS documents and about ENCODE_BYTES of text at once."""
+    """(doc_id, ids) of every document in turn."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy()
-        cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(sizes) // ENCODE_BYTES)) + 1, len(batch)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            for at in range(int(lo), int(hi), ENCODE_ROWS):
-                part = batch.slice(at, min(ENCODE_ROWS, int(hi) - at))
-                yield from zip(part["doc_id"].to_pylist(), tokens(part["text"]))
+        yield from zip(batch["doc_id"].to_pylist(), tokens(batch["text"]))
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> None:
@@ -219,7 +295,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
     bounded_batches(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(vocabulary)
+        tokens = word_tokens(vocabulary)
         end = np.array([end_id], tokens.kind)
         part, seq, first = TaskContext.get().partitionId(), 0, 0
         names, pieces, ends, held = [], [], [], 0

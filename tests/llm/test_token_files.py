@@ -8,8 +8,9 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
+from dossierspark.llm import token_files
 from dossierspark.llm.common import scratch
-from dossierspark.llm.token_files import EliasFano, WordTokens, read_token_files, token_table, write_token_files
+from dossierspark.llm.token_files import EliasFano, WordTokens, read_token_files, token_table, word_tokens, write_token_files
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 ALPHABET = [*"aAbzZ'sStTdmrevl.,!?<|>0129éÉßŸÿ\t\n\r\x0b\x0c\x1c\x85\xa0  İΣσς²½ªµ£中あ😀́", "<|endoftext|>", " 's", "'ll", "don't"]
@@ -35,6 +36,38 @@ def test_tokens_equal_the_tokenizer():
     assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_pieces_end_with_their_text(monkeypatch):
+    plain = Tokenizer.from_file(VOCABULARY)
+    texts = ["it'", "s", "'", "re", "'r", "e", "", "'", None, "ve", "<", "|endoftext|>", "é", "a\u0301'S", "\u0301b", "!", "'s", "x''s 5'll's", "1", "2", "\xc3", "×", "a×'s b", "'"]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for size in (1 << 20, 1):
+        monkeypatch.setattr(token_files, "ENCODE_BYTES", size)
+        tokens = WordTokens(VOCABULARY)
+        for kind in (pa.string(), pa.large_string()):
+            assert [g.tolist() for g in tokens(pa.array(["before'", *texts], kind)[1:])] == want
+
+
+def test_pieces_are_encoded_once_for_all_tasks(monkeypatch):
+    asked = []
+    monkeypatch.setattr(WordTokens, "_plain", lambda self, pieces, f=WordTokens._plain: asked.extend(pieces) or f(self, pieces))
+    words = [f"piece{chr(97 + i)}" for i in range(26)]
+    for k in range(3):
+        word_tokens(VOCABULARY)(pa.array([" ".join(words[k:]), f"{words[3]}, {words[4]}!"]))
+    assert sorted(p for p in asked if p.startswith("piece")) == words
+
+
+def test_pieces_that_are_met_again_stay(monkeypatch):
+    monkeypatch.setattr(WordTokens, "PIECES", 40)
+    monkeypatch.setattr(WordTokens, "LONGEST", 8)
+    tokens, plain = WordTokens(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    for k in range(30):
+        texts = [f"again and {chr(97 + k % 26)}x{chr(97 + k // 5)} é{'z' * k}", "中" * k + " again"]
+        assert [g.tolist() for g in tokens(pa.array(texts))] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        kept = tokens.pieces.to_pylist()
+        assert len(kept) <= 40 and {"again", "and"} <= set(kept) and max(len(p.encode()) for p in kept) <= 8
+        assert len(kept) == len(tokens.sizes) == len(tokens.uses) and tokens.sizes.sum() == len(tokens.ids)
+
+
 def brute(docs):
     plain, start, out = Tokenizer.from_file(VOCABULARY), 0, []
     tie = lambda t: 42 if t is None else int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
