@@ -4,8 +4,9 @@
 2. Shingles are hashed into groups. Two sets whose Jaccard similarity reaches num/den differ in at
    most d = (|A|+|B|)(den-num)/(den+num) shingles, so with more than d groups some are equal in both.
    A window of set sizes fixes the number of groups, and the hash of a group's content is the key that
-   brings possible partners together (see Bands and group_keys). Nothing is sampled or cut: no link can
-   be missed, and a line that thousands of texts share makes no common key unless it fills a whole group.
+   brings possible partners together (see Bands and keys_of_sets). Nothing is cut: no link can be missed.
+   Shingles that many texts share make no key on their own, or a few lines would chain most texts to one
+   family; which these are is learnt from one set in SHOWN and chooses among keys, never among sets.
    A task joins the sets of one key among its own rows first, so a key that very many sets share leaves
    a task once. Keys travel packed by bucket (their first bits, so many buckets that one fits a task).
 3. Classes joined by keys of one window form families. In a family the counts of shingles by group are
@@ -32,11 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, Memo, bounded_batches, connected_components, fresh, gives_back, mix64, plain_words, sorted_groups, written
+from .common import LOWER, Forest, bounded_batches, connected_components, fresh, gives_back, mix64, sorted_groups, written
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Coordinates of a count vector at least, and shingles for each at most: the bound of a long set would say
@@ -56,32 +58,110 @@ TASK_KEYS, BUCKET_KEYS, PACKED_BYTES = 1 << 20, 1 << 19, 6
 SLACK, WEAK_SHARE = 0.15, 0.1
 #: The filter of ids whose texts go to their families: 8 MB at most.
 FILTER_BITS, FILTER_HASHES = 1 << 26, 3
+#: About so many bytes of text become sets at once. Words of more bytes than LONG_WORD are hashed one by one.
+SHINGLE_BYTES, LONG_WORD = 1 << 18, 64
+_LOWER, _BLANK = np.frombuffer(LOWER, np.uint8), np.zeros(256, bool)
+_BLANK[list(b" \t\n\x0b\x0c\r")] = True
+#: One of so many sets, chosen by its hash, shows its shingles, if these are no more than SHOWN_MOST. A shingle that
+#: COMMON of them hold is common; with more than MOST_COMMON of those, COMMON rises. Common ones are a table of bits.
+SHOWN, SHOWN_MOST, COMMON, MOST_COMMON, COMMON_BITS = 64, 1 << 16, 2, 1 << 20, 24
+#: Cells of so many numbers (sets by sets by coordinates) are compared at once, without a tree. Rows of links sent at once.
+SMALL_CELL, LINK_ROWS = 1 << 20, 1 << 16
+#: The first 0 to 8 bytes of eight.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class Shingler:
-    """Texts to sorted arrays of distinct shingle hashes."""
+    """Texts to sorted sets of distinct shingle hashes, by arrays of bytes."""
 
     def __init__(self, width: int):
         self.width = width
-        self.word = Memo(xxhash.xxh3_64_intdigest)
-        self.factors = mix64(np.arange(1, width + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = plain_words(text)
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(self.word.__getitem__, words), np.uint64, len(words))
-        width = min(self.width, len(h))
-        n = len(h) - width + 1
-        out = np.full(n, width, np.uint64) * GOLDEN
-        for j in range(width):
-            out += h[j : j + n] * self.factors[j]
-        return np.unique(mix64(out))
-
-
-def set_hash(s: np.ndarray) -> int:
-    """One 64-bit name for a set (as a signed long)."""
-    return int(np.append(mix64(s ^ GOLDEN), np.full(1, len(s), np.uint64) * GOLDEN).sum(dtype=np.uint64).astype(np.int64))
+        self.lengths = np.arange(width + 1, dtype=np.uint64) * GOLDEN
+        self.factors = mix64(self.lengths[1:]) | np.uint64(1)
+
+    def __call__(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The sets of texts end to end, and their bounds. A null text has the empty set."""
+        h, words = word_hashes(texts)
+        lows, found = words[:-1], np.diff(words)
+        out, whole = np.zeros(len(h), np.uint64), np.zeros(len(h), bool)
+        n = len(h) - self.width + 1
+        if n > 0:
+            out[:n] = self.lengths[self.width]
+            for j in range(self.width):
+                out[:n] += h[j : j + n] * self.factors[j]
+            whole[:n] = np.arange(self.width, len(h) + 1) <= np.repeat(words[1:], found)[:n]
+        for width in range(1, self.width):  # fewer words: one shingle of them all
+            at = lows[found == width]
+            out[at] = self.lengths[width]
+            for j in range(width):
+                out[at] += h[at + j] * self.factors[j]
+            whole[at] = True
+        flat = mix64(out[whole])
+        bounds = np.r_[0, np.cumsum(whole)][words]
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            flat[lo:hi].sort()
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        new[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+        return flat[new], np.r_[0, np.cumsum(new)][bounds]
+
+    def batches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The sets of texts as (number of the first, sets, bounds), some SHINGLE_BYTES of text at once."""
+        texts = texts.cast(pa.large_string())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < len(texts):
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + SHINGLE_BYTES, "right")))
+            yield lo, *self(texts.slice(lo, hi - lo))
+            lo = hi
+
+
+def word_hashes(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of texts (see plain_words) end to end, and the bounds of each text's words.
+
+    A word is hashed by eight bytes at once, those of all texts side by side; one beyond LONG_WORD on its own.
+    """
+    texts = pc.fill_null(texts, "") if texts.null_count else texts
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    n = int(bounds[-1] - bounds[0])
+    data = np.zeros(n + 8, np.uint8)
+    if n:
+        data[:n] = _LOWER[np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]]
+    bounds = bounds - bounds[0]
+    cut, blank = np.zeros(n + 1, bool), _BLANK[data[:n]]
+    cut[bounds] = True
+    cut[1:] |= blank
+    starts = np.flatnonzero(~blank & cut[:n])
+    cut[:n] |= blank
+    ends = np.flatnonzero(~blank & cut[1:]) + 1
+    length = ends - starts
+    eights = np.ndarray(n + 1, "<u8", data, strides=(1,))
+    h = mix64(eights[starts] & _FIRST_BYTES[np.minimum(length, 8)] ^ length.astype(np.uint64) * GOLDEN)
+    at, done = np.flatnonzero((length > 8) & (length <= LONG_WORD)), 8
+    while len(at):
+        h[at] = mix64(h[at] ^ eights[starts[at] + done] & _FIRST_BYTES[np.minimum(length[at] - done, 8)])
+        done += 8
+        at = at[length[at] > done]
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return h, np.searchsorted(starts, bounds)
+
+
+def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the values between bounds, modulo 2**64."""
+    return np.diff(np.r_[np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)][bounds])
+
+
+def set_hashes(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One 64-bit name for each set (as a signed long)."""
+    return (segment_sums(mix64(sets ^ GOLDEN), bounds) + np.diff(bounds).astype(np.uint64) * GOLDEN).view(np.int64)
+
+
+def places(lows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each low the numbers low, low + 1, ..., as many as its count, end to end."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lows - ends + counts, counts)
 
 
 class Bands:
@@ -99,10 +179,12 @@ class Bands:
             lows.append(max(lows[-1] + 1, -(-lows[-1] * den // num)))
         self.lows = np.array(lows[:-1])
         ups = [x - 1 for x in lows[1:]]
-        self.guests = [up * den // num for up in ups]
-        self.differ = [(up + g) * (den - num) // (den + num) for up, g in zip(ups, self.guests)]
-        self.groups = [d + 1 + max(1, round(SLACK * d)) for d in self.differ]
-        self.weak = [self._weak(lo / g) for lo, g in zip(lows, self.groups)]
+        guests = [up * den // num for up in ups]
+        differ = [(up + g) * (den - num) // (den + num) for up, g in zip(ups, guests)]
+        groups = [d + 1 + max(1, round(SLACK * d)) for d in differ]
+        weak = [self._weak(lo / g) for lo, g in zip(lows, groups)]
+        self.guests, self.differ, self.groups, self.weak = map(np.array, (guests, differ, groups, weak))
+        self._names: dict[int, np.ndarray] = {}
 
     @staticmethod
     def _weak(mean: float) -> int:
@@ -117,56 +199,142 @@ class Bands:
 
     def of(self, n: int) -> list[int]:
         """The windows of a set of n shingles; none where only equal sets can link."""
-        b = int(np.searchsorted(self.lows, n, "right")) - 1
-        return [w for w in ([b] + ([b - 1] if b and n <= self.guests[b - 1] else [])) if n and self.differ[w]]
+        return self.windows(np.array([n]))[1].tolist()
 
+    def windows(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the set, window) of sets of these sizes, in order of the sets."""
+        own = np.searchsorted(self.lows, sizes, "right") - 1
+        both = np.column_stack([own, own - 1])
+        fits = (both >= 0) & (self.differ[both] > 0)
+        fits[:, 1] &= sizes <= self.guests[own - 1]
+        sets, which = np.nonzero(fits)
+        return sets, both[sets, which]
 
-def node_names(h: int, windows: list[int]) -> list[int]:
-    """A set class in each of its windows, as longs of PACKED_BYTES."""
-    if not windows:
-        return []
-    w = np.array(windows, np.uint64) + np.uint64(1)
-    return (mix64(np.full(len(w), h, np.int64).view(np.uint64) ^ (w * GOLDEN)) >> np.uint64(64 - 8 * PACKED_BYTES)).astype(np.int64).tolist()
+    def names(self, b: int) -> np.ndarray:
+        """A name for each group of window b."""
+        if b not in self._names:
+            self._names[b] = mix64((np.arange(self.groups[b], dtype=np.uint64) + np.uint64(b << 44)) * GOLDEN)
+        return self._names[b]
+
+
+def node_names(h: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Set classes, each in one of its windows, as longs of PACKED_BYTES."""
+    w = windows.astype(np.uint64) + np.uint64(1)
+    return (mix64(h.view(np.uint64) ^ (w * GOLDEN)) >> np.uint64(64 - 8 * PACKED_BYTES)).astype(np.int64)
 
 
 def group_keys(s: np.ndarray, bands: Bands, b: int) -> np.ndarray:
-    """The keys of a set in window b. Two linked sets of the window have one in common for certain.
+    """The keys of one set in window b (see keys_of_sets)."""
+    return keys_of_sets(s, np.array([0, len(s)]), bands, np.zeros(1, np.int64), np.array([b]))[1]
+
+
+def keys_of_sets(
+    flat: np.ndarray, bounds: np.ndarray, bands: Bands, sets: np.ndarray, windows: np.ndarray, common: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(place in `sets`, key): the keys of sets in windows. Two linked sets of a window have one in common for certain.
 
     Of `groups` groups `certain` ones at least are equal in both. If one of them is strong, its content is
     the common key. If all are weak, both sets have `certain` weak groups or more: those are dealt to
     certain - 1 bins by place, two equal ones fall into one bin, and every pair of a bin is a key. So no
     weak group is a key on its own. Sets that differ by one shingle at most need no groups: the whole set
-    and the set without each of its shingles are the keys.
+    and the set without each of its shingles are the keys. Common shingles don't count for a group's strength, so
+    a line that many texts share makes a strong group with other shingles alone.
+    """
+    names, sizes = mix64(flat ^ GOLDEN), np.diff(bounds)
+    near = bands.differ[windows] == 1
+    owners, keys = [], []
+    at = np.flatnonzero(near)
+    if len(at):
+        whole = segment_sums(names, bounds)[sets[at]]
+        place = np.array([bands.names(b)[0] for b in windows[at].tolist()], np.uint64)
+        n = sizes[sets[at]]
+        but_one = np.repeat(whole, n) - names[places(bounds[sets[at]], n)]
+        owners += [np.repeat(at, n), at]
+        keys += [mix64(but_one ^ np.repeat(place, n)), mix64(whole ^ place)]
+    at = np.flatnonzero(~near)
+    if len(at):
+        n, g = sizes[sets[at]], bands.groups[windows[at]]
+        base = np.cumsum(g) - g
+        taken = places(bounds[sets[at]], n)
+        group = (((flat[taken] >> np.uint64(32)) * np.repeat(g.astype(np.uint64), n)) >> np.uint64(32)).astype(np.int64) + np.repeat(base, n)
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        content = np.zeros(int(g.sum()), np.uint64)
+        content[group[first]] = np.add.reduceat(names[taken], first)
+        content = mix64(content ^ np.concatenate([bands.names(b) for b in windows[at].tolist()]))
+        told = group if common is None else group[~common[taken]]
+        weak = np.bincount(told, minlength=len(content)) <= np.repeat(bands.weak[windows[at]], g)
+        strong = np.flatnonzero(~weak)
+        owner = np.repeat(np.arange(len(at)), g)
+        owners.append(at[owner[strong]])
+        keys.append(content[strong])
+        certain = g - bands.differ[windows[at]]
+        many = np.add.reduceat(weak, base, dtype=np.int64) >= certain
+        if many.any():
+            weak = np.flatnonzero(weak & np.repeat(many, g))
+            bin_ = (weak - base[owner[weak]]) % (certain[owner[weak]] - 1) + base[owner[weak]]  # fewer bins than groups
+            weak = weak[np.argsort(bin_, kind="stable")]
+            bin_.sort()
+            last = np.searchsorted(bin_, bin_, "right")
+            others = last - np.arange(len(weak)) - 1
+            i, j = np.repeat(weak, others), weak[places(np.arange(1, len(weak) + 1), others)]
+            owners.append(at[owner[i]])
+            keys.append(mix64(content[i] * GOLDEN + content[j]))
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(owners), np.concatenate(keys).view(np.int64)
+
+
+def common_shingles(shown: DataFrame) -> np.ndarray | None:
+    """A table of bits by the first COMMON_BITS bits of a shingle, set where many of the sets (h, shown) hold one; None if there is none.
+
+    It chooses among ways to make keys: whatever it holds, linked sets have a key in common.
     """
-    place = mix64((np.arange(bands.groups[b], dtype=np.uint64) + np.uint64(b << 44)) * GOLDEN)
-    names = mix64(s ^ GOLDEN)
-    if bands.differ[b] == 1:
-        whole = names.sum(dtype=np.uint64)
-        return mix64(np.append(whole - names, whole) ^ place[0]).view(np.int64)
-    g = bands.groups[b]
-    at = (((s >> np.uint64(32)) * np.uint64(g)) >> np.uint64(32)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    content, size = np.zeros(g, np.uint64), np.bincount(at, minlength=g)
-    content[at[first]] = np.add.reduceat(names, first)
-    keys = mix64(content ^ place)
-    weak, certain = np.flatnonzero(size <= bands.weak[b]), g - bands.differ[b]
-    parts = [keys[size > bands.weak[b]]]
-    if len(weak) >= certain:
-        for bin_ in range(certain - 1):
-            own = keys[weak[weak % (certain - 1) == bin_]]
-            i, j = np.triu_indices(len(own), 1)
-            parts.append(mix64(own[i] * GOLDEN + own[j]))
-    return np.concatenate(parts).view(np.int64)
+    one = shown.where("shown is not null").groupBy("h").agg(F.first("shown").alias("shown"))
+    held = one.select(F.explode("shown").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    held = written(held, "common")
+    counts = held.groupBy(F.least("n", F.lit(255)).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect()
+    if not counts:
+        return None
+    least, rows = counts[0]["n"], 0
+    for r in counts:
+        rows += r["rows"]
+        if rows <= MOST_COMMON:
+            least = r["n"]
+    bits = (
+        held.where(F.col("n") >= least)
+        .select(F.shiftrightunsigned("s", 64 - COMMON_BITS).alias("place"))
+        .groupBy(F.shiftright("place", 3).alias("byte"))
+        .agg(F.bit_or(F.expr("shiftleft(1, cast(place % 8 as int))")).alias("bits"))
+        .toArrow()
+    )
+    table = np.zeros(1 << (COMMON_BITS - 3), np.uint8)
+    table[bits["byte"].to_numpy()] = bits["bits"].to_numpy()
+    return table
+
+
+def is_common(shingles: np.ndarray, table: np.ndarray) -> np.ndarray:
+    place = shingles >> np.uint64(64 - COMMON_BITS)
+    return (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def stars_of_keys(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each key once, in order, its smallest node, and an edge (node, smallest node) for every other node of it."""
-    order = np.lexsort((nodes, keys))
+    order = np.argsort(keys)
     keys, nodes = keys[order], nodes[order]
-    first = np.r_[True, keys[1:] != keys[:-1]]
-    centre = nodes[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    least = np.minimum.reduceat(nodes, first) if len(first) else nodes
+    centre = np.repeat(least, np.diff(np.r_[first, len(keys)]))
     apart = nodes != centre
-    return keys[first], nodes[first], np.unique(np.column_stack([nodes[apart], centre[apart]]), axis=0)
+    return keys[first], least, once(nodes[apart], centre[apart])
+
+
+def once(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The different pairs (a, b), in order."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return np.column_stack([a[new], b[new]])
 
 
 def packed(values: np.ndarray) -> np.ndarray:
@@ -200,15 +368,30 @@ def joined_in_task(keys: np.ndarray, nodes: np.ndarray, bits: int) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["bucket", "names", "edges"])
 
 
+def together(links: Iterator[np.ndarray]) -> Iterator[pd.DataFrame]:
+    """Links as rows (a, b), LINK_ROWS or more at once and each once among these."""
+    held, rows = [], 0
+    for pairs in links:
+        held.append(pairs)
+        rows += len(pairs)
+        if rows >= LINK_ROWS:
+            yield pd.DataFrame(once(*np.concatenate(held).T), columns=["a", "b"])
+            held, rows = [], 0
+    if rows:
+        yield pd.DataFrame(once(*np.concatenate(held).T), columns=["a", "b"])
+
+
 def joined_in_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Edges (a, b) of the nodes that share a key, from the rows of joined_in_task sorted by bucket."""
+    return together(_of_buckets(batches))
+
+
+def _of_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
     for bucket in sorted_groups(batches, ["bucket"]):
         names = np.frombuffer(b"".join(bucket["names"]), np.uint8).reshape(-1, 2 * PACKED_BYTES)
         known = np.frombuffer(b"".join(bucket["edges"]), "<i8").reshape(-1, 2)
         edges = stars_of_keys(unpacked(names[:, :PACKED_BYTES]), unpacked(names[:, PACKED_BYTES:]).astype(np.int64))[2] if len(names) else known
-        edges = np.unique(np.concatenate([known, edges]), axis=0)
-        if len(edges):
-            yield pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
+        yield np.concatenate([known, edges])
 
 
 def coordinates(n: int) -> int:
@@ -267,8 +450,18 @@ class CountTree:
         return found[self._may(self.counts[q], size, self.counts[found], s, num, den)]
 
     @staticmethod
-    def _may(q, size, tops, sizes, num, den):
-        return np.minimum(q, tops).sum(axis=1, dtype=np.int64) * (num + den) >= num * (size + sizes)
+    def _may(q, size, tops, sizes, num, den, axis=1):
+        return np.minimum(q, tops).sum(axis=axis, dtype=np.int64) * (num + den) >= num * (size + sizes)
+
+
+class CountPairs:
+    """What CountTree finds, for few points: the bound of all pairs at once."""
+
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray, num: int, den: int):
+        self.may = CountTree._may(counts[:, None], sizes[:, None], counts[None], sizes, num, den, 2)
+
+    def search(self, q: int, size: int, num: int, den: int, wanted: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.may[q] & wanted)
 
 
 def cell_links(
@@ -280,7 +473,8 @@ def cell_links(
     sides: for a cell of two blocks, the block of each set; only pairs across are compared.
     parts: what is known to hang together; sets of one part are not compared.
     """
-    tree, forest, n = CountTree(counts, sizes), Forest(len(sizes)), len(sizes)
+    forest, n = Forest(len(sizes)), len(sizes)
+    tree = CountPairs(counts, sizes, num, den) if n * counts.size <= SMALL_CELL else CountTree(counts, sizes)
     if parts is not None:
         forest.root = np.unique(parts, return_index=True)[1][np.unique(parts, return_inverse=True)[1]]
     if sets is not None:
@@ -378,41 +572,45 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, bands = Shingler(width), Bands(num, den)
-        for whole in batches:
-            for lo in range(0, len(whole), 1000):
-                batch = whole.slice(lo, 1000)
-                n, h, nodes, counts = [], [], [], []
-                for text in batch["text"]:
-                    s = shingle(text.as_py())
-                    n.append(len(s))
-                    h.append(set_hash(s))
-                    nodes.append(node_names(h[-1], bands.of(len(s))))
-                    counts.append(count_vector(s, coordinates(len(s))).tobytes() if nodes[-1] else None)
-                columns = [pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(nodes, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], *columns], ["doc_id", "row", "n", "h", "nodes", "counts"])
+        for batch in batches:
+            for lo, flat, bounds in shingle.batches(batch["text"]):
+                n, h = np.diff(bounds), set_hashes(flat, bounds)
+                owners, windows = bands.windows(n)
+                at = np.searchsorted(owners, np.arange(len(n) + 1))
+                nodes = pa.ListArray.from_arrays(at.astype(np.int32), node_names(h[owners], windows))
+                counts = [count_vector(flat[i:j], coordinates(j - i)).tobytes() if known else None for i, j, known in zip(bounds.tolist(), bounds[1:].tolist(), np.diff(at).tolist())]
+                chosen = (mix64(h.view(np.uint64)) % np.uint64(SHOWN) == 0) & (n > 0) & (n <= SHOWN_MOST)
+                shown = [flat[bounds[i] : bounds[i + 1]].view(np.int64) if c else None for i, c in enumerate(chosen.tolist())]
+                columns = [pa.array(n, pa.int64()), pa.array(h, pa.int64()), nodes, pa.array(counts, pa.binary()), pa.array(shown, pa.list_(pa.int64()))]
+                rows = batch.slice(lo, len(n))
+                yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["row"], *columns], ["doc_id", "row", "n", "h", "nodes", "counts", "shown"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, bands, seen = Shingler(width), Bands(num, den), set()
         ks, nodes, held = [], [], 0
         for batch in batches:
-            for text in batch["text"]:
-                s = shingle(text.as_py())
-                if not len(s) or (h := set_hash(s)) in seen:
-                    continue
-                if len(seen) < 200_000:  # saves rows only: a class that comes twice does no harm
-                    seen.add(h)
-                windows = bands.of(len(s))
-                for b, node in zip(windows, node_names(h, windows)):
-                    ks.append(group_keys(s, bands, b))
-                    nodes.append(np.full(len(ks[-1]), node, np.int64))
-                    held += len(ks[-1])
+            for _, flat, bounds in shingle.batches(batch["text"]):
+                h = set_hashes(flat, bounds)
+                new = np.zeros(len(h), bool)
+                for i, name in enumerate(h.tolist()):
+                    new[i] = name not in seen
+                    if len(seen) < 200_000:  # saves rows only: a class that comes twice does no harm
+                        seen.add(name)
+                owners, windows = bands.windows(np.where(new, np.diff(bounds), 0))
+                common = is_common(flat, shared.value) if shared else None
+                of, found = keys_of_sets(flat, bounds, bands, owners, windows, common)
+                ks.append(found)
+                nodes.append(node_names(h[owners], windows)[of])
+                held += len(found)
                 if held >= TASK_KEYS:
                     yield joined_in_task(np.concatenate(ks), np.concatenate(nodes), bits)
                     ks, nodes, held = [], [], 0
         if held:
             yield joined_in_task(np.concatenate(ks), np.concatenate(nodes), bits)
 
-    sets = written(texts.mapInArrow(gives_back(classes), "doc_id long, row long, n long, h long, nodes array<long>, counts binary"), "sets")
+    sets = written(texts.mapInArrow(gives_back(classes), "doc_id long, row long, n long, h long, nodes array<long>, counts binary, shown array<long>"), "sets")
+    common = common_shingles(sets.select("h", "shown"))
+    shared = None if common is None else docs.sparkSession.sparkContext.broadcast(common)
     # a set has about so many groups in each window; buckets by the first bits of a key, as many as hold them
     shown = sets.agg(F.sum(F.size("nodes") * F.col("n"))).first()[0] or 0
     bits = max(1, (shown * 2 * (den - num) // den // BUCKET_KEYS).bit_length())
@@ -430,16 +628,13 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_
     widest = F.greatest(F.lit(COORDINATES), F.col("n") / (SHARE // 2))
     members = written(_blocked(members, F.ceil(F.sum(widest) / (BLOCK_COUNTS * COORDINATES))), "members")
 
-    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
         for cell in sorted_groups(batches, ["family", "lo", "hi"]):
             if len(cell) < 2:
                 continue
             counts = of_one_width(cell["counts"].tolist())
             across = cell["lo"].iloc[0] != cell["hi"].iloc[0]
-            pairs = cell_links(cell["n"].to_numpy(), counts, cell["block"].to_numpy() if across else None, num, den)
-            if len(pairs):
-                names = cell["h"].to_numpy()
-                yield pd.DataFrame({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
+            yield cell["h"].to_numpy()[cell_links(cell["n"].to_numpy(), counts, cell["block"].to_numpy() if across else None, num, den)]
 
     # the bound decides which classes stay; the counts of those with a family alone travel
     counts = sets.select("row", "h", "counts").where(possibly_among(members)).groupBy("row", "h").agg(F.first("counts").alias("counts"))
@@ -448,20 +643,23 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_
         .repartition("family", "lo", "hi")
         .sortWithinPartitions("family", "lo", "hi", "h")
         .select("family", "lo", "hi", "block", "h", "n", "counts")
-        .mapInPandas(gives_back(bounded), "a long, b long")
+        .mapInPandas(gives_back(lambda batches: together(bounded(batches))), "a long, b long")
     )
     groups = connected_components(survivors, "bounded").select(F.col("node").alias("h"), F.col("root").alias("family"))
     kept = members.groupBy("h").agg(F.min(F.struct("row", "n")).alias("m")).join(groups, "h").select("family", "h", "m.row", "m.n")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
     kept = written(_blocked(written(kept, "groups"), blocks), "survivors")
 
-    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
         shingle = Shingler(width)
         for cell in sorted_groups(batches, ["family", "lo", "hi"]):
-            sets = [shingle(t) for t in cell["text"]]
+            sets, own = [], []
+            for _, flat, bounds in shingle.batches(pa.array(cell["text"], pa.large_string())):
+                sets += np.split(flat, bounds[1:-1])
+                own.append(set_hashes(flat, bounds))
             names = cell["h"].to_numpy()
             # rows of one key have one id and text, but for clashing hashes: the set decides, then each class counts once
-            right = np.array([len(s) > 0 and set_hash(s) == h for s, h in zip(sets, names)], bool)
+            right = (np.concatenate(own) == names) & np.array([len(s) > 0 for s in sets])
             right[right] = ~pd.Series(names[right]).duplicated().to_numpy()
             sets, names = [s for s, r in zip(sets, right) if r], names[right]
             if len(sets) < 2:
@@ -470,9 +668,7 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_
             sizes = np.array([len(s) for s in sets])
             shared = coordinates(int(sizes.mean()))
             counts = np.array([count_vector(s, shared) for s in sets])
-            pairs = cell_links(sizes, counts, cell["block"].to_numpy()[right] if across else None, num, den, sets, cell["part"].to_numpy()[right])
-            if len(pairs):
-                yield pd.DataFrame({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
+            yield names[cell_links(sizes, counts, cell["block"].to_numpy()[right] if across else None, num, den, sets, cell["part"].to_numpy()[right])]
 
     def linked(cells: DataFrame, rows: DataFrame, tag: str) -> DataFrame:
         """Verified links within cells (family, lo, hi, block, part, h, row) of rows."""
@@ -481,7 +677,7 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_
             .repartition("family", "lo", "hi")
             .sortWithinPartitions("family", "lo", "hi", "h")
             .select("family", "lo", "hi", "block", "part", "h", "text")
-            .mapInPandas(gives_back(links), "a long, b long")
+            .mapInPandas(gives_back(lambda batches: together(links(batches))), "a long, b long")
         )
         return written(found, tag)
 

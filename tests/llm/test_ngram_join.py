@@ -2,9 +2,11 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from dossierspark.llm import ngram_join as J
+from dossierspark.llm.common import plain_words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -185,3 +187,51 @@ def test_long_sets_of_more_widths_than_one(spark):
     docs = list(enumerate(texts))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(map(tuple, J.jaccard_components(df).collect()), key=str) == brute(docs, 3, 90, 100)
+
+
+def test_common_lines_do_not_chain_families(spark, monkeypatch):
+    rng, sizes, write = random.Random(13), {}, J.written
+    line = " ".join(f"boiler{i}" for i in range(100))
+    texts = [f"{line} {' '.join(f'v{rng.randrange(10**9)}' for _ in range(300))}" for _ in range(150)]
+    texts += [t + " one more" for t in texts[:20]] + list(family(rng, 300, 30, 20))
+    docs = list(enumerate(texts))
+
+    def counted(df, tag):
+        out = write(df, tag)
+        sizes[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(J, "SHOWN", 1, raising=False)
+    monkeypatch.setattr(J, "written", counted)
+    got = J.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80, 100)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(docs, 5, 80, 100)
+    assert 40 <= sizes["members"] <= 200
+
+
+@pytest.mark.parametrize("num, den", [(90, 100), (80, 100)])
+def test_linked_sets_share_a_key_whatever_is_common(num, den):
+    bands, rng = J.Bands(num, den), np.random.default_rng(2)
+    for n in [*range(4, 40, 3), 150, 700]:
+        for share in (0.2, 0.7, 1.0):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            b = a.copy()
+            while den * (len(b) - 1) >= num * len(a):
+                b = np.delete(b, rng.integers(len(b)))
+            flat, bounds = np.r_[a, b], np.array([0, len(a), len(a) + len(b)])
+            common = (flat % np.uint64(1000)) < np.uint64(share * 1000)
+            (of, windows), found = bands.windows(np.diff(bounds)), {}
+            entry, keys = J.keys_of_sets(flat, bounds, bands, of, windows, common)
+            for e, k in zip(entry.tolist(), keys.tolist()):
+                found.setdefault((of[e], windows[e]), set()).add(k)
+            assert len(a) == len(b) or any(found[0, w] & found.get((1, w), set()) for w in bands.of(len(a)))
+
+
+def test_words_by_arrays_are_those_of_a_split():
+    texts = [None, "", " \n", "One two", "oNE\x0b TWO\x0c", "é\x85x y", "a" * 9, "A" * 9 + " " + "b" * 70 + "\t" + "b" * 71, "x\x00 x", "x", "one", "日本 語", "abcdefgh abcdefghi abcdefghij" * 3]
+    texts = texts[:5] + ["tail"] + texts[5:]
+    h, bounds = J.word_hashes(pa.array([*texts, "left out"], pa.large_string()).slice(0, len(texts)))
+    words = [w for t in texts for w in plain_words(t)]
+    assert np.diff(bounds).tolist() == [len((t or "").encode().split()) for t in texts]
+    assert len(set(zip(words, h.tolist()))) == len(set(words)) == len(set(h.tolist()))
+    later = J.word_hashes(pa.array(["skipped", *texts], pa.large_string()).slice(1))
+    assert (later[0] == h).all() and (later[1] == bounds).all()
