@@ -203,6 +203,12 @@ def truth_with_runs(truth: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def labelled_pairs(labels: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Spot-check labels joined to pairs by keys in normal form (X1); each label row of a key meets each pair of it."""
-    named = lambda d: d.select("*", *[normalised(F.coalesce(k, F.lit(""))).alias(f"_{k}") for k in keys])
-    return named(labels).drop(*keys).join(named(pairs), [f"_{k}" for k in keys]).drop(*[f"_{k}" for k in keys])
+    """Spot-check labels joined to pairs by keys in normal form (X1); each label row of a key meets each pair of it.
+
+    The sides are sorted and merged: Spark takes the normal forms for no larger than the columns that they
+    are made of, and would broadcast tables that no driver holds. The second coalesce says that they are never
+    null, or they would be made once more to test for it.
+    """
+    form = lambda k: F.coalesce(normalised(F.coalesce(k, F.lit(""))), F.lit(""))
+    named = lambda d: d.select("*", *[form(k).alias(f"_{k}") for k in keys])
+    return named(labels).drop(*keys).join(named(pairs).hint("merge"), [f"_{k}" for k in keys]).drop(*[f"_{k}" for k in keys])

@@ -72,3 +72,12 @@ def test_near_spans_are_compared_once(monkeypatch):
     monkeypatch.setattr(spans.SequenceMatcher, "ratio", lambda m: met.append(m.a) or whole(m))
     found = spans.locate("describe how customer 7 is served in every region of the country", "describe how customer 7 is served in every region of the county")
     assert found["tier"] == "near" and len(met) == len(set(met)) > 0
+
+
+def test_labelled_pairs_are_never_broadcast_by_a_guessed_size(spark):
+    labels = spark.createDataFrame([(1, "File  7", None), (2, "file 7", ""), (3, "other", None), (4, None, " ")], "label_id long, a string, d string")
+    pairs = spark.createDataFrame([(10, "file 7", None), (11, "FILE 7", ""), (12, "none", None), (13, "", "")], "pair_id long, a string, d string")
+    got = V.labelled_pairs(labels, pairs, ["a", "d"])
+    assert sorted(map(tuple, got.select("label_id", "pair_id").collect())) == [(1, 10), (1, 11), (2, 10), (2, 11), (4, 13)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "isnotnull(pythonUDF" not in plan
